@@ -13,6 +13,7 @@ from effectlab.operators.match import coverage, nearest_to_target
 from effectlab.operators.multiplicity import holm
 from effectlab.operators.resample import Resampling, bootstrap_ci, sign_flip_p
 from effectlab.schema import LEDGER_OUTCOMES, Names, Outcome
+from effectlab.session import written
 
 STRATUM = ["comparator", "direction", "target_change", "outcome"]
 
@@ -85,8 +86,14 @@ def paired_contrasts(
     Holm runs across the whole result, or within each value of ``extra`` where the
     table holds several analyses side by side.
     """
-    pairs = pair_arms(matched, reference_arm, outcomes, names, extra).where(F.col("advantage").isNotNull())
     by = [*extra, *STRATUM]
+    columns = [*extra, names.unit, names.arm, "direction", "target_change", "match_complete"]
+    kept = [*columns, *[o.name for o in outcomes if o.name in matched.columns]]
+    # Read by several branches below, so both are computed once and kept as tables.
+    matched = written(matched.where(flag("match_complete")).select(*kept), "matched")
+    pairs = written(
+        pair_arms(matched, reference_arm, outcomes, names, extra).where(F.col("advantage").isNotNull()), "pairs"
+    )
     summary = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg("advantage").alias("mean_reference_advantage")
     )
@@ -99,7 +106,8 @@ def paired_contrasts(
         table = null_safe_join(table, ends.drop("n"), by, "left")
     if flips is not None:
         p = sign_flip_p(pairs, by, names.unit, "advantage", flips)
-        table = holm(null_safe_join(table, p.drop("n"), by, "left"), "p_value", extra)
+        table = written(null_safe_join(table, p.drop("n"), by, "left"), "contrasts")
+        table = holm(table, "p_value", extra)
     return table.withColumn("reference_arm", F.lit(reference_arm)).withColumn(
         "n_pairs", F.coalesce("n_pairs", F.lit(0).cast("bigint"))
     )

@@ -115,22 +115,24 @@ def coverage_expected(matched: DataFrame, expected: DataFrame, names: Names = Na
     )
 
 
-def full_coverage(covered: DataFrame, arms: DataFrame, n_units: int | Column, names: Names = Names()) -> DataFrame:
-    """Whether every arm of ``arms`` in both directions is present and fully matched.
+def full_coverage(covered: DataFrame, arms: DataFrame, names: Names = Names()) -> DataFrame:
+    """Whether every arm of ``arms`` in both directions is present and fully matched,
+    that is, matches as many units as were expected.
 
     One row: ``expected_strata, missing_strata, extra_strata, short_strata, full_coverage``.
     """
-    units = F.lit(n_units) if isinstance(n_units, int) else n_units
     planned = arms.select(names.arm).distinct().select(
         names.arm, F.explode(F.array(F.lit(-1), F.lit(1))).alias("direction"), F.lit(True).alias("_planned")
     )
-    found = covered.groupBy(names.arm, "direction").agg(F.min("matched_units").alias("_least"))
+    found = covered.groupBy(names.arm, "direction").agg(
+        F.bool_or(F.col("matched_units") != F.col("expected_units")).alias("_short")
+    )
     both = planned.join(found.withColumn("_found", F.lit(True)), [names.arm, "direction"], "full")
     counted = both.agg(
         F.count_if(F.col("_planned")).alias("expected_strata"),
         F.count_if(F.col("_planned") & F.col("_found").isNull()).alias("missing_strata"),
         F.count_if(F.col("_found") & F.col("_planned").isNull()).alias("extra_strata"),
-        F.count_if(F.col("_found") & (F.col("_least") != units)).alias("short_strata"),
+        F.count_if(F.col("_found") & F.col("_short")).alias("short_strata"),
         F.count_if(F.col("_found")).alias("_observed"),
     )
     clean = (F.col("missing_strata") == 0) & (F.col("extra_strata") == 0) & (F.col("short_strata") == 0)
