@@ -45,10 +45,9 @@ def split_half(
     full = np.asarray(paired_direction(pairs).first().vector, dtype=float)
     weights = np.tile(_weights(*grid, center, edge, radius).ravel(), len(full) // (grid[0] * grid[1]))
 
+    # Only keys are drawn and ranked; the vectors join the chosen few afterwards.
     drawn = pairs.select(
-        key,
-        F.explode(F.array(*[F.lit(c) for c in counts])).alias("pair_count"),
-        F.zip_with("a", "b", lambda x, y: y.cast("double") - x.cast("double")).alias("d"),
+        key, F.explode(F.array(*[F.lit(c) for c in counts])).alias("pair_count")
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     stream = F.col("resample") * 1000 + F.col("pair_count")
     order = W.Window.partitionBy("pair_count", "resample").orderBy("_draw", key)
@@ -57,7 +56,10 @@ def split_half(
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= 2 * counts[-1])
         .where(F.col("_rank") <= 2 * F.col("pair_count"))
+        .drop("_draw")
     )
+    differences = pairs.select(key, F.zip_with("a", "b", lambda x, y: y.cast("double") - x.cast("double")).alias("d"))
+    ranked = ranked.join(differences, key)
 
     def cosine(p: np.ndarray, q: np.ndarray) -> float:
         return float(p @ q / (max(np.linalg.norm(p), 1e-8) * max(np.linalg.norm(q), 1e-8)))

@@ -45,8 +45,10 @@ def pair_images(pairs: DataFrame) -> DataFrame:
     return pairs.select(*kept, F.inline(F.array(*groups)))
 
 
-def read_run_metadata(spark: SparkSession, root: str, default_method: str = "stepwise_masked") -> DataFrame:
-    """One row per entry of ``results`` in every ``metadata.json`` below ``root``.
+def read_run_metadata(
+    spark: SparkSession, root: str, default_method: str = "stepwise_masked", pattern: str = "metadata.json"
+) -> DataFrame:
+    """One row per entry of ``results`` in every metadata file below ``root``.
 
     The method of an entry falls back to the run's and then to the default.
     """
@@ -54,7 +56,7 @@ def read_run_metadata(spark: SparkSession, root: str, default_method: str = "ste
         spark.read.schema(RUN_METADATA_SCHEMA)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "metadata.json")
+        .option("pathGlobFilter", pattern)
         .json(root)
         .withColumn("run", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
     )
