@@ -10,6 +10,7 @@ is the exact position of the value in the group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +33,10 @@ def order_bucket(value: Column | str) -> Column:
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null, keeping the left side's key columns."""
-    if how in ("left_semi", "left_anti"):
-        condition = F.lit(True)
-        r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
-        for k in keys:
-            condition = condition & left[k].eqNullSafe(F.col(f"_r_{k}"))
-        return left.join(r, condition, how)
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
+    condition = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_r_{k}")), keys, F.lit(True))
+    return left.join(renamed, condition, how).select(*left.columns, *others)
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -67,16 +59,18 @@ def positions(counts: DataFrame, by: Sequence[str], value: str, keep: Column | N
     offsets = (
         tagged.groupBy(*by, "_bucket")
         .agg(F.sum("n").alias("bucket_n"))
-        .withColumn("bucket_before", F.coalesce(F.sum("bucket_n").over(running), F.lit(0)))
-        .withColumn("total", F.sum("bucket_n").over(whole))
+        .select(
+            *by, "_bucket", "bucket_n",
+            F.coalesce(F.sum("bucket_n").over(running), F.lit(0)).alias("bucket_before"),
+            F.sum("bucket_n").over(whole).alias("total"),
+        )
     )
     if keep is not None:
         offsets = offsets.where(keep)
     inside = W.Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.Window.unboundedPreceding, -1)
     joined = null_safe_join(tagged, offsets, [*by, "_bucket"])
-    return joined.withColumn(
-        "before", F.col("bucket_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    ).drop("_bucket", "bucket_n", "bucket_before")
+    before = F.col("bucket_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return joined.select(*counts.columns, "total", before.alias("before"))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -12,6 +12,7 @@ from effectlab.functions.numeric import finite, flag, ratio
 from effectlab.functions.ordering import first_per_key, null_safe_join, quantiles
 from effectlab.operators.resample import Resampling, bootstrap_ci
 from effectlab.schema import LEDGER_METRICS, RUN_METRICS, Names
+from effectlab.session import written
 
 
 def _metric(df: DataFrame, name: str) -> Column:
@@ -146,13 +147,15 @@ def spearman_by_unit(
     once = first_per_key(usable, names.key, ["_order"])
     pair = [names.unit, names.arm]
 
-    def rank(column: str) -> Column:
-        ties = W.Window.partitionBy(*pair, column)
-        return F.rank().over(W.Window.partitionBy(*pair).orderBy(column)) + (
-            F.count(F.lit(1)).over(ties) - 1
-        ) / F.lit(2.0)
-
-    ranked = once.select(*pair, rank(names.dose).alias("x"), rank("_y").alias("y"))
+    # Doses are distinct by now; responses may tie, and tied rows share their mean rank.
+    by_dose = W.Window.partitionBy(*pair).orderBy(names.dose)
+    by_response = W.Window.partitionBy(*pair).orderBy("_y")
+    ties = F.count(F.lit(1)).over(by_response.rangeBetween(W.Window.currentRow, W.Window.currentRow))
+    ranked = once.select(
+        *pair,
+        F.row_number().over(by_dose).cast("double").alias("x"),
+        (F.rank().over(by_response) + (ties - 1) / F.lit(2.0)).alias("y"),
+    )
     sums = ranked.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("x").alias("sx"), F.sum("y").alias("sy"),
@@ -173,7 +176,8 @@ def monotonicity(
     resampling: Resampling | None = Resampling(),
 ) -> DataFrame:
     """Per arm: units with a rank correlation, its mean, median and interval."""
-    per_unit = spearman_by_unit(df, names, order)
+    # One row per unit and arm, read by three branches: computed once and kept.
+    per_unit = written(spearman_by_unit(df, names, order), "spearman")
     summary = per_unit.groupBy(names.arm).agg(
         F.count(F.lit(1)).alias("n_units"), F.avg("spearman").alias("mean_spearman")
     )

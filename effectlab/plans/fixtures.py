@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has too few splits to feed them, as a
+    small file of one row group has. An input of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 REFERENCE_ARM = "N"
 TARGET, TOLERANCE = 3.0, 0.25
 METRICS = ("response", "cost", "tax", "quality")
@@ -22,8 +29,9 @@ OUTCOMES = (Outcome("quality", 1.0), Outcome("cost", -1.0), Outcome("tax", -1.0)
 
 def trial_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """One row per supplier (unit), return flag (arm) and discount step (dose)."""
+    hundredths = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint")) / F.lit(100.0) / F.count(F.lit(1))
     cells = (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"))
         .groupBy(
             F.col("l_suppkey").alias("unit"),
             F.col("l_returnflag").alias("arm"),
@@ -32,9 +40,10 @@ def trial_ledger(spark: SparkSession, sf: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.expr("sum(cast(l_quantity as int))").alias("qi"),
-            F.expr("cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(*)").alias("q"),
-            F.expr("cast(sum(cast(l_tax as decimal(18,2))) as double) / count(*)").alias("tax"),
-            F.expr("cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*)").alias("cost"),
+            # Sums of whole hundredths are exact in any order.
+            hundredths("l_quantity").alias("q"),
+            hundredths("l_tax").alias("tax"),
+            hundredths("l_extendedprice").alias("cost"),
         )
     )
     # A unit and arm has one row per dose here, eleven at most.
@@ -132,7 +141,7 @@ def pixels_a(spark: SparkSession, sf: str) -> DataFrame:
     """A 32 x 32 picture per part: bright neutral border, coloured inside."""
     axis = F.sequence(F.lit(0), F.lit(SIDE - 1))
     grid = (
-        table(spark, sf, "part")
+        spread(table(spark, sf, "part"))
         .select(F.col("p_partkey").alias("image_id"), "p_size", F.explode(axis).alias("x"))
         .select("*", F.explode(axis).alias("y"))
     )
