@@ -34,6 +34,11 @@ def _runs(words: Column, size: int, glue: str = " ") -> Column:
     return F.transform(F.array(words), joined)[0]
 
 
+def _entries(runs: Column, kind: int) -> Column:
+    """Index entries of a document, each distinct run once."""
+    return F.transform(F.array_distinct(runs), lambda r: F.struct(F.lit(kind).alias("k"), r.alias("a")))
+
+
 def _longest(runs: Column) -> Column:
     """The run with most characters: a long run is a rare one, so few candidates."""
     sized = F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
@@ -57,10 +62,7 @@ def evidence_pairs(
         .select(snippet_id, "_kind", "_anchor")
     )
     doc_words = F.split("_text", " ")
-    entries = F.concat(
-        F.transform(F.array_distinct(_runs(doc_words, RUN)), lambda r: F.struct(F.lit(RUN).alias("k"), r.alias("a"))),
-        F.transform(F.array_distinct(doc_words), lambda r: F.struct(F.lit(1).alias("k"), r.alias("a"))),
-    )
+    entries = F.concat(_entries(_runs(doc_words, RUN), RUN), _entries(doc_words, 1))
     index = d.select(document_id, F.explode(entries).alias("_e")).select(
         document_id, F.col("_e.k").alias("_kind"), F.col("_e.a").alias("_anchor")
     )
@@ -73,10 +75,7 @@ def evidence_pairs(
     short = short.withColumn("_anchor", F.substring("_snippet", 1, GRAM)).withColumn("_kind", F.length("_anchor"))
     if not short.limit(1).isEmpty():
         characters = F.split("_text", "")
-        grams = F.concat(*[
-            F.transform(F.array_distinct(_runs(characters, k, "")), lambda r, k=k: F.struct(F.lit(k).alias("k"), r.alias("a")))
-            for k in range(1, GRAM + 1)
-        ])
+        grams = F.concat(*[_entries(_runs(characters, k, ""), k) for k in range(1, GRAM + 1)])
         by_characters = (
             d.select(document_id, F.explode(grams).alias("_e"))
             .select(document_id, F.col("_e.k").alias("_kind"), F.col("_e.a").alias("_anchor"))

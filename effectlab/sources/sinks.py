@@ -27,7 +27,7 @@ def write_analysis(tables: Mapping[str, DataFrame], audit: DataFrame, out: str,
         else:
             writer.format(file_format).save(paths[name])
     paths["audit"] = f"{out}/audit"
-    json_safe(audit).write.mode("errorifexists").option("ignoreNullFields", False).json(paths["audit"])
+    json_safe(audit).repartition(1).write.mode("errorifexists").option("ignoreNullFields", False).json(paths["audit"])
     return paths
 
 
