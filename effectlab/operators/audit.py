@@ -136,6 +136,7 @@ def run_audit(
     ledger: DataFrame,
     plan: DataFrame,
     manifest: DataFrame,
+    manifest_units: DataFrame,
     expected: Mapping[str, str],
     listing: DataFrame,
     directions: DataFrame,
@@ -147,6 +148,7 @@ def run_audit(
     """The integrity checks of one run: ``check, passed, n_violations, sample``.
 
     ``plan`` is the planned condition matrix, ``manifest`` the run's one-row manifest,
+    ``manifest_units`` the units it lists, one per row (``sources.manifest.run_units``),
     ``expected`` names ``config_fingerprint, study_id, study_status``, ``listing`` holds
     the paths of present objects, ``directions`` those of direction tensors.
     """
@@ -184,7 +186,7 @@ def run_audit(
         return line(name, F.when(bad, 1).otherwise(0), F.when(bad, F.col(column).cast("string")))
 
     units = planned.select(names.unit).distinct()
-    named = manifest.select(F.explode("execution_seeds").alias(names.unit)).distinct()
+    named = manifest_units.select(names.unit).distinct()
     units_differ = units.join(named, names.unit, "left_anti").unionAll(named.join(units, names.unit, "left_anti"))
     from_manifest = manifest.limit(1).withColumn("planned", planned.agg(F.count(F.lit(1)).alias("n")).scalar()).select(
         F.inline(F.array(

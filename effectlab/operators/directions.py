@@ -182,11 +182,10 @@ def decompose(df: DataFrame, key: str, vector: str, shape: tuple[int, int, int],
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = []
             for name, values in zip(frame[key], frame[vector]):
                 u, s, vt = np.linalg.svd(np.asarray(values, dtype=float).reshape(channels, -1), full_matrices=False)
-                rows += [(name, i, float(s[i]), (s[i] * np.outer(u[:, i], vt[i])).ravel()) for i in range(rank)]
-            yield pd.DataFrame(rows, columns=[key, "part", "singular_value", "vector"])
+                rows = [(name, i, float(s[i]), (s[i] * np.outer(u[:, i], vt[i])).ravel()) for i in range(rank)]
+                yield pd.DataFrame(rows, columns=[key, "part", "singular_value", "vector"])
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(key, vector).mapInPandas(split, f"{key} {kind}, part int, singular_value double, vector array<double>")

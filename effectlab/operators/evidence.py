@@ -3,8 +3,9 @@
 Containment is a substring test, so no equi-key exists as such. But every inner word of
 a snippet (all but its first and last, which may be cut by the edges of a longer word)
 must occur in the document as a whole word, next to its neighbours. A run of inner words
-is therefore a key both sides share: documents are indexed by their word runs, snippets
-look up one anchor run each, and only candidate pairs are verified on the full text.
+is therefore a key both sides share: documents are indexed by their word runs, each
+snippet looks up the one of its runs that fewest documents have, and only the candidate
+pairs are verified, on the full text.
 Snippets too short for an inner word are looked up by their characters instead.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectlab.functions.keys import normalize_ws
+from effectlab.session import written
 
 RUN = 4  # words in a long anchor
 GRAM = 3  # characters in a short anchor
@@ -39,12 +41,6 @@ def _entries(runs: Column, kind: int) -> Column:
     return F.transform(F.array_distinct(runs), lambda r: F.struct(F.lit(kind).alias("k"), r.alias("a")))
 
 
-def _longest(runs: Column) -> Column:
-    """The run with most characters: a long run is a rare one, so few candidates."""
-    sized = F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
-    return F.try_element_at(F.sort_array(sized, asc=False), F.lit(1))["r"]
-
-
 def evidence_pairs(
     snippets: DataFrame, documents: DataFrame, snippet_id: str, document_id: str, text: str = "text"
 ) -> DataFrame:
@@ -55,18 +51,27 @@ def evidence_pairs(
     words = F.split("_snippet", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     s = s.withColumn("_inner", inner).withColumn("_size", F.size("_inner"))
-    anchors = (
-        s.where(F.col("_size") > 0)
-        .withColumn("_kind", F.when(F.col("_size") >= RUN, F.lit(RUN)).otherwise(F.lit(1)))
-        .withColumn("_anchor", _longest(F.when(F.col("_kind") == RUN, _runs(F.col("_inner"), RUN)).otherwise(F.col("_inner"))))
-        .select(snippet_id, "_kind", "_anchor")
-    )
+    # All runs a snippet could be looked up by. The documents are read once, and only
+    # their entries that occur in some snippet are kept.
+    runs = s.where(F.col("_size") > 0).select(
+        snippet_id,
+        F.explode(
+            F.when(F.col("_size") >= RUN, _entries(_runs(F.col("_inner"), RUN), RUN)).otherwise(_entries(F.col("_inner"), 1))
+        ).alias("_e"),
+    ).select(snippet_id, F.col("_e.k").alias("_kind"), F.col("_e.a").alias("_anchor"))
     doc_words = F.split("_text", " ")
     entries = F.concat(_entries(_runs(doc_words, RUN), RUN), _entries(doc_words, 1))
     index = d.select(document_id, F.explode(entries).alias("_e")).select(
         document_id, F.col("_e.k").alias("_kind"), F.col("_e.a").alias("_anchor")
     )
-    by_words = index.join(anchors, ["_kind", "_anchor"]).select(snippet_id, document_id)
+    hits = written(index.join(runs.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"], "left_semi"), "evidence")
+    # Each snippet is looked up by its rarest run; one that is nowhere ends the search.
+    spread = hits.groupBy("_kind", "_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = runs.join(spread, ["_kind", "_anchor"], "left").groupBy(snippet_id).agg(
+        F.min_by(F.struct("_kind", "_anchor", "_n"), F.struct(F.coalesce("_n", F.lit(0)), F.col("_anchor"))).alias("_best")
+    )
+    anchors = rarest.where("_best._n is not null").select(snippet_id, "_best._kind", "_best._anchor")
+    by_words = hits.join(anchors, ["_kind", "_anchor"]).select(snippet_id, document_id)
 
     candidates = by_words
     # One or two words: the first GRAM characters, or the whole snippet if shorter. The

@@ -39,7 +39,7 @@ class Resampling:
     seed: int = 2026
     index_limit: int = 4096
     shard_rows: int = 4096
-    block: int = 2400  # replicates per block, a multiple of SIGN_BITS
+    block: int = 12_000  # replicates per block, a multiple of SIGN_BITS
 
 
 def item_key(df: DataFrame, unit: str) -> Column:

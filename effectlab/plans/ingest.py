@@ -171,5 +171,5 @@ def t3_live_remaining(spark, sf):
     one = lambda c, name: events.select(F.col(c).alias(name)).distinct().withColumn("_design", F.lit(1))
     planned = one("unit", "unit").join(one("arm", "arm"), "_design").join(one("day", "dose"), "_design").drop("_design")
     rows = event_stream(spark, sf)
-    live.live_remaining(rows, planned, out, f"{out}/checkpoint", ["unit", "arm", "dose"]).awaitTermination()
+    live.live_remaining(rows, planned, f"{out}/remaining", f"{out}/checkpoint", ["unit", "arm", "dose"]).awaitTermination()
     return live.latest_version(spark, f"{out}/remaining")

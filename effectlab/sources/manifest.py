@@ -16,6 +16,11 @@ def read_run_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_MANIFEST_SCHEMA).option("multiLine", True).json(path)
 
 
+def run_units(manifest: DataFrame, unit: str = "seed") -> DataFrame:
+    """The units a run manifest lists, one per row."""
+    return manifest.select(F.explode("execution_seeds").alias(unit))
+
+
 def explode_pairs(df: DataFrame, n_train: int, n_holdout: int) -> DataFrame:
     """One row per pair, in manifest order, split by position: the first ``n_train`` are
     for training, the next ``n_holdout`` are held out; later pairs are not used."""

@@ -60,14 +60,16 @@ def live_missingness(
 def live_remaining(
     rows: DataFrame, plan: DataFrame, destination: str, checkpoint: str, keys: Sequence[str], available_now: bool = True
 ) -> StreamingQuery:
-    """Keep the planned conditions that have not arrived yet at ``destination``."""
-    seen = f"{destination}/seen"
+    """Keep the planned conditions that have not arrived yet at ``destination``.
+
+    Each batch takes its keys off the version before it, so a batch costs what is left
+    and not what has arrived; a repeated batch writes the same version again.
+    """
 
     def publish(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
-        batch_rows.select(*keys).distinct().write.mode("overwrite").parquet(f"{seen}/batch={batch}")
-        arrived = spark.read.parquet(seen).select(*keys).distinct()
-        remaining(plan, arrived, keys).write.mode("overwrite").parquet(f"{destination}/remaining/version={batch}")
+        before = spark.read.schema(plan.schema).parquet(f"{destination}/version={batch - 1}") if batch else plan
+        remaining(before, batch_rows, keys).write.mode("overwrite").parquet(f"{destination}/version={batch}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -125,7 +125,7 @@ def complete_run(spark):
 def run_checks(spark, plan, rows, run, listing):
     expected = {"config_fingerprint": "fp", "study_id": "s", "study_status": "preregistered"}
     tensors = spark.createDataFrame([("raw",), ("masked",)], "path string")
-    return audit.run_audit(rows, plan, run, expected, listing.select("image_path"), tensors, "fp", LEDGER)
+    return audit.run_audit(rows, plan, run, manifest.run_units(run), expected, listing.select("image_path"), tensors, "fp", LEDGER)
 
 
 def test_complete_run_passes_every_check(spark):
@@ -231,7 +231,7 @@ def test_live_views_follow_the_campaign(spark, tmp_path):
         live.live_remaining(rows, plan, str(tmp_path / "left"), str(tmp_path / "c1"), LEDGER.key).awaitTermination()
         rows = live.stream_ledger(spark, source, pattern="results.jsonl")
         live.live_missingness(rows, str(tmp_path / "miss"), str(tmp_path / "c2"), LEDGER).awaitTermination()
-    left = live.latest_version(spark, str(tmp_path / "left" / "remaining"))
+    left = live.latest_version(spark, str(tmp_path / "left"))
     assert [r.seed for r in left.collect()] == [2]
     row = live.latest_version(spark, str(tmp_path / "miss")).first()
     assert (row.attempted, row.generated, row.evaluation_complete) == (2, 2, 0)
