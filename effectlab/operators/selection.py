@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from effectlab.functions.numeric import flag
 from effectlab.functions.ordering import quantiles, row_positions
 from effectlab.schema import Names
+from effectlab.session import written
 
 
 def shard(df: DataFrame, index: int, count: int, order: str) -> DataFrame:
@@ -81,7 +82,8 @@ def select_unit(
     base = F.col(baseline) if isinstance(baseline, str) else baseline
     smallest = matched.agg(F.min("target_change").alias("t"))
     rows = matched.withColumn("_t", smallest.scalar()).where(F.abs(F.col("target_change") - F.col("_t")) <= 1e-8 + 1e-5 * F.abs(F.col("_t")))
-    rows = rows.select(names.unit, flag("match_complete").alias("_done"), base.cast("double").alias("_base"))
+    # Three narrow columns of one target, read by several branches: kept as a table.
+    rows = written(rows.select(names.unit, flag("match_complete").alias("_done"), base.cast("double").alias("_base")), "units")
     per_unit = rows.groupBy(names.unit).agg(F.count_if("_done").alias("_n")).where("_n > 0")
     most = per_unit.agg(F.max("_n").alias("n"))
     candidates = per_unit.withColumn("_most", most.scalar()).where(F.col("_n") == F.col("_most"))

@@ -251,7 +251,7 @@ def j11_condition_matrix(spark, sf):
       coalesce(n, 0) = (select count(*) from d) present_in_all from s left join f using (item_id)""",
 )
 def j12_evidence_presence(spark, sf):
-    return evidence.evidence_presence(fx.table(spark, sf, "benchmark"), fx.spread(fx.table(spark, sf, "documents")), "item_id", "doc_id")
+    return evidence.evidence_presence(fx.table(spark, sf, "benchmark"), fx.spread(fx.table(spark, sf, "documents"), "doc_id"), "item_id", "doc_id")
 
 
 @plan(

@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the input has too few splits to feed them, as a
-    small file of one row group has. An input of many splits is left as it is."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, by hash of ``key``, where the input has too few splits to
+    feed them, as a small file of one row group has. Other inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 REFERENCE_ARM = "N"
@@ -31,7 +31,7 @@ def trial_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """One row per supplier (unit), return flag (arm) and discount step (dose)."""
     hundredths = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint")) / F.lit(100.0) / F.count(F.lit(1))
     cells = (
-        spread(table(spark, sf, "lineitem"))
+        spread(table(spark, sf, "lineitem"), "l_orderkey")
         .groupBy(
             F.col("l_suppkey").alias("unit"),
             F.col("l_returnflag").alias("arm"),
@@ -141,7 +141,7 @@ def pixels_a(spark: SparkSession, sf: str) -> DataFrame:
     """A 32 x 32 picture per part: bright neutral border, coloured inside."""
     axis = F.sequence(F.lit(0), F.lit(SIDE - 1))
     grid = (
-        spread(table(spark, sf, "part"))
+        spread(table(spark, sf, "part"), "p_partkey")
         .select(F.col("p_partkey").alias("image_id"), "p_size", F.explode(axis).alias("x"))
         .select("*", F.explode(axis).alias("y"))
     )

@@ -269,11 +269,34 @@ def v18_decompose_energy(spark, sf):
     return rows.select("vec_id", "n_parts", r6("energy"), falling.alias("ordered"))
 
 
-@plan("v19_sap")
+def sap_sql(rounds: int = 10) -> str:
+    """Newton rounds for one logistic regression per position, written out."""
+    steps = [f"""{EM}, pos as (select unnest(range(64)) pos), l as (select pos, y, e[pos + 1] x from em cross join pos),
+s0 as (select pos, 0.0::DOUBLE w, (select ln(avg(y) / (1 - avg(y))) from em) b from pos)"""]
+    for i in range(rounds):
+        steps.append(f"""g{i} as (select pos, any_value(w) w, any_value(b) b, sum((p - y) * x) + any_value(w) gw, sum(p - y) gb,
+  sum(p * (1 - p) * x * x) + 1 a, sum(p * (1 - p) * x) c, sum(p * (1 - p)) d
+  from (select l.*, w, b, 1 / (1 + exp(-(w * x + b))) p from l join s{i} using (pos)) group by pos),
+s{i + 1} as (select pos, w - (d * gw - c * gb) / (a * d - c * c) w, b - (a * gb - c * gw) / (a * d - c * c) b from g{i})""")
+    return ",\n".join(steps) + f""",
+ac as (select pos, avg(((w * x + b > 0)::int = y)::int) acc from l join s{rounds} using (pos) group by pos),
+rk as (select acc, row_number() over (order by acc desc) rn from ac)"""
+
+
+@plan("v19_sap", f"with {sap_sql()} select {q6('(select acc from rk where rn = 1) - (select acc from rk where rn = 2)')} sap")
 def v19_sap(spark, sf):
     return rounded(disentangle.sap(fx.vec_labelled(spark, sf), "embedding", "y"), "sap")
 
 
+@plan(
+    "v19_logistic",
+    f"with {sap_sql()} select pos::int pos, {q6('w')} weight, {q6('b')} bias, {q6('acc')} accuracy from s10 join ac using (pos)",
+)
+def v19_logistic(spark, sf):
+    out = disentangle.logistic_by_position(fx.vec_labelled(spark, sf), "embedding", "y")
+    return rounded(out, "weight", "bias", "accuracy")
+
+
 MI = EM + """, pos as (select unnest(range(64)) pos), l as (select pos, y, e[pos + 1] x from em cross join pos),
 sp as (select pos, min(x) lo, max(x) hi from l group by pos),
 bn as (select l.pos, y, case when hi > lo then least(floor((x - lo) / (hi - lo) * 19)::int + 1, 20) else 20 end bin from l join sp on l.pos = sp.pos),
