@@ -56,20 +56,19 @@ def _strata(
 ) -> DataFrame:
     """Every comparator x direction x target x outcome, also those without a pair.
 
-    The three lists are the distinct values among complete rows; what is crossed is a
-    handful of design levels, counted in strata and not in rows.
+    The levels are the distinct values among complete rows, a handful per design; they
+    are collected as sets and expanded, so nothing is joined.
     """
     usable = matched.where(flag("match_complete"))
-    levels = usable.groupBy(*extra, names.arm, "direction", "target_change").agg(F.lit(1).alias("_one"))
-    arms = levels.where(F.col(names.arm) != reference_arm).select(*extra, F.col(names.arm).alias("comparator")).distinct()
-    directions = levels.select(*extra, "direction").distinct()
-    targets = levels.select(*extra, "target_change").distinct()
-    # Always a keyed join: without extra keys the design levels share one constant key.
-    key = list(extra) or ["_design"]
-    if not extra:
-        arms, directions, targets = (t.withColumn("_design", F.lit(1)) for t in (arms, directions, targets))
-    listed = F.explode(F.array(*[F.lit(o.name) for o in outcomes if o.name in matched.columns]))
-    return arms.join(directions, key).join(targets, key).select(*extra, "comparator", "direction", "target_change", listed.alias("outcome"))
+    others = F.when(F.col(names.arm) != reference_arm, F.col(names.arm))
+    levels = usable.groupBy(*extra).agg(
+        F.collect_set(others).alias("_arms"), F.collect_set("direction").alias("_directions"), F.collect_set("target_change").alias("_targets")
+    )
+    listed = F.array(*[F.lit(o.name) for o in outcomes if o.name in matched.columns])
+    by_arm = levels.select(*extra, "_directions", "_targets", F.explode("_arms").alias("comparator"))
+    by_direction = by_arm.select(*extra, "comparator", "_targets", F.explode("_directions").alias("direction"))
+    by_target = by_direction.select(*extra, "comparator", "direction", F.explode("_targets").alias("target_change"))
+    return by_target.select("*", F.explode(listed).alias("outcome"))
 
 
 def paired_contrasts(

@@ -94,7 +94,7 @@ def summarize_batch(df: DataFrame, metrics: Sequence[str], gate: str = "is_disen
     """Share of rows that pass the gate, and mean, deviation and median per metric."""
     passed = F.avg(F.when(F.col(gate), 100.0).otherwise(F.when(F.col(gate).isNotNull(), 0.0))).alias("pct_passed")
     present = [m for m in metrics if m in df.columns]
-    moments = _moments(df.withColumn("_all", F.lit(1)), [], present, [passed])
+    moments = _moments(df, [], present, [passed])
     long = long_metrics(df, [], present)
     medians = quantiles(long, ["metric"], "value", {"median": 0.5})
     return moments.join(medians, "metric", "left").select("metric", "pct_passed", "n", "mean", "std", "median")

@@ -89,8 +89,9 @@ def evidence_pairs(
         candidates = candidates.unionAll(by_characters.select(snippet_id, document_id))
     empty = s.where(F.col("_snippet") == "").select(snippet_id)  # occurs everywhere
     if not empty.limit(1).isEmpty():
-        everywhere = d.select(document_id, F.lit(1).alias("_one")).join(empty.withColumn("_one", F.lit(1)), "_one")
-        candidates = candidates.unionAll(everywhere.select(snippet_id, document_id))
+        names = empty.agg(F.array_agg(snippet_id).alias("ids"))
+        everywhere = d.select(document_id).withColumn("_ids", names.scalar()).select(F.explode("_ids").alias(snippet_id), document_id)
+        candidates = candidates.unionAll(everywhere)
     checked = candidates.join(s.select(snippet_id, "_snippet"), snippet_id).join(d, document_id)
     return checked.where(F.contains(F.col("_text"), F.col("_snippet"))).select(snippet_id, document_id)
 

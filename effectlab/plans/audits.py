@@ -10,7 +10,7 @@ from effectlab.operators import attest, audit, dedup, design, evidence
 from effectlab.operators.contrast import paired_contrasts
 from effectlab.plans import effects
 from effectlab.plans import fixtures as fx
-from effectlab.plans.registry import plan, q6, r6, rounded
+from effectlab.plans.registry import plan, q6, r6
 from effectlab.schema import Names
 from effectlab.sources.manifest import explode_pairs
 

@@ -168,8 +168,10 @@ def t2_live_missingness(spark, sf):
 def t3_live_remaining(spark, sf):
     out = work_folder(spark, "t3")
     events = fx.trial_events(spark, sf)
-    one = lambda c, name: events.select(F.col(c).alias(name)).distinct().withColumn("_design", F.lit(1))
-    planned = one("unit", "unit").join(one("arm", "arm"), "_design").join(one("day", "dose"), "_design").drop("_design")
+    # Event types and days are short lists; the plan is every unit at each of them.
+    levels = events.agg(F.struct(F.collect_set("arm").alias("arms"), F.collect_set("day").alias("days")))
+    units = events.select("unit").distinct().withColumn("_levels", levels.scalar())
+    planned = units.select("unit", "_levels", F.explode("_levels.arms").alias("arm")).select("unit", "arm", F.explode("_levels.days").alias("dose"))
     rows = event_stream(spark, sf)
     live.live_remaining(rows, planned, f"{out}/remaining", f"{out}/checkpoint", ["unit", "arm", "dose"]).awaitTermination()
     return live.latest_version(spark, f"{out}/remaining")
