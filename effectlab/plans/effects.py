@@ -234,7 +234,7 @@ def b1_bootstrap_ci_large(spark, sf):
     rows = fx.table(spark, sf, "lineitem").selectExpr(
         "l_returnflag as arm", "l_orderkey * 10 + l_linenumber as unit", "l_quantity as x"
     )
-    return rounded(bootstrap_ci(rows, ["arm"], "unit", "x", Resampling(resamples=100)), "ci_low", "ci_high")
+    return rounded(bootstrap_ci(rows, ["arm"], "unit", "x", Resampling(resamples=100, index_limit=0)), "ci_low", "ci_high")
 
 
 @plan(
