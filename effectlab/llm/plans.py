@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import sharding
+from effectlab.llm import secrets, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in all documents, each distinct text scanned once."""
+    docs = _table(spark, sf, "documents").select("doc_id", secrets.address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    told = secrets.digest(secrets.scan(docs.select("blob", "text")))
+    counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE]
+    spans = F.coalesce("spans", F.lit(""))
+    return docs.select("doc_id", "blob").join(told, "blob", "left").select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -21,8 +30,11 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_ledger": op3_secret_ledger,
     "op7_sharding": op7_sharding,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_secret_ledger": secrets.SQL,
+}
