@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import secrets, sharding
+from effectlab.llm import bpe, secrets, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as byte-level BPE ids and back."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.digests(bpe.decode(encoded, ranks))
+
+
 def op3_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in all documents, each distinct text scanned once."""
     docs = _table(spark, sf, "documents").select("doc_id", secrets.address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
@@ -30,6 +40,7 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_ledger": op3_secret_ledger,
     "op7_sharding": op7_sharding,
 }
