@@ -2,17 +2,19 @@
 
 Encoding is one narrow pass, without a shuffle. Each task reads its rows in chunks; the
 words of a chunk (matches of the splitting pattern) are numbered, and each distinct word
-that isn't a token itself goes once through the fold, a Spark ``aggregate`` over its
-array of byte tokens: look up the ranks of neighbouring pairs in a literal map, take the
-lowest, merge that pair wherever it stands, until no pair has a rank. The texts' word
-numbers are then replaced by the tokens found. Decoding joins the byte strings of the ids.
-
-Merging all places of the lowest pair at once gives what merging them one by one from the
-left gives, if a merged token never has a lower rank than its parts: then no merge of a
-pair can make a pair of lower rank. :func:`merges` checks this. It also finds, for each
-token, the one pair of tokens that it can be merged from: the last two parts that the
-merges leave of its own bytes; a pair that isn't one of these can't stand side by side.
-So the map has at most one entry a token, dealt over hash buckets of a few entries each.
+that isn't a token itself goes once through the fold, a Spark ``aggregate``: starting from
+its byte tokens, the merges that its bytes allow are applied in the order of their ranks,
+each wherever its pair stands, from the left. A state is a string with one character a
+token, so that a merge is a ``replace`` of two characters by one; which pair a rank merges
+is looked up in literal arrays of the plan. The texts' word numbers are then replaced by
+the tokens found. Decoding joins the byte strings of the ids.
+
+One sweep in the order of ranks gives what repeatedly merging the lowest pair gives, if no
+merged token has a lower rank than its parts: then no merge makes a pair of lower rank.
+:func:`merges` checks this. It also finds, for each token, the one pair of tokens that it
+can be merged from: the last two parts that the merges leave of its own bytes; another
+pair can't stand side by side. The merges that a word's bytes allow are the tokens among
+its byte runs.
 
 Defined results: null and empty texts have no ids; very long texts form a chunk of their
 own; ids are listed in text order, repeats included; an empty table gives no rows; all
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,6 @@ from pyspark.sql import types as T
 
 #: Characters of text whose distinct words share one numbering.
 CHUNK = 48_000_000
-_BUCKETS = 1 << 15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,69 +63,70 @@ def merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return found
 
 
-def _bucket(left, right):
-    return (left * 31 + right * 17) % _BUCKETS
+def character(rank: int) -> str:
+    """The character that stands for a token in the fold; surrogates are left out."""
+    return chr(rank + 1 if rank < 0xD7FF else rank + 0x801)
 
 
-def _literal(text: str, kind: str) -> Column:
-    """A constant of a nested type: Spark parses it once, when it plans the query."""
-    return F.from_json(F.lit(text), kind)
+def _ranks_of(text: str) -> np.ndarray:
+    """The tokens of a string of :func:`character`."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.int32)
+    return np.where(code < 0xD800, code - 1, code - 0x801)
 
 
-def fold(start: Column, table: list[tuple[int, int, int]]) -> Column:
-    """The array of token ids that the ranked merges make of an array of byte tokens."""
-    buckets: list[list[str]] = [[] for _ in range(_BUCKETS)]
-    for left, right, rank in table:
-        buckets[_bucket(left, right)].append(f'"{left * 65536 + right}":{rank}')
-    ranks = _literal("[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]", "array<map<string,int>>").cast("array<map<bigint,int>>")
-    top = max(rank for _, _, rank in table) + 1
-    sides = np.full((2, top), -1)
-    for left, right, rank in table:
-        sides[:, rank] = left, right
-    lefts, rights = (_literal("[" + ",".join(map(str, side)) + "]", "array<int>") for side in sides.tolist())
-
-    def lookup(a: Column, b: Column) -> Column:
-        slot = F.pmod(a * 31 + b * 17, F.lit(_BUCKETS))
-        return F.try_element_at(F.get(ranks, slot), a.cast("bigint") * 65536 + b)
-
-    def state(ids: Column) -> Column:
-        following = F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1)))
-        return F.struct(ids.alias("ids"), F.array_min(F.zip_with(ids, following, lookup)).alias("rank"))
+def _literal(values: list[str]) -> Column:
+    """A constant array of strings: Spark parses it once, when it plans the query."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), "array<string>")
 
-    def merged(at: Column) -> Column:
-        ids, rank, n = at["ids"], at["rank"], F.size(at["ids"])
-        left, right = F.get(lefts, rank), F.get(rights, rank)
-        # Runs of one token pair up from the left: a text in which every token stands between marks.
-        runs = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), "")
-        one = lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))
-        paired = F.replace(runs, F.concat(one(left), one(right)), one(rank))
-        same = F.transform(F.split(F.substring(paired, F.lit(2), F.length(paired) - 2), "><"), lambda x: x.cast("int"))
 
-        def put(x: Column, i: Column) -> Column:
-            starts = (x == left) & (F.get(ids, i + 1) == right)
-            ends = (i > 0) & (x == right) & (F.get(ids, i - 1) == left)
-            return F.when(F.coalesce(ends, F.lit(False)), F.lit(-1)).when(F.coalesce(starts, F.lit(False)), rank).otherwise(x)
+def fold(start: Column, allowed: Column, table: list[tuple[int, int, int]]) -> Column:
+    """The tokens that the ranked merges ``allowed`` (ascending) make of the byte tokens ``start``."""
+    pairs, merged = [""] * (max(rank for _, _, rank in table) + 1), []
+    for left, right, rank in table:
+        pairs[rank] = character(left) + character(right)
+    merged = [character(rank) for rank in range(len(pairs))]
+    pairs_, merged_ = _literal(pairs), _literal(merged)
+    return F.aggregate(allowed, start, lambda word, rank: F.replace(word, F.get(pairs_, rank), F.get(merged_, rank)))
 
-        apart = F.filter(F.transform(ids, put), lambda x: x >= 0)
-        return F.when(left == right, same).otherwise(apart)
 
-    steps = F.when(F.size(start) > 1, F.sequence(F.lit(2), F.size(start))).otherwise(F.array().cast("array<int>"))
-    step = lambda at, _: F.when(at["rank"].isNull(), at).otherwise(state(merged(at)))
-    return F.aggregate(steps, state(start), step, lambda at: at["ids"])
+def _prefixes(ranks: dict[bytes, int], table: list[tuple[int, int, int]]) -> dict[bytes, int]:
+    """Every prefix of a token that merges make, with the token's rank where it is one and -1 elsewhere."""
+    made = {rank for _, _, rank in table}
+    found: dict[bytes, int] = {}
+    for token, rank in ranks.items():
+        if rank in made:
+            for i in range(2, len(token)):
+                found.setdefault(token[:i], -1)
+            found[token] = rank
+    return found
 
 
-def _number_words(pattern: str, text: str, ranks: dict[bytes, int]):
-    """First pass over a task's rows: for each chunk a row with the byte tokens of each new
-    word, then the rows, their texts as word numbers. A word that is a token is numbered by
-    its rank; the others come after the ranks."""
-    first_new = max(ranks.values()) + 1 if ranks else 0
+def _number_words(pattern: str, text: str, ranks: dict[bytes, int], table: list[tuple[int, int, int]]):
+    """First pass over a task's rows: for each chunk a row with the byte tokens and allowed
+    merges of each new word, then the rows, their texts as word numbers. A word that is a
+    token is numbered by its rank; the others come after the ranks."""
+    first_new = max(ranks.values()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
         whole = {token.decode(): rank for token, rank in ranks.items() if _is_text(token)}
-        singles = [ranks.get(bytes([i]), -1) for i in range(256)]
+        single = str.maketrans({chr(i): character(ranks[bytes([i])]) for i in range(256)})
+        prefix = _prefixes(ranks, table).get
+        ints = pa.list_(pa.int32())
+
+        def allowed(word: bytes) -> list[int]:
+            found = set()
+            n = len(word)
+            for i in range(n - 1):
+                for j in range(i + 2, n + 1):
+                    rank = prefix(word[i:j])
+                    if rank is None:
+                        break
+                    if rank >= 0:
+                        found.add(rank)
+            return sorted(found)
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers, fresh = {}, []
@@ -149,17 +152,14 @@ def _number_words(pattern: str, text: str, ranks: dict[bytes, int]):
                 np.cumsum(lengths, out=offsets[1:])
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*codes, np.zeros(0, np.int32)]))))
             del numbers
-            table = np.array(singles, np.int32)
-            for first in range(0, len(fresh), 20_000):
-                raw = [w.encode() for w in fresh[first : first + 20_000]]
-                offsets = np.zeros(len(raw) + 1, np.int32)
-                np.cumsum([len(w) for w in raw], out=offsets[1:])
-                values = table[np.frombuffer(b"".join(raw), np.uint8)]
-                words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            for first in range(0, len(fresh), 10_000):
+                raw = [w.encode() for w in fresh[first : first + 10_000]]
+                words = pa.array([w.decode("latin-1").translate(single) for w in raw], pa.string())
                 nulls = [pa.nulls(len(raw), f.type) for f in held[0].schema]
-                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(raw), pa.list_(pa.int32())), words], [*held[0].schema.names, "_codes", "_word"])
+                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(raw), ints), words, pa.array([allowed(w) for w in raw], ints)], [*held[0].schema.names, "_codes", "_word", "_merges"])
             for batch, codes in zip(held, columns):
-                yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.nulls(batch.num_rows, pa.list_(pa.int32()))], [*batch.schema.names, "_codes", "_word"])
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.nulls(n, pa.string()), pa.nulls(n, ints)], [*batch.schema.names, "_codes", "_word", "_merges"])
 
         held, size = [], 0
         for batch in batches:
@@ -199,9 +199,9 @@ def _put_tokens(names: list[str], result: str, known: int):
             for first, last in zip(edges, edges[1:]):
                 part = batch.slice(first, last - first)
                 if last > first and is_word[first]:
-                    words = part.column("_word")
-                    pieces.append(words.flatten().to_numpy(zero_copy_only=False))
-                    sizes.append(np.diff(words.offsets.to_numpy()))
+                    words = part.column("_word").to_pylist()
+                    pieces.append(_ranks_of("".join(words)))
+                    sizes.append(np.array([len(w) for w in words]))
                 elif last > first:
                     if pieces:
                         lengths = np.concatenate([np.ones(known, np.int64), *sizes])
@@ -231,14 +231,14 @@ def _with_ids(rows: pa.RecordBatch, names: list[str], result: str, values: np.nd
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", result: str = "ids") -> DataFrame:
     """``docs`` with ``result``: the token ids of ``text``, each match of ``pattern`` separately."""
-    docs = docs.drop(result, "_codes", "_word")
+    docs = docs.drop(result, "_codes", "_word", "_merges")
     ints = T.ArrayType(T.IntegerType())
-    numbered = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_codes", ints), T.StructField("_word", ints)])
-    known = max(ranks.values()) + 1 if ranks else 0
-    split = docs.mapInArrow(_number_words(pattern, text, ranks), numbered)
-    folded = split.withColumn("_word", F.when(F.col("_word").isNotNull(), fold(F.col("_word"), merges(ranks))))
-    schema = T.StructType([*numbered.fields[:-2], T.StructField(result, ints)])
-    return folded.mapInArrow(_put_tokens(docs.columns, result, known), schema)
+    added = [T.StructField("_codes", ints), T.StructField("_word", T.StringType()), T.StructField("_merges", ints)]
+    own = [T.StructField(f.name, f.dataType) for f in docs.schema]
+    table = merges(ranks)
+    split = docs.mapInArrow(_number_words(pattern, text, ranks, table), T.StructType([*own, *added]))
+    folded = split.select(*docs.columns, "_codes", F.when(F.col("_word").isNotNull(), fold(F.col("_word"), F.col("_merges"), table)).alias("_word"))
+    return folded.mapInArrow(_put_tokens(docs.columns, result, max(ranks.values()) + 1), T.StructType([*own, T.StructField(result, ints)]))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", result: str = "decoded") -> DataFrame:
