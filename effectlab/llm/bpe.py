@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 
 #: Characters of text whose distinct words share one numbering.
 CHUNK = 48_000_000
+#: Multipliers of the hash of byte runs.
+_STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,8 +91,24 @@ def fold(start: Column, allowed: Column, table: list[tuple[int, int, int]]) -> C
     return F.aggregate(allowed, start, lambda word, rank: F.replace(word, F.get(pairs_, rank), F.get(merged_, rank)))
 
 
-def _prefixes(ranks: dict[bytes, int], table: list[tuple[int, int, int]]) -> dict[bytes, int]:
-    """Every prefix of a token that merges make, with the token's rank where it is one and -1 elsewhere."""
+class _Numbers(dict):
+    """Numbers of words: the rank of one that is a token, the next free number of another."""
+
+    def __init__(self, whole: dict[str, int], first: int):
+        super().__init__()
+        self.whole, self.first, self.fresh = whole, first, []
+
+    def __missing__(self, word: str) -> int:
+        number = self.whole.get(word)
+        if number is None:
+            number = self.first + len(self.fresh)
+            self.fresh.append(word)
+        self[word] = number
+        return number
+
+
+def _prefixes(ranks: dict[bytes, int], table: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of every prefix of a token that merges make, and the token's rank (-1: a prefix only)."""
     made = {rank for _, _, rank in table}
     found: dict[bytes, int] = {}
     for token, rank in ranks.items():
@@ -98,7 +116,41 @@ def _prefixes(ranks: dict[bytes, int], table: list[tuple[int, int, int]]) -> dic
             for i in range(2, len(token)):
                 found.setdefault(token[:i], -1)
             found[token] = rank
-    return found
+    code = np.array([_code(p) for p in found], np.uint64)
+    order = np.argsort(code)
+    return code[order], np.array(list(found.values()))[order]
+
+
+def _code(piece: bytes) -> int:
+    code = 0
+    for byte in piece:
+        code = (code * _STEP + byte * _SPREAD + 1) & 0xFFFFFFFFFFFFFFFF
+    return code
+
+
+def _allowed(raw: list[bytes], codes: np.ndarray, ranks: np.ndarray) -> pa.ListArray:
+    """The merges that the bytes of each word allow, ascending. The runs of bytes grow from
+    every place at once, as long as they begin a token. (A chance match of hashes adds a
+    merge whose pair doesn't occur; it does nothing.)"""
+    sizes = np.array([len(w) for w in raw])
+    value = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) * np.uint64(_SPREAD) + np.uint64(1)
+    word = np.repeat(np.arange(len(raw)), sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    at, code, size = np.arange(len(value)), value, 1
+    found = []
+    while len(at):
+        going = at + size < end[at]
+        at = at[going]
+        code = code[going] * np.uint64(_STEP) + value[at + size]
+        size += 1
+        near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        hit = codes[near] == code
+        at, code, rank = at[hit], code[hit], ranks[near[hit]]
+        found.append(word[at[rank >= 0]] << 32 | rank[rank >= 0])
+    pairs = np.sort(np.concatenate(found))
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    bounds = np.searchsorted(pairs >> 32, np.arange(len(raw) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)))
 
 
 def _number_words(pattern: str, text: str, ranks: dict[bytes, int], table: list[tuple[int, int, int]]):
@@ -113,50 +165,27 @@ def _number_words(pattern: str, text: str, ranks: dict[bytes, int], table: list[
         find = regex.compile(pattern).findall
         whole = {token.decode(): rank for token, rank in ranks.items() if _is_text(token)}
         single = str.maketrans({chr(i): character(ranks[bytes([i])]) for i in range(256)})
-        prefix = _prefixes(ranks, table).get
+        codes_of, ranks_of = _prefixes(ranks, table)
         ints = pa.list_(pa.int32())
 
-        def allowed(word: bytes) -> list[int]:
-            found = set()
-            n = len(word)
-            for i in range(n - 1):
-                for j in range(i + 2, n + 1):
-                    rank = prefix(word[i:j])
-                    if rank is None:
-                        break
-                    if rank >= 0:
-                        found.add(rank)
-            return sorted(found)
-
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, fresh = {}, []
-            columns = []
+            numbers, columns = _Numbers(whole, first_new), []
             for batch in held:
                 codes, lengths = [], []
                 for value in batch.column(batch.schema.get_field_index(text)):
-                    words = find(value.as_py() or "")
-                    try:
-                        row = [numbers[w] for w in words]
-                    except KeyError:
-                        for w in words:
-                            if w not in numbers:
-                                rank = whole.get(w)
-                                if rank is None:
-                                    rank = first_new + len(fresh)
-                                    fresh.append(w)
-                                numbers[w] = rank
-                        row = [numbers[w] for w in words]
-                    codes.append(np.array(row, np.int32))
+                    row = np.array(list(map(numbers.__getitem__, find(value.as_py() or ""))), np.int32)
+                    codes.append(row)
                     lengths.append(len(row))
                 offsets = np.zeros(len(lengths) + 1, np.int32)
                 np.cumsum(lengths, out=offsets[1:])
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*codes, np.zeros(0, np.int32)]))))
+            fresh = numbers.fresh
             del numbers
             for first in range(0, len(fresh), 10_000):
                 raw = [w.encode() for w in fresh[first : first + 10_000]]
                 words = pa.array([w.decode("latin-1").translate(single) for w in raw], pa.string())
                 nulls = [pa.nulls(len(raw), f.type) for f in held[0].schema]
-                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(raw), ints), words, pa.array([allowed(w) for w in raw], ints)], [*held[0].schema.names, "_codes", "_word", "_merges"])
+                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(raw), ints), words, _allowed(raw, codes_of, ranks_of)], [*held[0].schema.names, "_codes", "_word", "_merges"])
             for batch, codes in zip(held, columns):
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.nulls(n, pa.string()), pa.nulls(n, ints)], [*batch.schema.names, "_codes", "_word", "_merges"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bpe, secrets, sharding
+from effectlab.llm import bpe, rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op3_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "blob").join(told, "blob", "left").select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op4_decision_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Base statistics of all documents, and the verdict of a list learned from the labels."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    table, bad = rules.labelled(docs, _table(spark, sf, "labels"))
+    rule = rules.rejecting_rule(rules.learn(table, bad))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = rules.statistics(docs).withColumns({"base_failed": rules.base_failed(), "rule": rule})
+    return judged.select("doc_id", *base, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -42,6 +52,7 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_ledger": op3_secret_ledger,
+    "op4_decision_list": op4_decision_list,
     "op7_sharding": op7_sharding,
 }
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +38,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_PRIME))
 
 
-@lru_cache(maxsize=4)
-def _powers(exponent: int, base: int) -> np.ndarray:
-    """base ** i mod 2**64 for i below 2 ** exponent, by doubling."""
-    out = np.ones(1, np.uint64)
-    step = base
-    for _ in range(exponent):
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step & 0xFFFFFFFFFFFFFFFF
-    return out
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i mod 2**64 for i below n, by doubling; kept between blocks."""
+    out = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+        _POWERS[base] = out
+    return out[:n]
 
 
 @dataclass
@@ -117,11 +117,10 @@ def words_of(block: Block, lower: bool = False, hashes: bool = True) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if hashes and n:
         values = (_BYTE_VALUES[_LOWER] if lower else _BYTE_VALUES)[data]
-        exponent = int(n).bit_length()
-        values *= _powers(exponent, _PRIME)[:n]
+        values *= _powers(_PRIME, n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values, out=total[1:])
-        code = mix((total[end] - total[start]) * _powers(exponent, _INVERSE)[start] + np.uint64(_PRIME))
+        code = mix((total[end] - total[start]) * _powers(_INVERSE, n)[start] + np.uint64(_PRIME))
     else:
         code = np.zeros(len(start), np.uint64)
     return Words(start, end, code, np.searchsorted(start, offsets))
