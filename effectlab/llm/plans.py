@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bpe, rules, secrets, sharding
+from effectlab.llm import bpe, pages, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_decision_list(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
 
 
+def op5_tree_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extract(_table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -49,11 +54,28 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+SITE_RULES = (
+    urls.SiteRule(True, "com"),
+    urls.SiteRule(False, "example.com", "/en/"),
+    urls.SiteRule(True, "www.example.com", "/en/"),
+    urls.SiteRule(False, "net", "/es/"),
+    urls.SiteRule(False, "net", "/fr/"),
+)
+
+
+def op10_url_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on the URLs of all pages: the site rules', else the language models'."""
+    judged = urls.judge(_table(spark, sf, "pages").select("page_id", "url"), SITE_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_ledger": op3_secret_ledger,
     "op4_decision_list": op4_decision_list,
+    "op5_tree_scoring": op5_tree_scoring,
     "op7_sharding": op7_sharding,
+    "op10_url_models": op10_url_models,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
