@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bpe, pages, rules, secrets, sharding, urls
+from effectlab.llm import bagminhash, bpe, pages, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_bagminhash(spark: SparkSession, sf: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return bagminhash.classes(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 SITE_RULES = (
     urls.SiteRule(True, "com"),
     urls.SiteRule(False, "example.com", "/en/"),
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_decision_list": op4_decision_list,
     "op5_tree_scoring": op5_tree_scoring,
     "op7_sharding": op7_sharding,
+    "op8_bagminhash": op8_bagminhash,
     "op10_url_models": op10_url_models,
 }
 

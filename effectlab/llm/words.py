@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call works on.
-BLOCK = 2_000_000
+BLOCK = 400_000
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
