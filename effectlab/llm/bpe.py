@@ -24,7 +24,6 @@ columns pass through, and one named like the result is replaced.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text whose distinct words share one numbering.
-CHUNK = 48_000_000
+CHUNK = 20_000_000
 #: Multipliers of the hash of byte runs.
 _STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -153,9 +152,9 @@ def _allowed(raw: list[bytes], codes: np.ndarray, ranks: np.ndarray) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)))
 
 
-def _number_words(pattern: str, text: str, ranks: dict[bytes, int], table: list[tuple[int, int, int]]):
+def _number_words(pattern: str, text: str, names: list[str], ranks: dict[bytes, int], table: list[tuple[int, int, int]]):
     """First pass over a task's rows: for each chunk a row with the byte tokens and allowed
-    merges of each new word, then the rows, their texts as word numbers. A word that is a
+    merges of each new word, then the rows (columns ``names``), their texts as word numbers. A word that is a
     token is numbered by its rank; the others come after the ranks."""
     first_new = max(ranks.values()) + 1
 
@@ -168,39 +167,27 @@ def _number_words(pattern: str, text: str, ranks: dict[bytes, int], table: list[
         codes_of, ranks_of = _prefixes(ranks, table)
         ints = pa.list_(pa.int32())
 
-        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, columns = _Numbers(whole, first_new), []
-            for batch in held:
-                codes, lengths = [], []
-                for value in batch.column(batch.schema.get_field_index(text)):
-                    row = np.array(list(map(numbers.__getitem__, find(value.as_py() or ""))), np.int32)
-                    codes.append(row)
-                    lengths.append(len(row))
-                offsets = np.zeros(len(lengths) + 1, np.int32)
-                np.cumsum(lengths, out=offsets[1:])
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*codes, np.zeros(0, np.int32)]))))
-            fresh = numbers.fresh
-            del numbers
-            for first in range(0, len(fresh), 10_000):
-                raw = [w.encode() for w in fresh[first : first + 10_000]]
+        def flush(numbers: _Numbers, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first in range(0, len(numbers.fresh), 10_000):
+                raw = [w.encode() for w in numbers.fresh[first : first + 10_000]]
                 words = pa.array([w.decode("latin-1").translate(single) for w in raw], pa.string())
-                nulls = [pa.nulls(len(raw), f.type) for f in held[0].schema]
-                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(raw), ints), words, _allowed(raw, codes_of, ranks_of)], [*held[0].schema.names, "_codes", "_word", "_merges"])
-            for batch, codes in zip(held, columns):
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.nulls(n, pa.string()), pa.nulls(n, ints)], [*batch.schema.names, "_codes", "_word", "_merges"])
+                nulls = [pa.nulls(len(raw), held[0].schema.field(name).type) for name in names]
+                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(raw), pa.binary()), words, _allowed(raw, codes_of, ranks_of)], [*names, "_codes", "_word", "_merges"])
+            yield from held
 
-        held, size = [], 0
+        numbers, held, size = _Numbers(whole, first_new), [], 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append(batch)
-            size += batch.column(batch.schema.get_field_index(text)).nbytes
+            texts = batch.column(batch.schema.get_field_index(text))
+            codes = pa.array([np.fromiter(map(numbers.__getitem__, find(value.as_py() or "")), np.int32).tobytes() for value in texts], pa.binary())
+            kept = [batch.column(batch.schema.get_field_index(name)) for name in names]
+            n, size = batch.num_rows, size + texts.nbytes
+            held.append(pa.RecordBatch.from_arrays([*kept, codes, pa.nulls(n, pa.string()), pa.nulls(n, ints)], [*names, "_codes", "_word", "_merges"]))
+            del batch, texts, kept
             if size >= CHUNK:
-                yield from flush(held)
-                held, size = [], 0
+                yield from flush(numbers, held)
+                numbers, held, size = _Numbers(whole, first_new), [], 0
         if held:
-            yield from flush(held)
+            yield from flush(numbers, held)
 
     return run
 
@@ -213,9 +200,10 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-def _put_tokens(names: list[str], result: str, known: int):
+def _put_tokens(names: list[str], result: str, decoded: str | None, ranks: dict[bytes, int]):
     """Second pass, over the same rows in the same order: word numbers become token ids.
     Rows of words that follow rows of texts begin the next chunk."""
+    known, pieces_of = max(ranks.values()) + 1, _pieces(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[np.ndarray] = []
@@ -237,75 +225,74 @@ def _put_tokens(names: list[str], result: str, known: int):
                         values = np.concatenate([np.arange(known, dtype=np.int32), *pieces])
                         starts = np.cumsum(lengths) - lengths
                         pieces, sizes = [], []
-                    yield _with_ids(part, names, result, values, starts, lengths)
+                    made = _with_ids(part, names, result, values, starts, lengths)
+                    yield made.append_column(decoded, _decoded(made.column(result), pieces_of)) if decoded else made
 
     return run
 
 
 def _with_ids(rows: pa.RecordBatch, names: list[str], result: str, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    lists = rows.column("_codes")
-    codes, bounds = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    total = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(lengths[codes], out=total[1:])
-    ids = np.empty(total[-1], np.int32)
-    for low in range(0, len(codes), 500_000):
-        part = codes[low : low + 500_000]
-        begin = total[low : low + len(part)]
-        shift = np.repeat(starts[part] - begin, lengths[part])
-        stretch = slice(total[low], total[low + len(part)])
-        ids[stretch] = values[np.arange(stretch.start, stretch.stop) + shift]
-    made = pa.ListArray.from_arrays(pa.array(total[bounds - bounds[0]].astype(np.int32)), pa.array(ids))
-    return pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), made], [*names, result])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", result: str = "ids") -> DataFrame:
-    """``docs`` with ``result``: the token ids of ``text``, each match of ``pattern`` separately."""
-    docs = docs.drop(result, "_codes", "_word", "_merges")
-    ints = T.ArrayType(T.IntegerType())
-    added = [T.StructField("_codes", ints), T.StructField("_word", T.StringType()), T.StructField("_merges", ints)]
-    own = [T.StructField(f.name, f.dataType) for f in docs.schema]
+    packed = []
+    for cell in rows.column("_codes"):
+        code = np.frombuffer(cell.as_buffer(), np.int32)
+        size = lengths[code]
+        end = np.cumsum(size)
+        ids = values[np.arange(end[-1] if len(end) else 0) + np.repeat(starts[code] - (end - size), size)]
+        packed.append(ids.astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(packed, pa.binary())], [*names, result])
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", result: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``result``: the token ids of ``text``, each match of ``pattern``
+    separately, as little-endian unsigned 32-bit integers (:func:`unpack` makes arrays).
+    With ``decoded``, a column of that name has the ids decoded again, as :func:`decode`
+    would, in the same pass."""
+    docs = docs.drop(result, "_codes", "_word", "_merges", *([decoded] if decoded else []))
+    own = [T.StructField(f.name, f.dataType) for f in docs.schema if keep_text or f.name != text]
+    names = [f.name for f in own]
+    added = [T.StructField("_codes", T.BinaryType()), T.StructField("_word", T.StringType()), T.StructField("_merges", T.ArrayType(T.IntegerType()))]
     table = merges(ranks)
-    split = docs.mapInArrow(_number_words(pattern, text, ranks, table), T.StructType([*own, *added]))
-    folded = split.select(*docs.columns, "_codes", F.when(F.col("_word").isNotNull(), fold(F.col("_word"), F.col("_merges"), table)).alias("_word"))
-    return folded.mapInArrow(_put_tokens(docs.columns, result, max(ranks.values()) + 1), T.StructType([*own, T.StructField(result, ints)]))
+    split = docs.mapInArrow(_number_words(pattern, text, names, ranks, table), T.StructType([*own, *added]))
+    folded = split.select(*names, "_codes", F.when(F.col("_word").isNotNull(), fold(F.col("_word"), F.col("_merges"), table)).alias("_word"))
+    made = [T.StructField(c, T.BinaryType()) for c in (result, decoded) if c]
+    return folded.mapInArrow(_put_tokens(names, result, decoded, ranks), T.StructType([*own, *made]))
 
 
-def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", result: str = "decoded") -> DataFrame:
-    """``rows`` with ``result``: the bytes of the token ids, joined. Null ids give null."""
-    rows = rows.drop(result)
+def unpack(rows: DataFrame, ids: str = "ids") -> DataFrame:
+    """``rows`` with the packed ``ids`` as an array of integers."""
     names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = names.index(ids)
+            lists = [np.frombuffer(cell.as_buffer(), "<u4").astype(np.int32) if cell.is_valid else None for cell in batch.column(at)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(lists, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, T.ArrayType(T.IntegerType()) if f.name == ids else f.dataType) for f in rows.schema]))
+
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
+    return pieces
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take = pieces.__getitem__
-        for batch in batches:
-            lists = batch.column(names.index(ids))
-            values, bounds = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            bounds = bounds - bounds[0]
-            made = [b"".join(map(take, values[a:b].tolist())) for a, b in zip(bounds, bounds[1:])]
-            column = pa.array([m if ok else None for m, ok in zip(made, lists.is_valid().to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, result])
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField(result, T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+def _decoded(ids: pa.Array, pieces: list[bytes]) -> pa.Array:
+    take = pieces.__getitem__
+    return pa.array([b"".join(map(take, np.frombuffer(cell.as_buffer(), "<u4").tolist())) if cell.is_valid else None for cell in ids], pa.binary())
 
 
-def digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``rows`` without the two columns, but with ``n_tokens``, ``ids_sha256`` (of the ids as
-    little-endian unsigned 32-bit integers) and ``decoded_sha256``."""
-    keep = [f for f in rows.schema.fields if f.name not in (ids, decoded, "n_tokens", "ids_sha256", "decoded_sha256")]
+def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", result: str = "decoded") -> DataFrame:
+    """``rows`` with ``result``: the bytes of the packed token ids, joined. Null ids give null."""
+    rows = rows.drop(result)
+    names, pieces = rows.columns, _pieces(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            raw, bounds = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            bounds = bounds - bounds[0]
-            of_ids = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:])]
-            of_bytes = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(batch.schema.get_field_index(decoded))]
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], [*(f.name for f in keep), "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(names.index(ids)), pieces)], [*names, result])
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField(result, T.BinaryType())])
     return rows.mapInArrow(run, schema)

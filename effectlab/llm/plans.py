@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bagminhash, bpe, pages, rules, secrets, sharding, urls
+from effectlab.llm import bagminhash, bpe, kneser_ney, lsa, mixing, pages, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,8 +18,15 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded, ranks))
+    made = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False, decoded="decoded")
+    return made.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    """The perplexity of all documents under trusted text, and which are kept."""
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", "text")
+    judged = kneser_ney.judge(docs, _table(spark, sf, "labels"))
+    return judged.select("doc_id", "lang", "n_words", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), "kept")
 
 
 def op3_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +53,11 @@ def op5_tree_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract(_table(spark, sf, "pages").select("page_id", "url", "html"))
 
 
+def op6_context_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """The log-probability of all documents, under counts and under the mixed model."""
+    return mixing.score(_table(spark, sf, "documents").select("doc_id", "text", "lang")).drop("lang")
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -59,6 +71,11 @@ def op8_bagminhash(spark: SparkSession, sf: str) -> DataFrame:
     return bagminhash.classes(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op9_latent_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return lsa.leaks(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark"))
+
+
 SITE_RULES = (
     urls.SiteRule(True, "com"),
     urls.SiteRule(False, "example.com", "/en/"),
@@ -76,11 +93,14 @@ def op10_url_models(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_secret_ledger": op3_secret_ledger,
     "op4_decision_list": op4_decision_list,
     "op5_tree_scoring": op5_tree_scoring,
+    "op6_context_mixing": op6_context_mixing,
     "op7_sharding": op7_sharding,
     "op8_bagminhash": op8_bagminhash,
+    "op9_latent_leaks": op9_latent_leaks,
     "op10_url_models": op10_url_models,
 }
 
