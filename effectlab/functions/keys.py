@@ -13,10 +13,13 @@ from effectlab.functions.numeric import as_col
 CYCLE_STEP = 10_000
 ZERO_DOSE = 1e-12
 
+#: Doses are told apart to twelve places, the tolerance of a zero dose.
+DOSE_TYPE = "decimal(29,12)"
+
 
 def dose_key(dose: Column | str) -> Column:
-    """An exact decimal form of a dose, safe to join on."""
-    return as_col(dose).cast("decimal(9,4)")
+    """A decimal form of a dose, safe to join on; null beyond 10**17 or without a number."""
+    return as_col(dose).try_cast(DOSE_TYPE)
 
 
 def dose_slug(dose: Column | str) -> Column:
@@ -47,12 +50,12 @@ def label_for(
     """Attach ``label``: the base text, or the template filled with the dose's level.
 
     ``levels(level_key, level)`` spells its keys as text; both sides join on the decimal
-    value, so ``-2``, ``-2.0`` and ``-2.00`` name one dose. A dose of the target arm that
-    finds no level has ``label_missing`` set.
+    value, so ``-2``, ``-2.0`` and ``-2.00`` name one dose. Of several spellings the one
+    first in text order counts, and :func:`repeated_levels` lists them. A dose of the
+    target arm that finds no level has ``label_missing`` set.
     """
-    keyed = levels.select(
-        F.col("level_key").try_cast("decimal(9,4)").alias("_level_key"),
-        F.col("level").alias("_level"),
+    keyed = levels.groupBy(F.col("level_key").try_cast(DOSE_TYPE).alias("_level_key")).agg(
+        F.min_by("level", F.struct("level_key", "level")).alias("_level")
     )
     needs = (F.col(arm) == F.lit(target_arm)) & (F.abs(F.col(dose)) >= F.lit(ZERO_DOSE))
     wanted = F.when(needs, dose_key(dose))
@@ -65,6 +68,14 @@ def label_for(
     )
 
 
+def repeated_levels(levels: DataFrame) -> DataFrame:
+    """Doses that ``levels`` spells more than once: ``dose, spellings, levels``."""
+    named = levels.groupBy(F.col("level_key").try_cast(DOSE_TYPE).alias("dose")).agg(
+        F.count(F.lit(1)).alias("spellings"), F.count_distinct("level").alias("levels")
+    )
+    return named.where((F.col("spellings") > 1) & F.col("dose").isNotNull())
+
+
 def fingerprint(columns: Sequence[str], length: int = 12) -> Column:
     """A short SHA-256 over the compact JSON of the columns in name order."""
     ordered = F.struct(*[F.col(name) for name in sorted(columns)])

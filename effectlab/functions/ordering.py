@@ -14,9 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from effectlab.functions.numeric import as_col
+from effectlab.sources.ledger import LEDGER_ORDER
 
 # Buckets per octave and the smallest magnitude told apart. A group has at most some
 # tens of thousands of buckets for values of ordinary size.
@@ -25,10 +27,13 @@ SMALLEST = 1e-6
 
 
 def order_bucket(value: Column | str) -> Column:
-    """An integer that never falls as the value rises."""
-    x = as_col(value).cast("double")
+    """An integer that never falls as the value rises: infinities lie beyond all finite
+    values and NaN, which Spark sorts last, beyond them."""
+    given = as_col(value).cast("double")
+    x = F.greatest(F.least(given, F.lit(1e300)), F.lit(-1e300))
+    far = F.when(F.isnan(given), F.lit(2)).when(F.abs(given) == float("inf"), F.signum(given).cast("int")).otherwise(F.lit(0))
     size = F.floor(F.log2(F.lit(1.0) + F.abs(x) / F.lit(SMALLEST)) * F.lit(STEPS_PER_OCTAVE))
-    return (F.signum(x) * size).cast("bigint")
+    return (F.signum(x) * size).cast("bigint") + far
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -108,8 +113,10 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Rank with ties averaged, for every row with a value, in groups of any size."""
+    """Rank with ties averaged, for every row with a value, in groups of any size. NaN has
+    no rank, like null; infinities are the least and the greatest values."""
     by = list(by)
+    df = df.where(~F.isnan(F.col(value).cast("double")))
     ranked = positions(value_counts(df, by, value), by, value)
     rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     return null_safe_join(df.where(F.col(value).isNotNull()), ranked.select(*by, value, rank.alias(name)), [*by, value])
@@ -140,6 +147,14 @@ def running_max(df: DataFrame, by: Sequence[str], value: str, peak: str, name: s
     ).drop("_bucket", "_earlier")
 
 
+def default_order(df: DataFrame) -> list[str]:
+    """The ledger order where a table has it, then all columns that can be sorted, by name:
+    an order of rows that doesn't depend on how the table is stored."""
+    ledger = [c for c in LEDGER_ORDER if c in df.columns]
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [*ledger, *sorted(c for c in plain if c not in ledger)]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The row of each key that comes first in ``order``.
 

@@ -179,18 +179,27 @@ def replication_family(
     return holm(chosen, "p_value", name="p_holm_family").withColumn("family_valid", valid.scalar())
 
 
-def decide(family: DataFrame, minimum_pairs: int = 12, level: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    """The ordered decision rule over a family: coverage, then sign, then strictness."""
+def decide(
+    family: DataFrame, minimum_pairs: int = 12, level: float = 0.05, by: Sequence[str] = (), size: int = 2
+) -> DataFrame:
+    """The ordered decision rule over a family: validity, coverage, sign, then strictness.
+
+    A family that hasn't ``size`` rows, lacks a p-value or isn't valid gets no verdict
+    but ``invalid_family``.
+    """
     c = F.col
+    valid = c("family_valid") if "family_valid" in family.columns else F.lit(True)
     facts = family.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
+        F.bool_and(F.coalesce(valid & c("p_holm_family").isNotNull(), F.lit(False))).alias("_valid"),
         F.bool_or(c("n_pairs") < minimum_pairs).alias("_short"),
         F.bool_or(c("mean_reference_advantage") <= 0).alias("_adverse"),
         F.bool_and(F.coalesce(c("ci_low") > 0, F.lit(False))).alias("_above"),
         F.bool_and(F.coalesce(c("p_holm_family") < level, F.lit(False))).alias("_significant"),
     )
     verdict = (
-        F.when(c("_short"), F.lit("inconclusive_coverage"))
+        F.when((c("n_rows") != size) | ~F.coalesce(c("_valid"), F.lit(False)), F.lit("invalid_family"))
+        .when(c("_short"), F.lit("inconclusive_coverage"))
         .when(c("_adverse"), F.lit("failure_to_replicate"))
         .when(c("_above") & c("_significant"), F.lit("strict_replication"))
         .otherwise(F.lit("directional_replication"))

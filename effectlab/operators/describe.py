@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from effectlab.functions.numeric import finite, flag, ratio
-from effectlab.functions.ordering import first_per_key, null_safe_join, quantiles
+from effectlab.functions.ordering import default_order, first_per_key, null_safe_join, quantiles
 from effectlab.operators.resample import Resampling, bootstrap_ci
 from effectlab.schema import LEDGER_METRICS, RUN_METRICS, Names
 from effectlab.session import written
@@ -136,13 +136,13 @@ def spearman_by_unit(
 ) -> DataFrame:
     """Rank correlation of dose and response per unit and arm.
 
-    The first row of each dose counts. What is left of a unit and arm is one row per
+    The first row of each dose in ``order`` counts (by default :func:`default_order`). What is left of a unit and arm is one row per
     distinct dose of the design, so the windows below hold a short list however many
     rows the unit had. A constant series has a null correlation and is still listed.
     """
     usable = df.select(
         names.unit, names.arm, names.dose, finite(names.response).alias("_y"),
-        F.struct(*[F.col(o) if isinstance(o, str) else o for o in (order or [names.dose])]).alias("_order"),
+        F.struct(*[F.col(o) if isinstance(o, str) else o for o in (order or default_order(df))]).alias("_order"),
     ).where("_y is not null").dropna(subset=[names.unit, names.arm, names.dose])
     once = first_per_key(usable, names.key, ["_order"])
     pair = [names.unit, names.arm]

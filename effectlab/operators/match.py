@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from effectlab.functions.keys import with_direction
 from effectlab.functions.numeric import finite, flag, ratio
-from effectlab.functions.ordering import first_per_key, null_safe_join, quantiles
+from effectlab.functions.ordering import default_order, first_per_key, null_safe_join, quantiles
 from effectlab.schema import Names
 
 
@@ -21,7 +21,8 @@ def nearest_to_target(
 ) -> DataFrame:
     """Per unit, arm, direction and target: the row whose aligned change is closest.
 
-    Ties go to the row first in ``order`` (the ledger order; by default the dose). The
+    Ties go to the row first in ``order`` (by default the lesser dose, then
+    :func:`default_order`). The
     targets are a short list of parameters and are expanded inside each row, and the
     choice is an aggregate with a partial step, so no group is gathered.
     """
@@ -38,7 +39,7 @@ def nearest_to_target(
         "match_distance", F.abs(F.col("aligned_change") - F.col("target_change"))
     )
     keys = [names.unit, names.arm, "direction", "target_change"]
-    return first_per_key(expanded, keys, ["match_distance", *(order or [names.dose])])
+    return first_per_key(expanded, keys, ["match_distance", *(order or [names.dose, *default_order(expanded)])])
 
 
 def match_at_target(

@@ -43,9 +43,9 @@ class Resampling:
 
 
 def item_key(df: DataFrame, unit: str) -> Column:
-    """A non-negative integer naming the unit: itself, or a hash of it."""
+    """An integer naming the unit: itself, sign included, or a hash of it."""
     if isinstance(df.schema[unit].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.abs(F.col(unit).cast("bigint"))
+        return F.col(unit).cast("bigint")
     return F.pmod(F.xxhash64(unit), F.lit(2**62))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,7 @@ def local_session(cores: str = "8", app: str = "effectlab") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("EFFECTLAB_WORK", "") or tempfile.mkdtemp(prefix="effectlab-"))
         # Call sites of every column expression are for debugging and slow plan building.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -30,13 +32,16 @@ def local_session(cores: str = "8", app: str = "effectlab") -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for checkpoints and intermediate tables.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; a local temporary
-    folder is used only where that setting is absent, as in tests.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Without that setting
+    a session on one machine gets a temporary folder, and any other is refused: its
+    executors wouldn't see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="effectlab-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -18,27 +18,27 @@ LEDGER = Names.ledger()
 FEW = Resampling(resamples=2000)
 
 
+OFFSETS = {11: -0.6, 12: 0.0, 14: 0.9, 17: 0.3}
+SCORE = [Outcome("score", 1.0)]
+
+
 @pytest.fixture(scope="module")
-def results(spark):
-    """Three seeds, two methods, four doses; one method is better by a constant."""
-    rows = []
-    for seed in (1, 2, 3):
-        for method, bonus in (("masked", 0.05), ("prompt", 0.0)):
-            for alpha, change in ((-1.0, -5.0), (-2.0, -10.0), (1.0, 5.0), (2.0, 10.0)):
-                shift = (1 if alpha > 0 else -1) * (seed - 2) * 0.1
-                rows.append((seed, method, alpha, change + shift, 0.8 + bonus, 0.2 - bonus, 0.8 + bonus, 2.0 - bonus))
-    return spark.createDataFrame(
-        rows,
-        "seed bigint, method string, alpha double, skin_tone_change double, face_similarity double, lpips double,"
-        " background_ssim double, total_pose_diff double",
-    )
-
-
-def test_nearest_dose_is_matched_per_direction(results):
-    rows = match.match_at_target(results, [9.5], 1.0, LEDGER).collect()
-    assert all(r.match_complete for r in rows) and len(rows) == 12
-    assert {r.direction for r in rows} == {-1, 1}
-    assert {abs(r.alpha) for r in rows} == {2.0}
+def trial(spark):
+    """Four units under two arms; the response is four times the dose plus the unit's offset."""
+    rows = [
+        (unit, arm, dose, 4 * dose + offset, start + slope * offset)
+        for arm, start, slope in (("pulse", 10.0, 1.0), ("steady", 7.0, 0.5))
+        for dose in (3.0, 1.5, 0.5, -0.5, -1.5)
+        for unit, offset in OFFSETS.items()
+    ]
+    return spark.createDataFrame(rows, "unit bigint, arm string, dose double, response double, score double")
+
+
+def test_nearest_dose_is_matched_per_direction(trial):
+    rows = match.match_at_target(trial.where("arm = 'pulse'"), [6.5], 0.5).collect()
+    assert {(r.direction, r.dose) for r in rows} == {(1, 1.5), (-1, -1.5)}
+    within = {d: {r.unit for r in rows if r.direction == d and r.match_complete} for d in (-1, 1)}
+    assert within == {1: {12, 14, 17}, -1: {11, 12}}
 
 
 def test_ties_go_to_the_first_row_in_order(spark):
@@ -55,36 +55,33 @@ def test_tolerance_is_inclusive_and_failures_stay(spark):
         match.match_at_target(df, [0.0], 1.0)
 
 
-def test_coverage_reports_achieved_change(results):
-    rows = match.coverage(match.match_at_target(results, [10.0], 1.0, LEDGER), LEDGER).collect()
+def test_coverage_counts_complete_units(trial):
+    rows = {(r.arm, r.direction): r for r in match.coverage(match.match_at_target(trial, [6.5], 0.5)).collect()}
     assert len(rows) == 4
-    for r in rows:
-        assert (r.attempted_units, r.complete_units, r.coverage_rate) == (3, 3, 1.0)
-        assert r.mean_achieved_change == pytest.approx(10.0)
-
-
-def test_coverage_against_expected_units(spark):
-    df = spark.createDataFrame(
-        [(1, "m", -1, 5.0, True, 1.0), (2, "m", -1, 5.0, False, 4.0)],
-        "unit int, arm string, direction int, target_change double, match_complete boolean, match_distance double",
-    )
-    row = match.coverage_expected(df, spark.createDataFrame([(1,), (2,)], "unit int")).first()
-    assert (row.observed_units, row.matched_units, row.coverage_rate) == (2, 1, 0.5)
-    assert row.max_match_distance == 4.0
-
-
-def test_contrasts_find_the_constant_advantage(results):
-    table = contrast.paired_contrasts(
-        match.match_at_target(results, [10.0], 1.0, LEDGER), "masked", names=LEDGER, bootstrap=FEW, flips=FEW
-    ).collect()
-    assert len(table) == 8
-    for r in table:
-        assert r.n_pairs == 3
-        assert r.mean_reference_advantage == pytest.approx(0.05)
-        assert r.ci_low == pytest.approx(0.05) and r.ci_high == pytest.approx(0.05)
-        # All advantages are equal: only the two uniform flips reach the observed mean.
-        assert 0.18 < r.p_value < 0.32
-        assert r.p_holm == pytest.approx(1.0)
+    up, down = rows["steady", 1], rows["steady", -1]
+    assert (up.attempted_units, up.complete_units, up.coverage_rate) == (4, 3, 0.75)
+    assert (down.attempted_units, down.complete_units, down.coverage_rate) == (4, 2, 0.5)
+    assert up.mean_achieved_change == pytest.approx((6.0 + 6.9 + 6.3) / 3)
+    assert down.mean_achieved_change == pytest.approx((6.6 + 6.0) / 2)
+
+
+def test_coverage_against_a_plan_with_an_unseen_unit(spark):
+    rows = [(4, "k", 1, 2.5, True, 0.2), (6, "k", 1, 2.5, True, 0.7), (9, "k", 1, 2.5, False, 3.1)]
+    df = spark.createDataFrame(rows, "unit int, arm string, direction int, target_change double, match_complete boolean, match_distance double")
+    row = match.coverage_expected(df, spark.createDataFrame([(4,), (6,), (9,), (10,), (4,)], "unit int")).first()
+    assert (row.expected_units, row.observed_units, row.matched_units, row.coverage_rate) == (4, 3, 2, 0.5)
+    assert (row.median_match_distance, row.max_match_distance) == (0.7, 3.1)
+
+
+def test_contrast_of_two_arms_worked_by_hand(trial):
+    matched = match.match_at_target(trial, [6.5], 2.0)
+    table = contrast.paired_contrasts(matched, "pulse", SCORE, bootstrap=FEW, flips=FEW).collect()
+    assert {(r.comparator, r.direction) for r in table} == {("steady", -1), ("steady", 1)}
+    for r in table:  # advantages 3 + offset / 2: 2.7, 3.0, 3.45, 3.15
+        assert (r.n_pairs, r.mean_reference_advantage) == (4, pytest.approx(3.075))
+        assert 2.7 <= r.ci_low < 3.075 < r.ci_high <= 3.45
+        # All four are positive: of 16 flips two reach the observed mean.
+        assert 0.1 < r.p_value < 0.15 and r.p_holm == pytest.approx(2 * min(x.p_value for x in table), rel=0.2)
 
 
 def test_strata_without_pairs_are_listed(spark):
@@ -131,41 +128,46 @@ def test_holm_equals_a_plain_loop(spark):
     assert got == pytest.approx(want)
 
 
-def family_rows(estimates=(0.02, 0.08), pairs=(15, 16), lows=(0.01, 0.04), p=(0.01, 0.02)):
-    return [
-        ("masked", "unmasked", d, 5.0, "lpips", pairs[i], estimates[i], lows[i], 0.1 + i, p[i]) for i, d in enumerate((-1, 1))
-    ]
-
-
 FAMILY = (
     "reference_arm string, comparator string, direction int, target_change double, outcome string, n_pairs bigint,"
     " mean_reference_advantage double, ci_low double, ci_high double, p_value double"
 )
 
 
+def family(spark, down, up):
+    """A family of two rows, each (pairs, estimate, lower end, p)."""
+    rows = [("pulse", "steady", d, 2.5, "score", n, mean, low, mean + 1.0, p) for d, (n, mean, low, p) in ((-1, down), (1, up))]
+    df = spark.createDataFrame(rows, FAMILY)
+    return contrast.replication_family(df, "steady", "score", 2.5, reference_arm="pulse")
+
+
 @pytest.mark.parametrize(
-    "change, decision",
+    "down, up, decision",
     [
-        ({}, "strict_replication"),
-        ({"pairs": (11, 16)}, "inconclusive_coverage"),
-        ({"estimates": (-0.01, 0.08), "lows": (-0.03, 0.04)}, "failure_to_replicate"),
-        ({"lows": (-0.01, 0.04)}, "directional_replication"),
-        ({"p": (0.01, 0.2)}, "directional_replication"),
+        ((30, 0.9, 0.3, 0.004), (25, 1.4, 0.8, 0.001), "strict_replication"),
+        ((12, 0.9, 0.3, 0.024), (12, 1.4, 0.8, 0.024), "strict_replication"),
+        ((30, 0.9, 0.3, 0.026), (25, 1.4, 0.8, 0.6), "directional_replication"),
+        ((30, 0.9, 0.0, 0.004), (25, 1.4, 0.8, 0.001), "directional_replication"),
+        ((30, 0.9, 0.3, 0.004), (25, 0.0, -0.5, 0.001), "failure_to_replicate"),
+        ((30, -2.0, -3.0, 0.004), (4, 1.4, 0.8, 0.001), "inconclusive_coverage"),
+        ((30, 0.9, 0.3, None), (25, 1.4, 0.8, 0.001), "invalid_family"),
     ],
 )
-def test_decision_rule(spark, change, decision):
-    df = spark.createDataFrame(family_rows(**change), FAMILY)
-    family = contrast.replication_family(df, "unmasked", "lpips", 5.0, reference_arm="masked")
-    assert contrast.decide(family).first().decision == decision
+def test_decision_rule(spark, down, up, decision):
+    assert contrast.decide(family(spark, down, up)).first().decision == decision
+
+
+def test_an_empty_or_half_family_gives_no_verdict(spark):
+    whole = family(spark, (30, 0.9, 0.3, 0.004), (25, 1.4, 0.8, 0.001))
+    assert contrast.decide(whole.limit(0)).first().decision == "invalid_family"
+    assert contrast.decide(whole.where("direction = 1")).first().decision == "invalid_family"
+    assert contrast.decide(whole.withColumn("family_valid", F.lit(False))).first().decision == "invalid_family"
 
 
 def test_family_labels_and_adjustment(spark):
-    df = spark.createDataFrame(family_rows(), FAMILY)
-    rows = contrast.replication_family(df, "unmasked", "lpips", 5.0).orderBy("direction").collect()
+    rows = family(spark, (30, 0.9, 0.3, 0.03), (25, 1.4, 0.8, 0.2)).orderBy("direction").collect()
     assert [r.direction_label for r in rows] == ["lighter", "darker"]
-    assert [r.p_holm_family for r in rows] == [0.02, 0.02] and all(r.family_valid for r in rows)
-    half = contrast.replication_family(df.where("direction = 1"), "unmasked", "lpips", 5.0).collect()
-    assert not any(r.family_valid for r in half)
+    assert [r.p_holm_family for r in rows] == pytest.approx([0.06, 0.2]) and all(r.family_valid for r in rows)
 
 
 def test_published_replication_family(spark):
@@ -173,12 +175,12 @@ def test_published_replication_family(spark):
         ("masked", "unmasked", -1, 5.0, "lpips", 8, 0.0238445075228811, 0.0049441782757639, 0.0414636745350436, 0.0555494445055549),
         ("masked", "unmasked", 1, 5.0, "lpips", 10, 0.0409046314656734, 0.0176323029957711, 0.065490671712905, 0.0095899041009589),
     ]
-    parent = family_rows(estimates=(0.0234708387691242, 0.0824607211564267), pairs=(13, 14))
-    family = contrast.replication_family(spark.createDataFrame(rows, FAMILY), "unmasked", "lpips", 5.0)
-    got = {r.direction: r.p_holm_family for r in family.collect()}
+    parent = [("masked", "unmasked", d, 5.0, "lpips", n, mean, 0.01, 0.2, 0.01) for d, n, mean in ((-1, 13, 0.0234707688), (1, 14, 0.0824607212))]
+    found = contrast.replication_family(spark.createDataFrame(rows, FAMILY), "unmasked", "lpips", 5.0)
+    got = {r.direction: r.p_holm_family for r in found.collect()}
     assert got == pytest.approx({-1: 0.0555494445055549, 1: 0.0191798082019178})
-    assert contrast.decide(family).first().decision == "inconclusive_coverage"
-    joined = contrast.compare_families(family, spark.createDataFrame(parent, FAMILY)).collect()
+    assert contrast.decide(found).first().decision == "inconclusive_coverage"
+    joined = contrast.compare_families(found, spark.createDataFrame(parent, FAMILY)).collect()
     assert all(r.same_sign_as_parent and r.one_to_one for r in joined) and len(joined) == 2
 
 
@@ -245,6 +247,50 @@ def test_average_ranks_equal_pandas(spark):
     assert got["r"].tolist() == frame.groupby("g")["v"].rank(method="average").tolist()
 
 
+def test_ranks_of_infinities_and_nan(spark):
+    values = [3.0, float("inf"), float("nan"), float("-inf"), 1e300, None, 3.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = {r.i: r.r for r in average_ranks(df, [], "v", "r").collect()}
+    assert got == {3: 1.0, 0: 2.5, 6: 2.5, 4: 4.0, 1: 5.0}
+
+
+def test_input_order_does_not_choose_among_repeats(spark):
+    rows = [(1, "a", d, y, n) for n, (d, y) in enumerate([(1.0, 2.0), (1.0, 9.0), (2.0, 4.0), (2.0, 1.0), (3.0, 3.0), (3.0, 8.0)])]
+    seen, matched = set(), set()
+    for turn in range(4):
+        df = spark.createDataFrame(rows[turn:] + rows[:turn], "unit int, arm string, dose double, response double, line int").coalesce(1)
+        seen.add(describe.spearman_by_unit(df).first().spearman)
+        matched.add(tuple(match.match_at_target(df, [5.0], 1.0).first()))
+    assert len(seen) == 1 and len(matched) == 1
+
+
+def test_signs_of_opposite_units_are_drawn_apart(spark):
+    df = spark.createDataFrame([(u, 1.0) for k in range(1, 9) for u in (k, -k)], "unit bigint, x double")
+    p = sign_flip_p(df, [], "unit", "x", Resampling(resamples=100_000)).first().p_value
+    assert p < 0.0005  # 2 of 65 536 flips; 2 of 256 if k and -k shared their signs
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from effectlab.session import work_folder
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_folder(session, "x")
+
+
+def test_spellings_of_a_dose_do_not_double_rows(spark):
+    from effectlab.functions.keys import label_for, repeated_levels
+
+    levels = spark.createDataFrame([("2", "two"), ("2.0", "zwei"), ("0.00001", "tiny"), ("1000000", "huge"), ("x", "no")], "level_key string, level string")
+    df = spark.createDataFrame([("t", 2.0), ("t", 1e-5), ("t", 1e6), ("t", 5.0), ("o", 2.0)], "arm string, dose double")
+    got = {(r.arm, r.dose): (r.label, r.label_missing) for r in label_for(df, levels, base="-", template="<{level}>", target_arm="t").collect()}
+    assert got == {("t", 2.0): ("<two>", False), ("t", 1e-5): ("<tiny>", False), ("t", 1e6): ("<huge>", False), ("t", 5.0): (None, True), ("o", 2.0): ("-", False)}
+    assert [(float(r.dose), r.spellings, r.levels) for r in repeated_levels(levels).collect()] == [(2.0, 2, 2)]
+
+
 def test_monotonicity_counts_constant_series(spark):
     rows = [(1, "a", d, float(d)) for d in range(4)] + [(2, "a", d, 1.0) for d in range(4)] + [(3, "a", d, -float(d)) for d in range(2)]
     df = spark.createDataFrame(rows, "unit int, arm string, dose int, response double")
@@ -252,43 +298,40 @@ def test_monotonicity_counts_constant_series(spark):
     assert (row.n_units, row.mean_spearman, row.ci_low) == (2, 1.0, None)
 
 
-def test_describe_lists_absent_metrics(results):
-    rows = describe.describe(results, ["lpips", "nowhere"], LEDGER, None).where("metric = 'nowhere'").collect()
-    assert len(rows) == 8 and all((r.n_units, r.n_missing, r.mean) == (0, 3, None) for r in rows)
+def test_describe_lists_absent_metrics(trial):
+    rows = describe.describe(trial, ["score", "nowhere"], resampling=None).where("metric = 'nowhere'").collect()
+    assert len(rows) == 10 and all((r.n_units, r.n_missing, r.mean) == (0, 4, None) for r in rows)
 
 
-def test_missingness_without_flag_columns(results):
-    row = describe.missingness(results, LEDGER).first()
-    assert (row.attempted, row.generated, row.metric_failure_rate) == (3, 0, 1.0)
+def test_missingness_without_flag_columns(trial):
+    row = describe.missingness(trial).first()
+    assert (row.attempted, row.generated) == (4, 0)
 
 
-CALIBRATION = "seed bigint, method string, alpha double, generation_complete boolean, skin_tone_change double, lpips double, line int"
+REPEATS = "seed bigint, method string, alpha double, generation_complete boolean, skin_tone_change double, lpips double, line int"
 
 
-def test_equivalent_repeats_collapse(spark):
-    df = spark.createDataFrame([(1, "m", -0.75, True, -4.0, None, 1), (1, "m", -0.75, True, -4.0 + 1e-10, None, 2)], CALIBRATION)
-    out = dedup.dedup_verified(df, ["line"], names=LEDGER).require_agreement()
-    assert out.rows.count() == 1 and out.rows.first().skin_tone_change == -4.0
-    assert [tuple(r) for r in out.repeats.collect()] == [(1, "m", -0.75, 2)]
+def test_repeats_that_agree_collapse_to_the_first(spark):
+    rows = [(31, "k", 2.5, True, 7.0, 0.25, 9), (31, "k", 2.5, True, 7.0 - 2e-10, 0.25, 4), (31, "k", 2.5, True, 7.0, 0.25, 6), (32, "k", 2.5, True, 1.0, None, 5)]
+    out = dedup.dedup_verified(spark.createDataFrame(rows, REPEATS), ["line"], names=LEDGER).require_agreement()
+    assert sorted((r.seed, r.line) for r in out.rows.collect()) == [(31, 4), (32, 5)]
+    assert [tuple(r) for r in out.repeats.collect()] == [(31, "k", 2.5, 3)]
 
 
-@pytest.mark.parametrize(
-    "second, columns",
-    [((1, "m", 0.1, True, 1.0, 0.2, 2), "lpips"), ((1, "m", 0.1, False, None, 0.1, 2), "generation_complete,skin_tone_change")],
-)
-def test_conflicting_repeats_are_named(spark, second, columns):
-    df = spark.createDataFrame([(1, "m", 0.1, True, 1.0, 0.1, 1), second], CALIBRATION)
-    out = dedup.dedup_verified(df, ["line"], names=LEDGER)
-    assert out.conflicts.first()["columns"] == columns
+def test_repeats_that_disagree_are_named_by_column(spark):
+    rows = [(40, "k", -3.0, True, 6.0, 0.5, 1), (40, "k", -3.0, True, 6.5, 0.5, 2), (41, "k", -3.0, True, 6.0, 0.5, 3), (41, "k", -3.0, None, 6.0, 0.75, 4)]
+    out = dedup.dedup_verified(spark.createDataFrame(rows, REPEATS), ["line"], names=LEDGER)
+    got = {r["seed"]: r["columns"] for r in out.conflicts.collect()}
+    assert got == {40: "skin_tone_change", 41: "generation_complete,lpips"}
     with pytest.raises(ContractViolation, match="disagree"):
         out.require_agreement()
 
 
-def test_representative_unit(spark):
-    rows = [(u, m, d, 5.0, True, ita) for u, ita in ((1, 10.0), (2, 20.0), (3, 30.0)) for m in "abc" for d in (-1, 1)]
-    df = spark.createDataFrame(rows, "unit int, arm string, direction int, target_change double, match_complete boolean, original_ita double")
-    row = selection.select_unit(df, "original_ita").first()
-    assert (row.selected_unit, row.max_complete_rows, row.candidates, row.median_baseline) == (2, 6, 3, 20.0)
+def test_selected_unit_is_the_middle_of_the_most_complete(spark):
+    rows = [(u, arm, d, 2.5, not (u == 8 and arm == "q"), base) for u, base in ((2, 61.0), (5, 40.0), (8, 52.0), (9, 47.0)) for arm in ("p", "q") for d in (-1, 1)]
+    df = spark.createDataFrame(rows, "unit int, arm string, direction int, target_change double, match_complete boolean, base double")
+    row = selection.select_unit(df, "base").first()  # unit 8 is half complete; 47 is the median of 40, 47 and 61
+    assert (row.selected_unit, row.max_complete_rows, row.candidates, row.median_baseline) == (9, 4, 3, 47.0)
 
 
 def test_quantile_summary(spark):
