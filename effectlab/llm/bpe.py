@@ -47,13 +47,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     """(left, right, merged) ranks of the one pair from which each token can be merged."""
-    found = []
+    found, none = [], max(ranks.values(), default=0) + 1
     for token, rank in ranks.items():
         parts = [token[i : i + 1] for i in range(len(token))]
         while len(parts) > 2:
-            pairs = [ranks.get(a + b, len(ranks)) for a, b in zip(parts, parts[1:])]
+            pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
             at = min(range(len(pairs)), key=pairs.__getitem__)
-            if pairs[at] == len(ranks):
+            if pairs[at] == none:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         if len(parts) == 2:

@@ -280,7 +280,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     if not n_passages:
         return docs
     counts, rows = frequencies(docs, text)
-    weights = np.log((rows + 1) / (counts + 1))
+    weights = np.maximum(np.log((rows + 1) / (counts + 1)), 0.01)  # a word of every text still has a direction
     passages = written(_passages(items.select("text")), "passages")
     vectors = (space(passages, weights) * weights[:, None]).astype(np.float32)
     parts = -(-int(n_passages) // BLOCK_PASSAGES)
