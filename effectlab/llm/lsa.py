@@ -8,9 +8,10 @@
    its singular value, so that the many words all texts share don't drown the rest.
 3. Every window of every document is compared with every benchmark passage by cosine in
    that space; a window's vector is the sum of those of its cells of ``CELL`` words. Where
-   it is near, the words around the window are compared with the whole
-   item: the longest common subsequence must hold most of the item, and of its answer (its
-   last sentence) unless nearly all of the item is there.
+   it is near, the words around the window are compared with the whole item: half of the
+   weight of its words must be there in any order, the longest common subsequence must
+   hold most of the item, and of its answer (its last sentence) unless nearly all of the
+   item is there.
 
 The benchmark is a query set that is run in blocks of ``BLOCK_PASSAGES`` passages, each
 broadcast; documents are read by narrow passes and never shuffled.
@@ -42,12 +43,16 @@ CELL = 12
 #: Words of a passage of the benchmark.
 PASSAGE = 48
 #: Cosine from which a window is compared word by word; passages of the benchmark a block.
-NEAR = 0.55
+NEAR = 0.5
 BLOCK_PASSAGES = 20_000
 #: Shares of an item, and of its answer, that a leak holds in order; share of an item that needs no answer.
 SHARED, ANSWERED, PLAIN = 0.6, 0.5, 0.85
+#: Share of the weight (inverse document frequency) of an item's words that a leak holds.
+WEIGHED = 0.5
 #: Items of fewer words must be there whole.
 SHORT = 8
+#: Word slots by which candidates are sifted before they are compared.
+_SLOTS = 12
 _CHUNK = 1024
 
 
@@ -189,10 +194,10 @@ def _items(rows: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, int]]:
     return out
 
 
-def _is_leak(item: np.ndarray, answer: int, around: np.ndarray) -> tuple[bool, float, float]:
+def _is_leak(item: np.ndarray, weight: np.ndarray, answer: int, around: np.ndarray) -> tuple[bool, float, float]:
     """Whether ``around`` holds the item, and the shares of it and of its answer that it holds."""
-    least = _least(item)
-    if np.isin(item, around).sum() < least:
+    least, present = _least(item), np.isin(item, around)
+    if present.sum() < least or weight[present].sum() < WEIGHED * weight.sum():
         return False, 0.0, 0.0
     length = common(item, around)
     if length < least:
@@ -226,7 +231,28 @@ def _windows(words, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield row[chosen], first[chosen], sums[chosen]
 
 
-def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors: np.ndarray, text: str, result: str) -> DataFrame:
+def _slot(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _sifted(slots: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, item_slots: np.ndarray, item_weights: np.ndarray) -> np.ndarray:
+    """Candidates (words ``begin`` to ``end`` against an item) that may hold enough of the item's
+    weight. Words are told apart by slot here, so none that does is lost."""
+    kept = []
+    for low in range(0, len(item), 1_000):
+        a, b, number = begin[low : low + 1_000], end[low : low + 1_000], item[low : low + 1_000]
+        place = a[:, None] + np.arange((b - a).max())
+        inside = place < b[:, None]
+        there = np.zeros((len(a), 1 << _SLOTS), bool)
+        candidate = np.broadcast_to(np.arange(len(a))[:, None], place.shape)
+        there[candidate[inside], slots[place[inside]]] = True
+        weight = item_weights[number]
+        held = (there[np.arange(len(a))[:, None], item_slots[number]] * weight).sum(axis=1)
+        kept.append(low + np.flatnonzero(held >= (WEIGHED - 1e-3) * weight.sum(axis=1)))
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors: np.ndarray, weights: np.ndarray, text: str, result: str) -> DataFrame:
     """``docs`` with the leaks of these items added to ``result``."""
     passages, of = [], []
     for number, (_, words, _) in enumerate(items):
@@ -236,32 +262,41 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors:
             of.append(number)
     queries = np.array(passages, np.float32)
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, queries.T.copy(), np.array(of), items))
+    longest = max(len(words) for _, words, _ in items)
+    item_slots, item_weights = np.zeros((len(items), longest), np.int64), np.zeros((len(items), longest), np.float32)
+    for number, (_, words, _) in enumerate(items):
+        item_slots[number, : len(words)], item_weights[number, : len(words)] = _slot(words), weights[_terms(words)]
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, queries.T.copy(), np.array(of), items, item_slots, item_weights))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, targets, item_of, known = shared.value
+        table, targets, item_of, known, item_slots, item_weights = shared.value
+        lengths = np.array([len(words) for _, words, _ in known])
         for batch in batches:
             found: list[dict[int, tuple]] = [{} for _ in range(batch.num_rows)]
             for block in blocks(batch.column(names.index(text))):
                 words = words_of(block, lower=True)
+                slots = _slot(words.hash)
                 for number_of, (row, first, vectors) in enumerate(_windows(words, table)):
                     reach = CELL * (2, 4)[number_of]
                     vectors /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-6)[:, None]
                     for low in range(0, len(row), 1_000):
                         cosine = vectors[low : low + 1_000] @ targets
                         near = np.flatnonzero(cosine.ravel() >= NEAR)
-                        for w, p in zip((low + near // cosine.shape[1]).tolist(), (near % cosine.shape[1]).tolist()):
-                            at, number = int(row[w]), int(item_of[p])
-                            mine = found[block.first + at]
-                            if number in mine:
+                        if not len(near):
+                            continue
+                        w, p = low + near // cosine.shape[1], near % cosine.shape[1]
+                        number = item_of[p]
+                        begin = np.maximum(words.row_start[row[w]], first[w] - lengths[number])
+                        end = np.minimum(words.row_start[row[w] + 1], first[w] + reach + lengths[number])
+                        for k in _sifted(slots, begin, end, number, item_slots, item_weights).tolist():
+                            mine, which = found[block.first + int(row[w[k]])], int(number[k])
+                            if which in mine:
                                 continue
-                            item_id, item, answer = known[number]
-                            begin = max(int(words.row_start[at]), int(first[w]) - len(item))
-                            around = words.hash[begin : min(int(words.row_start[at + 1]), int(first[w]) + reach + len(item))]
-                            leak, share, answered = _is_leak(item, answer, around)
+                            item_id, item, answer = known[which]
+                            leak, share, answered = _is_leak(item, item_weights[which, : len(item)], answer, words.hash[begin[k] : end[k]])
                             if leak:
-                                mine[number] = (item_id, share, answered, float(cosine[w - low, p]))
+                                mine[which] = (item_id, share, answered, float(cosine[w[k] - low, p[k]]))
             before = batch.column(names.index(result)).to_pylist()
             told = [[*old, *(dict(zip(("item_id", "shared", "answered", "cosine"), x)) for x in new.values())] for old, new in zip(before, found)]
             kind = batch.schema.field(result).type
@@ -287,7 +322,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     for part in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         if known := _items([(r["item_id"], r["text"]) for r in block]):
-            docs = _search(docs, known, vectors, text, result)
+            docs = _search(docs, known, vectors, weights, text, result)
     return docs
 
 
