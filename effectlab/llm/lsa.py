@@ -42,8 +42,10 @@ RANK, EXTRA, PASSES = 64, 16, 2
 CELL = 12
 #: Words of a passage of the benchmark.
 PASSAGE = 48
-#: Cosine from which a window is compared word by word; passages of the benchmark a block.
-NEAR = 0.5
+#: Cosine from which a window is compared word by word, if its part along the passage is at
+#: least ``HELD`` of the passage's length; passages of the benchmark a block.
+HELD = 0.4
+NEAR = 0.6
 BLOCK_PASSAGES = 20_000
 #: Shares of an item, and of its answer, that a leak holds in order; share of an item that needs no answer.
 SHARED, ANSWERED, PLAIN = 0.6, 0.5, 0.85
@@ -261,16 +263,17 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors:
             passages.append(vectors[_terms(words[start : start + PASSAGE])].sum(axis=0))
             of.append(number)
     queries = np.array(passages, np.float32)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+    lengths_of = np.maximum(np.linalg.norm(queries, axis=1), 1e-9).astype(np.float32)
+    queries /= lengths_of[:, None]
     longest = max(len(words) for _, words, _ in items)
     item_slots, item_weights = np.zeros((len(items), longest), np.int64), np.zeros((len(items), longest), np.float32)
     for number, (_, words, _) in enumerate(items):
         item_slots[number, : len(words)], item_weights[number, : len(words)] = _slot(words), weights[_terms(words)]
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, queries.T.copy(), np.array(of), items, item_slots, item_weights))
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, queries.T.copy(), np.array(of), items, item_slots, item_weights, HELD * lengths_of))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, targets, item_of, known, item_slots, item_weights = shared.value
+        table, targets, item_of, known, item_slots, item_weights, floor = shared.value
         lengths = np.array([len(words) for _, words, _ in known])
         for batch in batches:
             found: list[dict[int, tuple]] = [{} for _ in range(batch.num_rows)]
@@ -279,13 +282,13 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors:
                 slots = _slot(words.hash)
                 for number_of, (row, first, vectors) in enumerate(_windows(words, table)):
                     reach = CELL * (2, 4)[number_of]
-                    vectors /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-6)[:, None]
+                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-6)
                     for low in range(0, len(row), 1_000):
-                        cosine = vectors[low : low + 1_000] @ targets
-                        near = np.flatnonzero(cosine.ravel() >= NEAR)
+                        along = vectors[low : low + 1_000] @ targets
+                        near = np.flatnonzero((along >= floor) & (along >= NEAR * norm[low : low + 1_000, None]))
                         if not len(near):
                             continue
-                        w, p = low + near // cosine.shape[1], near % cosine.shape[1]
+                        w, p = low + near // along.shape[1], near % along.shape[1]
                         number = item_of[p]
                         begin = np.maximum(words.row_start[row[w]], first[w] - lengths[number])
                         end = np.minimum(words.row_start[row[w] + 1], first[w] + reach + lengths[number])
@@ -296,7 +299,7 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors:
                             item_id, item, answer = known[which]
                             leak, share, answered = _is_leak(item, item_weights[which, : len(item)], answer, words.hash[begin[k] : end[k]])
                             if leak:
-                                mine[which] = (item_id, share, answered, float(cosine[w[k] - low, p[k]]))
+                                mine[which] = (item_id, share, answered, float(along[w[k] - low, p[k]] / norm[w[k]]))
             before = batch.column(names.index(result)).to_pylist()
             told = [[*old, *(dict(zip(("item_id", "shared", "answered", "cosine"), x)) for x in new.values())] for old, new in zip(before, found)]
             kind = batch.schema.field(result).type
