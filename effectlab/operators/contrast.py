@@ -184,14 +184,15 @@ def decide(
 ) -> DataFrame:
     """The ordered decision rule over a family: validity, coverage, sign, then strictness.
 
-    A family that hasn't ``size`` rows, lacks a p-value or isn't valid gets no verdict
-    but ``invalid_family``.
+    A family that hasn't ``size`` rows, is marked as not valid, or lacks a p-value though
+    it has enough pairs gets no verdict but ``invalid_family``.
     """
     c = F.col
-    valid = c("family_valid") if "family_valid" in family.columns else F.lit(True)
+    marked = c("family_valid") if "family_valid" in family.columns else F.lit(True)
+    valid = marked & (c("p_holm_family").isNotNull() | (c("n_pairs") < minimum_pairs))
     facts = family.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.bool_and(F.coalesce(valid & c("p_holm_family").isNotNull(), F.lit(False))).alias("_valid"),
+        F.bool_and(F.coalesce(valid, F.lit(False))).alias("_valid"),
         F.bool_or(c("n_pairs") < minimum_pairs).alias("_short"),
         F.bool_or(c("mean_reference_advantage") <= 0).alias("_adverse"),
         F.bool_and(F.coalesce(c("ci_low") > 0, F.lit(False))).alias("_above"),
