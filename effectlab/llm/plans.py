@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bagminhash, bpe, kneser_ney, lsa, mixing, pages, rules, secrets, sharding, urls
+from effectlab.llm import bagminhash, bpe, fim, kneser_ney, lsa, mixing, pages, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,6 +91,13 @@ def op10_url_models(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents cut at two lines and put together for filling in, and back."""
+    made = fim.transform(_table(spark, sf, "documents").select("doc_id", "text"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_kneser_ney": op2_kneser_ney,
@@ -102,9 +109,11 @@ QUERIES = {
     "op8_bagminhash": op8_bagminhash,
     "op9_latent_leaks": op9_latent_leaks,
     "op10_url_models": op10_url_models,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
     "op3_secret_ledger": secrets.SQL,
+    "op12_fill_in_middle": fim.sql(),
 }
