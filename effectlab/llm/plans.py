@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bagminhash, bpe, fim, kneser_ney, lsa, mixing, pages, rules, secrets, sharding, urls
+from effectlab.llm import bagminhash, bpe, fim, kneser_ney, lsa, merkle, mixing, pages, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,6 +91,16 @@ def op10_url_models(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_octopus_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of all documents, and their proofs against claims of which a third are tampered with."""
+    docs = _table(spark, sf, "documents")
+    leaf = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(merkle.lowered(F.col("text"))))
+    leaves = docs.select("doc_id", F.col("lang").alias("group"), leaf(F.col("text")).alias("leaf"), claim.alias("claim"))
+    proofs = merkle.prove(merkle.manifest(leaves, ["doc_id"]), "claim")
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     """All documents cut at two lines and put together for filling in, and back."""
     made = fim.transform(_table(spark, sf, "documents").select("doc_id", "text"))
@@ -109,11 +119,13 @@ QUERIES = {
     "op8_bagminhash": op8_bagminhash,
     "op9_latent_leaks": op9_latent_leaks,
     "op10_url_models": op10_url_models,
+    "op11_octopus_manifest": op11_octopus_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
     "op3_secret_ledger": secrets.SQL,
+    "op11_octopus_manifest": merkle.SQL,
     "op12_fill_in_middle": fim.sql(),
 }
