@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlab.llm import bagminhash, bpe, fim, kneser_ney, lsa, merkle, mixing, pages, rules, secrets, sharding, urls
+from effectlab.llm import bagminhash, bpe, fim, kneser_ney, lsa, merkle, mixing, pages, pii, rules, secrets, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,6 +108,13 @@ def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in all documents, plain and disguised."""
+    found = pii.detect(_table(spark, sf, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [pii.count(F.col("pii"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.told(F.col("pii"), base_only=True), 256).alias("base_sha256"), pii.told(F.col("pii")).alias("spans"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_kneser_ney": op2_kneser_ney,
@@ -121,6 +128,7 @@ QUERIES = {
     "op10_url_models": op10_url_models,
     "op11_octopus_manifest": op11_octopus_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_personal_data": op13_personal_data,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
