@@ -1,16 +1,20 @@
 """Bootstrap intervals and sign-flip p-values per stratum.
 
-Draws come from a counter (see ``functions.rng``), so a replicate is the same however the
-rows are partitioned or a task retried. Spark splits the rows of a stratum into shards of
-bounded size and the replicates into blocks; a small NumPy kernel turns one shard and
-block into partial sums; Spark adds the partial sums. No stratum is gathered whole unless
-its counted size is at most ``index_limit``.
-
-* Sign flips split over rows without any change of meaning.
-* A bootstrap mean of up to ``index_limit`` rows draws row positions with replacement.
-  Beyond that size each row gets a Poisson(1) weight per replicate and the replicate is
-  the weighted mean, the usual form of the same bootstrap when the sample is spread over
-  many machines; its difference from position draws is of order 1/n.
+A stratum is its values in order; rows of one value are counted before anything is moved,
+so a frequent value is one row however often it occurs. Positions in that order are cut
+into shards of about ``shard_rows``, and replicates into blocks. A task turns one shard and
+block into a vector of partial sums, one number a replicate; the vectors of a stratum are
+added up in two levels and read once at the end. Draws come from a counter (see
+``functions.rng``), so a replicate is the same however the rows are partitioned or a task
+retried, and no stratum is gathered.
+
+* *Bootstrap.* The n draws of a replicate fall on n positions. A stratum has 2**d shards of
+  equal width n / 2**d; where a shard's edge cuts a position, both sides hold their part of
+  it. The n draws are dealt down the binary tree over the shards, each node passing a
+  Binomial(draws, 1/2) to its left: these are keyed by (seed, node, block), so all shards
+  below a node work out the same number. Inside its shard a draw is uniform. A stratum of
+  one shard deals nothing. The law is that of n uniform draws with replacement at any size.
+* *Sign flips.* Each position has one random sign per replicate; partial sums add up.
 """
 
 from __future__ import annotations
@@ -19,145 +23,214 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from effectlab.functions.numeric import finite
-from effectlab.functions.rng import SIGN_BITS, draws, poisson_limits
+from effectlab.functions.ordering import null_safe_join, positions, value_counts
+from effectlab.functions.rng import SIGN_BITS, draws, uniform_below
 
-_CELLS = 1_000_000  # replicate x row cells a kernel holds at a time
+_CELLS = 1 << 16  # replicate x row cells a kernel holds at a time
 
 
 @dataclass(frozen=True)
 class Resampling:
-    """Resampling parameters."""
+    """Resampling parameters. ``block`` is a number of replicates, a multiple of SIGN_BITS."""
 
     resamples: int = 10_000
     confidence: float = 0.95
     seed: int = 2026
-    index_limit: int = 4096
-    shard_rows: int = 4096
-    block: int = 12_000  # replicates per block, a multiple of SIGN_BITS
+    shard_rows: int = 32_768
+    block: int = 2_048
 
 
-def item_key(df: DataFrame, unit: str) -> Column:
-    """An integer naming the unit: itself, sign included, or a hash of it."""
-    if isinstance(df.schema[unit].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(unit).cast("bigint")
-    return F.pmod(F.xxhash64(unit), F.lit(2**62))
+def _strata(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Runs of equal values (by..., _x, n, before, total), one row per stratum, and what a
+    stratum is told by: a constant if by nothing."""
+    whole = [] if by else [F.lit(1).alias("_all")]
+    rows = df.select(*by, *whole, finite(value).alias("_x")).where(F.col("_x").isNotNull())
+    by = list(by) or ["_all"]
+    counts = value_counts(rows, by, "_x")
+    # Whole multiples of a value, added in the order of values, are the same in any plan.
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("_x") * F.col("n")).alias("_sum"))
+    return positions(counts, by, "_x").where("total >= 2"), sizes, by
 
 
-def _strata(df: DataFrame, by: Sequence[str], unit: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(_stratum, _key, _x)`` with a finite value, and one row per stratum."""
-    name = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"}) if by else F.lit("all")
-    rows = df.select(*by, name.alias("_stratum"), item_key(df, unit).alias("_key"), finite(value).alias("_x"))
-    rows = rows.where(F.col("_x").isNotNull())
-    sizes = rows.groupBy(*by, "_stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("_sum"))
-    return rows.select("_stratum", "_key", "_x"), sizes
+def depth(n: int | Column, shard_rows: int) -> int | Column:
+    """Levels of the tree over the shards of a stratum of n rows."""
+    if isinstance(n, Column):
+        return F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(shard_rows))))).cast("int")
+    return max(0, int(np.ceil(np.log2(n / shard_rows))))
 
 
-def _partials(
-    rows: DataFrame, sizes: DataFrame, shards: Column, replicates: int, block: int, kernel: Callable
-) -> DataFrame:
-    """``(_stratum, rep, s, w)``: partial sums of every shard and replicate block.
+def _keys(table: pa.Table, by: Sequence[str]) -> list[pa.Array]:
+    """The stratum of a group, from its first row."""
+    return [table.column(c).slice(0, 1).combine_chunks() for c in by]
+
+
+def _fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
+    return [df.schema[c] for c in by]
 
-    Shards are taken by unit hash; a stratum of n rows has about n / shard_rows of them,
-    so a stratum with a third of all rows is spread over as many tasks as it needs.
+
+def _vectors(runs: DataFrame, by: Sequence[str], config: Resampling, kernel: Callable) -> DataFrame:
+    """(by..., _block, sums, total): the replicate sums of each stratum and block, packed.
+
+    ``runs`` has a row for each run and shard that it reaches into, and ``_shards``.
     """
+    replicates, block = config.resamples, config.block
     blocks = -(-replicates // block)
-    spread = (
-        rows.join(sizes.where(F.col("n") >= 2).select("_stratum", "n"), "_stratum")
-        .withColumn("_shard", F.pmod(F.xxhash64("_key"), shards))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    )
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[2]) * block
-        reps = np.arange(first, min(first + block, replicates))
-        frame = frame.sort_values(["_key", "_x"])
-        s, w = kernel(frame["_key"].to_numpy(np.int64), frame["_x"].to_numpy(float), int(frame["n"].iloc[0]), reps)
-        return pd.DataFrame({"_stratum": key[0], "rep": reps, "s": s, "w": w})
-
-    return spread.groupBy("_stratum", "_shard", "_block").applyInPandas(
-        one, "_stratum string, rep bigint, s double, w double"
-    )
-
-
-def _bootstrap_kernel(seed: int, index_limit: int) -> Callable:
-    limits = np.array(poisson_limits())
-
-    def kernel(keys, x, n, reps):
-        s, w = np.empty(len(reps)), np.empty(len(reps))
-        step = max(1, _CELLS // max(len(x), 1))
-        for at in range(0, len(reps), step):
-            rep = reps[at : at + step, None]
-            if n <= index_limit:
-                chosen = draws(seed, rep, np.arange(n)[None, :]) % n
-                s[at : at + step], w[at : at + step] = x[chosen].sum(axis=1), n
-            else:
-                weight = np.searchsorted(limits, draws(seed, rep, keys[None, :]), side="right")
-                s[at : at + step], w[at : at + step] = weight @ x, weight.sum(axis=1)
-        return s, w
+    dealt = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    names = [*by, "_block", "_part", "total", "sums"]
+    own = [T.StructField("_block", T.IntegerType()), T.StructField("_part", T.LongType()), T.StructField("total", T.LongType()), T.StructField("sums", T.BinaryType())]
+    schema = T.StructType([*_fields(runs, by), *own])
+
+    def packed(table: pa.Table, number: int, part: int, total: int, sums: np.ndarray) -> pa.Table:
+        made = [pa.array([number], pa.int32()), pa.array([part], pa.int64()), pa.array([total], pa.int64()), pa.array([sums.tobytes()], pa.binary())]
+        return pa.Table.from_arrays([*_keys(table, by), *made], names)
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("before")
+        first = {c: table.column(c)[0].as_py() for c in ("_block", "_shard", "_shards", "total")}
+        reps = np.arange(first["_block"] * block, min(replicates, (first["_block"] + 1) * block))
+        before, n, x = (table.column(c).to_numpy() for c in ("before", "n", "_x"))
+        sums = kernel(before, n, x, int(first["total"]), int(first["_shard"]), int(first["_shards"]), int(first["_block"]), reps)
+        # About the square root of the shards meet in each of as many first sums.
+        return packed(table, first["_block"], int(first["_shard"]) // max(1, int(np.sqrt(first["_shards"]))), first["total"], sums)
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("_part").to_pylist(), (v.as_buffer() for chunk in table.column("sums").chunks for v in chunk)), key=lambda p: (p[0], bytes(p[1])))
+        sums = np.zeros(len(parts[0][1]) // 8)
+        for _, part in parts:
+            sums += np.frombuffer(part)
+        return packed(table, table.column("_block")[0].as_py(), 0, table.column("total")[0].as_py(), sums)
+
+    partial = dealt.groupBy(*by, "_shard", "_block").applyInArrow(one, schema)
+    first = partial.groupBy(*by, "_block", "_part").applyInArrow(add, schema)
+    return first.groupBy(*by, "_block").applyInArrow(add, schema)
+
+
+def _deal(seed: int, levels: int, shard: int, block: int, total: int, count: int) -> np.ndarray:
+    """The draws that each of ``count`` replicates of a block has for a shard."""
+    dealt = np.full(count, total, np.int64)
+    for level in range(levels):
+        node = (1 << level) + (shard >> (levels - level))
+        left = np.random.Generator(np.random.Philox(key=[seed, (block << 40) + node])).binomial(dealt, 0.5)
+        dealt = left if (shard >> (levels - level - 1)) & 1 == 0 else dealt - left
+    return dealt
+
+
+def _bootstrap_kernel(seed: int) -> Callable:
+    def kernel(before, n, x, total, shard, shards, block, reps):
+        levels = shards.bit_length() - 1
+        # The shard covers [shard * total, (shard + 1) * total) in units of 1 / shards of a row.
+        low, values = int(before[0]), np.repeat(x, n)
+        sums = np.empty(len(reps))
+        if levels == 0:
+            step = max(1, _CELLS // total)
+            item = np.arange(total)[None, :]
+            for at in range(0, len(reps), step):
+                drawn = draws(seed, reps[at : at + step, None], item)
+                sums[at : at + step] = values[uniform_below(drawn, total)].sum(axis=1)
+            return sums
+        for i, (rep, dealt) in enumerate(zip(reps, _deal(seed, levels, shard, block, total, len(reps)))):
+            drawn = uniform_below(draws(seed, rep, np.arange(dealt), shard), total)
+            sums[i] = values[((drawn + shard * total) >> levels) - low].sum()
+        return sums
 
     return kernel
 
 
 def _sign_kernel(seed: int) -> Callable:
-    def kernel(keys, x, n, reps):
+    def kernel(before, n, x, total, shard, shards, block, reps):
+        values = np.repeat(x, n)
         words = np.unique(reps // SIGN_BITS)
         sums = np.empty(len(words) * SIGN_BITS)
-        step = max(1, _CELLS // max(len(x), 1))
+        step = max(1, _CELLS // len(values))
+        item = np.arange(len(values))[None, :]
+        whole = values.sum()
         for at in range(0, len(words), step):
-            h = draws(seed, words[at : at + step, None], keys[None, :])
-            for bit in range(SIGN_BITS):
-                signs = 1.0 - 2.0 * ((h >> bit) & 1)
-                here = (np.arange(at, at + len(h))) * SIGN_BITS + bit
-                sums[here] = signs @ x
-        return sums[reps - words[0] * SIGN_BITS], np.full(len(reps), float(len(x)))
+            word = draws(seed, words[at : at + step, None], item, shard)
+            for i in range(len(word)):
+                bits = np.unpackbits(word[i].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                place = (at + i) * SIGN_BITS
+                # The bits are the rows with a minus.
+                sums[place : place + SIGN_BITS] = whole - 2.0 * (values @ bits.astype(float))
+        return sums[reps - words[0] * SIGN_BITS]
 
     return kernel
 
 
+def _exploded(runs: DataFrame, first: Column, last: Column, shards: Column) -> DataFrame:
+    return runs.select("*", shards.alias("_shards"), F.explode(F.sequence(first, last)).alias("_shard"))
+
+
+def _clipped(runs: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Runs cut to the positions [low, high] that their shard reaches."""
+    begin, end = F.greatest(F.col("before"), low), F.least(F.col("before") + F.col("n") - 1, high)
+    return runs.withColumns({"before": begin, "n": end - begin + 1})
+
+
 def bootstrap_ci(
     df: DataFrame, by: Sequence[str], unit: str, value: str, config: Resampling = Resampling()
 ) -> DataFrame:
     """Percentile interval of the mean per stratum: ``by..., n, ci_low, ci_high``.
 
-    Non-finite values are dropped; fewer than two values give a null interval.
+    Non-finite values are dropped; fewer than two values give a null interval. ``unit``
+    names the rows for readers; the draws need positions only.
     """
-    rows, sizes = _strata(df, by, unit, value)
-    over = F.col("n") > config.index_limit
-    shards = F.when(over, F.ceil(F.col("n") / config.shard_rows)).otherwise(F.lit(1)).cast("bigint")
-    kernel = _bootstrap_kernel(config.seed, config.index_limit)
-    partial = _partials(rows, sizes, shards, config.resamples, config.block, kernel)
-    means = partial.groupBy("_stratum", "rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    wanted = list(by)
+    runs, sizes, by = _strata(df, by, value)
+    levels = depth(F.col("total"), config.shard_rows)
+    wide = runs.withColumn("_d", levels).withColumn("_w", F.expr("shiftleft(1L, _d)"))
+    # Products of a position and 2**d stay below 2**63 for strata up to 2**39 rows.
+    first = F.expr("(before * _w) div total")
+    last = F.expr("((before + n) * _w - 1) div total")
+    dealt = _exploded(wide, first, last, F.col("_w"))
+    dealt = _clipped(dealt, F.expr("(_shard * total) div _w"), F.expr("((_shard + 1) * total - 1) div _w")).drop("_d", "_w")
+    vectors = _vectors(dealt, by, config, _bootstrap_kernel(config.seed))
     tail = (1.0 - config.confidence) / 2.0
-    # At most ``resamples`` values per stratum.
-    ends = means.groupBy("_stratum").agg(F.percentile("m", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_ends"))
-    return sizes.join(ends, "_stratum", "left").select(
-        *by, "n", F.col("_ends")[0].alias("ci_low"), F.col("_ends")[1].alias("ci_high")
-    )
+
+    def ends(table: pa.Table) -> pa.Table:
+        total = table.column("total")[0].as_py()
+        order = np.argsort(table.column("_block").to_numpy())
+        sums = table.column("sums").to_pylist()
+        means = np.concatenate([np.frombuffer(sums[i]) for i in order]) / total
+        low, high = np.quantile(means, [tail, 1.0 - tail])
+        return pa.Table.from_arrays([*_keys(table, by), pa.array([low]), pa.array([high])], [*by, "ci_low", "ci_high"])
+
+    schema = T.StructType([*_fields(vectors, by), T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
+    found = vectors.groupBy(*by).applyInArrow(ends, schema)
+    return null_safe_join(sizes, found, by, "left").select(*wanted, "n", "ci_low", "ci_high")
 
 
 def sign_flip_p(
-    df: DataFrame, by: Sequence[str], unit: str, value: str, config: Resampling = Resampling(resamples=100_000)
+    df: DataFrame, by: Sequence[str], unit: str, value: str, config: Resampling = Resampling(resamples=100_000, shard_rows=4_096, block=16_384)
 ) -> DataFrame:
     """Two-sided paired sign-flip p-value per stratum: ``by..., n, p_value``.
 
     ``(extreme + 1) / (resamples + 1)``; a flip equal to the observed mean is extreme.
     """
-    rows, sizes = _strata(df, by, unit, value)
-    shards = F.ceil(F.col("n") / config.shard_rows).cast("bigint")
-    partial = _partials(rows, sizes, shards, config.resamples, config.block, _sign_kernel(config.seed))
-    flipped = partial.groupBy("_stratum", "rep").agg(F.abs(F.sum("s")).alias("flip"))
-    # The observed sum is added up in the same order as the flips only up to rounding.
-    bar = F.abs(F.col("_sum")) * F.lit(1.0 - 1e-12)
-    counted = (
-        flipped.join(sizes.select("_stratum", "_sum"), "_stratum")
-        .groupBy("_stratum")
-        .agg(F.count_if(F.col("flip") >= bar).alias("extreme"))
-    )
+    if config.block % SIGN_BITS:
+        raise ValueError(f"a block of flips is a multiple of {SIGN_BITS}")
+    wanted = list(by)
+    runs, sizes, by = _strata(df, by, value)
+    rows = config.shard_rows
+    dealt = _exploded(runs, F.expr(f"before div {rows}"), F.expr(f"(before + n - 1) div {rows}"), F.expr(f"(total + {rows - 1}) div {rows}"))
+    dealt = _clipped(dealt, F.col("_shard") * rows, (F.col("_shard") + 1) * rows - 1)
+    vectors = _vectors(dealt, by, config, _sign_kernel(config.seed))
+    # Each block meets the observed sum by itself, and only its count goes on.
+    observed = null_safe_join(vectors, sizes.select(*by, "_sum"), by)
+
+    def extreme(batches):
+        for batch in batches:
+            sums, seen = batch.column("sums"), batch.column("_sum").to_numpy()
+            # The observed sum is added up in the same order as the flips only up to rounding.
+            counts = [int(np.count_nonzero(np.abs(np.frombuffer(s.as_buffer())) >= abs(o) * (1.0 - 1e-12))) for s, o in zip(sums, seen)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in by), pa.array(counts, pa.int64())], [*by, "extreme"])
+
+    schema = T.StructType([*_fields(vectors, by), T.StructField("extreme", T.LongType())])
+    counted = observed.mapInArrow(extreme, schema).groupBy(*by).agg(F.sum("extreme").alias("extreme"))
     p = (F.col("extreme") + F.lit(1.0)) / F.lit(config.resamples + 1.0)
-    return sizes.join(counted, "_stratum", "left").select(*by, "n", p.alias("p_value"))
+    return null_safe_join(sizes, counted, by, "left").select(*wanted, "n", p.alias("p_value"))

@@ -49,10 +49,9 @@ def split_half(
     drawn = pairs.select(
         key, F.explode(F.array(*[F.lit(c) for c in counts])).alias("pair_count")
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    stream = F.col("resample") * 1000 + F.col("pair_count")
     order = W.Window.partitionBy("pair_count", "resample").orderBy("_draw", key)
     ranked = (
-        drawn.withColumn("_draw", draw_column(seed, stream, F.col(key)))
+        drawn.withColumn("_draw", draw_column(seed, F.col("resample"), F.col(key), F.col("pair_count")))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= 2 * counts[-1])
         .where(F.col("_rank") <= 2 * F.col("pair_count"))

@@ -9,7 +9,7 @@ from effectlab.functions.keys import with_direction
 from effectlab.functions.ordering import average_ranks, first_per_key
 from effectlab.operators import contrast, describe, match, selection
 from effectlab.operators.multiplicity import holm
-from effectlab.operators.resample import Resampling, bootstrap_ci, sign_flip_p
+from effectlab.operators.resample import bootstrap_ci, sign_flip_p
 from effectlab.plans import fixtures as fx
 from effectlab.plans.registry import plan, q6, r6, rounded
 
@@ -48,8 +48,6 @@ def j9_match_at_target(spark, sf):
     )
 
 
-BOOT = Resampling(resamples=400)
-FLIPS = Resampling(resamples=2000)
 DOSES = "arm, dose"
 
 
@@ -69,7 +67,7 @@ long as (select arm, dose, unit, 'response' metric, response x from trial
 
 @plan(
     "a1_describe",
-    f"""with {LONG}, {fx.bootstrap_sql("long", "arm, dose, metric", 400)},
+    f"""with {LONG}, {fx.bootstrap_sql("long", "arm, dose, metric")},
     stats as (select arm, dose, metric, count(x) n_units, count(distinct unit) - count(x) n_missing, avg(x) m,
         stddev_samp(x) s, median(x) md from long group by all)
     select arm, dose, metric, n_units, n_missing, {q6("m")} mean, {q6("s")} std, {q6("md")} median,
@@ -77,7 +75,7 @@ long as (select arm, dose, unit, 'response' metric, response x from trial
     from stats left join ci using (arm, dose, metric)""",
 )
 def a1_describe(spark, sf):
-    table = describe.describe(fx.trial_ledger(spark, sf), [*fx.METRICS, "absent"], resampling=BOOT)
+    table = describe.describe(fx.trial_ledger(spark, sf), [*fx.METRICS, "absent"])
     return rounded(table, "mean", "std", "median", "ci_low", "ci_high")
 
 
@@ -157,12 +155,12 @@ sp as (select unit, arm, case when min(x) < max(x) and min(y) < max(y) then corr
 
 @plan(
     "a7_monotonicity",
-    f"""with {SPEARMAN}, {fx.bootstrap_sql("sp", "arm", 400)}
+    f"""with {SPEARMAN}, {fx.bootstrap_sql("sp", "arm")}
     select arm, n_units, {q6("m")} mean_spearman, {q6("md")} median_spearman, {q6("ci_low")} ci_low, {q6("ci_high")} ci_high
     from (select arm, count(*) n_units, avg(x) m, median(x) md from sp group by arm) left join ci using (arm)""",
 )
 def a7_monotonicity(spark, sf):
-    table = describe.monotonicity(fx.trial_ledger(spark, sf), resampling=BOOT)
+    table = describe.monotonicity(fx.trial_ledger(spark, sf))
     return rounded(table, "mean_spearman", "median_spearman", "ci_low", "ci_high")
 
 
@@ -182,13 +180,13 @@ def a10_quantile_summary(spark, sf):
 @plan(
     "a11_summarize_runs",
     f"""with {LONG}, used as (select * from long where metric in ('cost', 'tax')),
-    {fx.bootstrap_sql("used", "arm, dose, metric", 400)},
+    {fx.bootstrap_sql("used", "arm, dose, metric")},
     stats as (select arm, dose, metric, count(x) n, avg(x) m, stddev_samp(x) s from used group by all)
     select arm, dose, metric, stats.n, {q6("m")} mean, {q6("s")} std, {q6("ci_low")} ci95_low, {q6("ci_high")} ci95_high
     from stats left join ci using (arm, dose, metric)""",
 )
 def a11_summarize_runs(spark, sf):
-    table = describe.summarize_runs(fx.trial_ledger(spark, sf), ["cost", "tax"], resampling=BOOT)
+    table = describe.summarize_runs(fx.trial_ledger(spark, sf), ["cost", "tax"])
     return rounded(table, "mean", "std", "ci95_low", "ci95_high")
 
 
@@ -212,40 +210,38 @@ def a13_group_means(spark, sf):
     return rounded(table, "cost", "quality", "complete")
 
 
-PRICE = """val as (select l_returnflag arm, l_orderkey * 10 + l_linenumber unit, l_quantity x from lineitem)"""
+PRICE = """val as (select o_orderstatus arm, o_orderkey unit, o_totalprice x from orders)"""
 
 
 @plan(
     "b1_bootstrap_ci",
-    f"""with {fx.TRIAL}, val as (select arm, dose, unit, response x from trial), {fx.bootstrap_sql("val", DOSES, 1000)}
+    f"""with {fx.TRIAL}, val as (select arm, dose, unit, response x from trial), {fx.bootstrap_sql("val", DOSES)}
     select arm, dose, n, {q6("ci_low")} ci_low, {q6("ci_high")} ci_high from ci""",
 )
 def b1_bootstrap_ci(spark, sf):
-    table = bootstrap_ci(fx.trial_ledger(spark, sf), ["arm", "dose"], "unit", "response", Resampling(resamples=1000))
+    table = bootstrap_ci(fx.trial_ledger(spark, sf), ["arm", "dose"], "unit", "response")
     return rounded(table, "ci_low", "ci_high")
 
 
 @plan(
     "b1_bootstrap_ci_large",
-    f"""with {PRICE}, {fx.poisson_sql("val", "arm", 100)} select arm, n, {q6("ci_low")} ci_low, {q6("ci_high")} ci_high from ci""",
+    f"""with {PRICE}, {fx.bootstrap_sql("val", "arm")} select arm, n, {q6("ci_low")} ci_low, {q6("ci_high")} ci_high from ci""",
 )
 def b1_bootstrap_ci_large(spark, sf):
-    """Strata of many rows, by Poisson weights over every line item."""
-    rows = fx.table(spark, sf, "lineitem").selectExpr(
-        "l_returnflag as arm", "l_orderkey * 10 + l_linenumber as unit", "l_quantity as x"
-    )
-    return rounded(bootstrap_ci(rows, ["arm"], "unit", "x", Resampling(resamples=100, index_limit=0)), "ci_low", "ci_high")
+    """Strata of many rows, all orders: several shards from some tens of thousands of rows on."""
+    rows = fx.table(spark, sf, "orders").selectExpr("o_orderstatus as arm", "o_orderkey as unit", "o_totalprice as x")
+    return rounded(bootstrap_ci(rows, ["arm"], "unit", "x"), "ci_low", "ci_high")
 
 
 @plan(
     "b2_sign_flip_p",
     f"""with {fx.PAIRS}, val as (select comparator, direction, outcome, unit, advantage x from pairs),
-    {fx.sign_flip_sql("val", "comparator, direction, outcome", 2000)}
+    {fx.sign_flip_sql("val", "comparator, direction, outcome")}
     select comparator, direction, outcome, n, {q6("p_value")} p_value from sf""",
 )
 def b2_sign_flip_p(spark, sf):
     pairs = contrast.pair_arms(matched(spark, sf), fx.REFERENCE_ARM, fx.OUTCOMES)
-    table = sign_flip_p(pairs, ["comparator", "direction", "outcome"], "unit", "advantage", FLIPS)
+    table = sign_flip_p(pairs, ["comparator", "direction", "outcome"], "unit", "advantage")
     return rounded(table, "p_value")
 
 
@@ -273,7 +269,7 @@ def contrasts_sql(source: str, extra: str = "") -> str:
     lead = f"{extra}, " if extra else ""
     by = f"{lead}comparator, direction, target_change, outcome"
     return f"""val as (select {by}, unit, advantage x from {source}),
-    {fx.bootstrap_sql("val", by, 400)}, {fx.sign_flip_sql("val", by, 2000)}, {strata_sql(extra)},
+    {fx.bootstrap_sql("val", by)}, {fx.sign_flip_sql("val", by)}, {strata_sql(extra)},
     stats as (select {by}, count(x) n_pairs, avg(x) m, median(x) md from val where x is not null group by all),
     joined as (select {by}, coalesce(n_pairs, 0) n_pairs, m, md, ci_low, ci_high, p_value from strata
       left join stats using ({by}) left join ci using ({by}) left join sf using ({by})),
@@ -288,7 +284,7 @@ CONTRAST_NUMBERS = (
 
 
 def contrasts(spark, sf):
-    return contrast.paired_contrasts(matched(spark, sf), fx.REFERENCE_ARM, fx.OUTCOMES, bootstrap=BOOT, flips=FLIPS)
+    return contrast.paired_contrasts(matched(spark, sf), fx.REFERENCE_ARM, fx.OUTCOMES)
 
 
 @plan("b3_paired_contrasts", f"""with {fx.PAIRS}, {contrasts_sql("pairs")} select 'N' reference_arm, {CONTRAST_COLUMNS} from con""")
@@ -317,7 +313,7 @@ pairs as (select tolerance, unit, direction, target_change, comparator, 'quality
 )
 def b4_tolerance_contrasts(spark, sf):
     _, table = contrast.tolerance_sweep(
-        fx.trial_ledger(spark, sf), [fx.TARGET], TOLERANCES, fx.REFERENCE_ARM, fx.OUTCOMES, bootstrap=BOOT, flips=FLIPS
+        fx.trial_ledger(spark, sf), [fx.TARGET], TOLERANCES, fx.REFERENCE_ARM, fx.OUTCOMES
     )
     return rounded(table, *CONTRAST_NUMBERS)
 
@@ -413,12 +409,12 @@ def j2_compare_families(spark, sf):
 
 @plan(
     "x25_dose_response",
-    f"""with {fx.TRIAL}, val as (select arm, dose, unit, response x from trial), {fx.bootstrap_sql("val", DOSES, 400)},
+    f"""with {fx.TRIAL}, val as (select arm, dose, unit, response x from trial), {fx.bootstrap_sql("val", DOSES)},
     s as (select arm, dose, avg(x) m from val group by all)
     select arm, dose, {q6("m")} mean, {q6("m - ci_low")} err_low, {q6("ci_high - m")} err_high from s join ci using (arm, dose)""",
 )
 def x25_dose_response(spark, sf):
-    table = describe.describe(fx.trial_ledger(spark, sf), ["response"], resampling=BOOT)
+    table = describe.describe(fx.trial_ledger(spark, sf), ["response"])
     return rounded(describe.dose_response_table(table, "response"), "mean", "err_low", "err_high")
 
 

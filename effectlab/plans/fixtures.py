@@ -166,46 +166,32 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 BOXES = "boxes as (select p_partkey image_id, 6 bx, 6 by_, 20 w, 20 h from part where p_partkey % 7 <> 0)"
 
 
-def bootstrap_sql(values: str, by: str, resamples: int, seed: int = 2026, confidence: float = 0.95, name: str = "ci") -> str:
-    """CTEs ending in ``ci(by..., n, ci_low, ci_high)`` over ``values(by..., unit, x)``."""
-    from effectlab.functions.rng import draw_sql
+def bootstrap_sql(values: str, by: str, resamples: int = 10_000, seed: int = 2026, confidence: float = 0.95, name: str = "ci") -> str:
+    """CTEs ending in ``ci(by..., n, ci_low, ci_high)`` over ``values(by..., unit, x)``: the
+    draws of strata that fit into one shard."""
+    from effectlab.functions.rng import below_sql, draw_sql
 
     tail = (1 - confidence) / 2
-    return f"""{name}_v as (select {by}, x, row_number() over (partition by {by} order by unit) - 1 pos,
+    return f"""{name}_v as materialized (select {by}, x, row_number() over (partition by {by} order by x) - 1 pos,
     count(*) over (partition by {by}) n from {values} where x is not null),
-{name}_d as (select v.*, r.rep, {draw_sql(seed, 'r.rep', 'v.pos')} % v.n idx
-    from {name}_v v cross join (select unnest(range({resamples})) rep) r where v.n >= 2),
+{name}_d as (select {by}, rep, {below_sql("n")} idx from
+    ({draw_sql(f"(select {by}, n, pos, rep from {name}_v cross join (select unnest(range({resamples})) rep) where n >= 2)", seed, "rep", "pos")})),
 {name}_m as (select {by}, d.rep, sum(v.x) / count(*) m
-    from (select {by}, rep, idx from {name}_d) d join (select {by}, pos idx, x from {name}_v) v using ({by}, idx)
-    group by {by}, d.rep),
+    from {name}_d d join (select {by}, pos idx, x from {name}_v) v using ({by}, idx) group by {by}, d.rep),
 {name}_e as (select {by}, quantile_cont(m, {tail}) ci_low, quantile_cont(m, {1 - tail}) ci_high from {name}_m group by {by}),
 {name} as (select s.*, ci_low, ci_high from (select {by}, count(*) n from {name}_v group by {by}) s left join {name}_e using ({by}))"""
 
 
-def poisson_sql(values: str, by: str, resamples: int, seed: int = 2026, name: str = "ci") -> str:
-    """The same for Poisson weights."""
-    from effectlab.functions.rng import draw_sql, poisson_limits
-
-    weight = " + ".join(f"(h >= {limit})::INT" for limit in poisson_limits())
-    return f"""{name}_v as (select {by}, unit, x, count(*) over (partition by {by}) n from {values} where x is not null),
-{name}_h as (select v.*, r.rep, {draw_sql(seed, 'r.rep', 'v.unit')} h
-    from {name}_v v cross join (select unnest(range({resamples})) rep) r where v.n >= 2),
-{name}_m as (select {by}, rep, sum(x * w) / nullif(sum(w), 0) m from (select *, {weight} w from {name}_h) group by {by}, rep),
-{name}_e as (select {by}, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from {name}_m group by {by}),
-{name} as (select s.*, ci_low, ci_high from (select {by}, count(*) n from {name}_v group by {by}) s left join {name}_e using ({by}))"""
-
-
-def sign_flip_sql(values: str, by: str, resamples: int, seed: int = 2026, name: str = "sf") -> str:
+def sign_flip_sql(values: str, by: str, resamples: int = 100_000, shard_rows: int = 4_096, seed: int = 2026, name: str = "sf") -> str:
     """CTEs ending in ``sf(by..., n, p_value)`` over ``values(by..., unit, x)``."""
-    from effectlab.functions.rng import SIGN_BITS, draw_sql
-
-    return f"""{name}_v as (select {by}, unit, x, count(*) over (partition by {by}) n, abs(sum(x) over (partition by {by})) obs
-    from {values} where x is not null),
-{name}_h as (select v.*, w.word, {draw_sql(seed, 'w.word', 'v.unit')} h
-    from {name}_v v cross join (select unnest(range({-(-resamples // SIGN_BITS)})) word) w where v.n >= 2),
-{name}_s as (select {by}, word, t.bit, abs(sum(case when (h >> t.bit) & 1 = 1 then -x else x end)) flip, any_value(obs) obs
-    from {name}_h cross join (select unnest(range({SIGN_BITS})) bit) t
-    where word * {SIGN_BITS} + t.bit < {resamples} group by {by}, word, t.bit),
+    from effectlab.functions.rng import draw_sql
+
+    words = f"(select unnest(range({-(-resamples // 64)})) word)"
+    return f"""{name}_v as materialized (select {by}, x, row_number() over (partition by {by} order by x) - 1 pos, count(*) over (partition by {by}) n,
+    abs(sum(x) over (partition by {by})) obs from {values} where x is not null),
+{name}_h as ({draw_sql(f"(select * from {name}_v cross join {words} where n >= 2)", seed, "word", f"pos % {shard_rows}", f"pos // {shard_rows}")}),
+{name}_s as (select {by}, word, t.bit, abs(sum(case when ((case when bit < 32 then lo else hi end) >> (bit % 32)) & 1 = 1 then -x else x end)) flip, any_value(obs) obs
+    from {name}_h cross join (select unnest(range(64))::UBIGINT bit) t where word * 64 + t.bit < {resamples} group by {by}, word, t.bit),
 {name}_p as (select {by}, (count(*) filter (where flip >= obs * (1 - 1e-12)) + 1) / {resamples + 1}.0 p_value
     from {name}_s group by {by}),
 {name} as (select s.*, p_value from (select {by}, count(*) n from {name}_v group by {by}) s left join {name}_p using ({by}))"""

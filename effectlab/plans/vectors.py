@@ -360,9 +360,9 @@ COUNTS = (8, 16, 32)
 
 @plan(
     "b7_split_half",
-    f"""with {DIRECTION}, c as (select unnest([8, 16, 32]) pair_count), r as (select unnest(range(40)) resample),
-    dr as (select pair_count, resample, i, row_number() over (partition by pair_count, resample order by {draw_sql(20260816, "resample * 1000 + pair_count", "i")}, i) rk
-      from (select i from vp) cross join c cross join r),
+    f"""with {DIRECTION}, c as (select unnest([8, 16, 32]) pair_count), r as (select unnest(range(200)) resample),
+    dr as (select pair_count, resample, i, row_number() over (partition by pair_count, resample order by hi, lo >> 2, i) rk
+      from ({draw_sql("(select i, pair_count, resample from vp cross join c cross join r)", 20260816, "resample", "i", "pair_count")})),
     h as (select pair_count, resample, pos, avg(d) filter (where rk <= pair_count) l, avg(d) filter (where rk > pair_count) q
       from dr join dif using (i) where rk <= 2 * pair_count group by all),
     w as (select h.*, {WEIGHT} w, v f from h join dirn using (pos))
@@ -373,5 +373,5 @@ COUNTS = (8, 16, 32)
     from w group by pair_count, resample""",
 )
 def b7_split_half(spark, sf):
-    out = split_half(fx.vec_pairs(spark, sf), COUNTS, resamples=40, grid=GRID)
+    out = split_half(fx.vec_pairs(spark, sf), COUNTS, grid=GRID)
     return rounded(out, *[c for c in out.columns if c not in ("pair_count", "resample")])

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from effectlab.contracts import ContractViolation, one_row
 from effectlab.functions.ordering import average_ranks, first_per_key, quantiles
-from effectlab.functions.rng import draw_column, draws
+from effectlab.functions.rng import draw_column, draw_sql, draws, uniform_below
 from effectlab.operators import contrast, dedup, describe, match, selection
 from effectlab.operators.multiplicity import holm
-from effectlab.operators.resample import Resampling, bootstrap_ci, sign_flip_p
+from effectlab.operators.resample import Resampling, _bootstrap_kernel, bootstrap_ci, sign_flip_p
 from effectlab.schema import Names, Outcome
 
 LEDGER = Names.ledger()
@@ -185,15 +185,56 @@ def test_published_replication_family(spark):
 
 
 def test_draws_are_the_same_in_numpy_and_spark(spark):
-    df = spark.range(50).select("id", draw_column(2026, F.col("id") % 7, F.col("id") * 1_000_003).alias("d"))
+    df = spark.range(50).select("id", draw_column(2026, F.col("id") % 7, F.col("id") * 1_003, F.col("id") % 3).alias("d"))
     got = {r.id: r.d for r in df.collect()}
     ids = np.arange(50)
-    assert [got[i] for i in range(50)] == draws(2026, ids % 7, ids * 1_000_003).tolist()
+    assert [got[i] for i in range(50)] == (draws(2026, ids % 7, ids * 1_003, ids % 3) >> np.uint64(2)).astype(int).tolist()
+
+
+def test_draws_are_the_same_in_sql():
+    import duckdb
+
+    rows = duckdb.sql(draw_sql("(select unnest(range(200)) i)", 20260816, "i % 9", "i * 7919", "i % 4")).fetchall()
+    i = np.arange(200)
+    assert [(hi << 32) + lo for _, hi, lo in sorted(rows)] == draws(20260816, i % 9, i * 7919, i % 4).tolist()
+
+
+def test_draws_fill_their_range():
+    d = draws(5, np.arange(40)[:, None], np.arange(5000)[None, :])
+    assert len(np.unique(d)) == d.size
+    counts = np.bincount(uniform_below(d, 100).ravel(), minlength=100)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 160  # chi square of 99 degrees
+    bits = np.unpackbits(d.view(np.uint8)).reshape(-1, 64).mean(axis=0)
+    assert abs(bits - 0.5).max() < 0.01
+
+
+def _hits(n, shards, replicates, block=0):
+    """How often each position is drawn by each replicate, over all shards."""
+    kernel, levels = _bootstrap_kernel(11), shards.bit_length() - 1
+    out = np.zeros((replicates, n))
+    for shard in range(shards):
+        low, high = (shard * n) >> levels, ((shard + 1) * n - 1) >> levels
+        for position in range(low, high + 1):
+            x = np.zeros(high + 1 - low)
+            x[position - low] = 1.0
+            out[:, position] += kernel(np.arange(low, high + 1), np.ones(high + 1 - low, int), x, n, shard, shards, block, np.arange(replicates))
+    return out
+
+
+@pytest.mark.parametrize("n, shards", [(13, 1), (13, 4), (16, 4), (21, 8)])
+def test_draws_dealt_over_shards_have_the_law_of_uniform_draws(n, shards):
+    hits = _hits(n, shards, 3000)
+    assert (hits.sum(axis=1) == n).all()  # every draw falls on one position
+    expected = len(hits)
+    assert ((hits.sum(axis=0) - expected) ** 2 / expected).sum() < 3 * n
+    assert hits.var(axis=0).mean() == pytest.approx(1 - 1 / n, abs=0.05)
+    apart = np.cov(hits.T)[np.triu_indices(n, 1)]
+    assert apart.mean() == pytest.approx(-1 / n, abs=0.01) and abs(apart + 1 / n).max() < 0.1
 
 
 def test_bootstrap_does_not_depend_on_partitioning(spark):
     df = spark.range(300).selectExpr("id as unit", "cast(id % 3 as int) as g", "sin(id) * 3 as x")
-    for config in (FEW, Resampling(resamples=500, index_limit=10, shard_rows=16)):
+    for config in (FEW, Resampling(resamples=500, shard_rows=16)):
         a = bootstrap_ci(df.repartition(1), ["g"], "unit", "x", config).orderBy("g").collect()
         b = bootstrap_ci(df.repartition(64), ["g"], "unit", "x", config).orderBy("g").collect()
         assert [tuple(r)[:2] for r in a] == [tuple(r)[:2] for r in b]
@@ -203,10 +244,10 @@ def test_bootstrap_does_not_depend_on_partitioning(spark):
 def test_bootstrap_forms_agree_and_cover_the_mean(spark):
     x = np.random.default_rng(3).normal(5, 2, 2000)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "unit bigint, x double")
-    by_index = bootstrap_ci(df, [], "unit", "x", FEW).first()
-    by_weight = bootstrap_ci(df, [], "unit", "x", Resampling(resamples=2000, index_limit=100)).first()
+    drawn = bootstrap_ci(df, [], "unit", "x", FEW).first()
+    dealt = bootstrap_ci(df, [], "unit", "x", Resampling(resamples=2000, shard_rows=100)).first()
     half = 1.96 * x.std() / math.sqrt(len(x))
-    for r in (by_index, by_weight):
+    for r in (drawn, dealt):
         assert r.n == 2000
         assert r.ci_low == pytest.approx(x.mean() - half, abs=0.02)
         assert r.ci_high == pytest.approx(x.mean() + half, abs=0.02)
@@ -219,8 +260,9 @@ def test_sign_flip_p_matches_enumeration(spark):
     exact = sum(s >= abs(sum(x)) - 1e-12 for s in sums) / 64
     p = sign_flip_p(df, [], "unit", "x", Resampling(resamples=50_000)).first().p_value
     assert p == pytest.approx(exact, abs=0.01)
-    split = sign_flip_p(df.repartition(6), [], "unit", "x", Resampling(resamples=50_000, shard_rows=2)).first().p_value
-    assert split == pytest.approx(p)
+    assert sign_flip_p(df.repartition(6), [], "unit", "x", Resampling(resamples=50_000)).first().p_value == p
+    split = sign_flip_p(df, [], "unit", "x", Resampling(resamples=50_000, shard_rows=2)).first().p_value
+    assert split == pytest.approx(exact, abs=0.01)
 
 
 def test_too_few_values_have_no_interval(spark):
@@ -264,10 +306,20 @@ def test_input_order_does_not_choose_among_repeats(spark):
     assert len(seen) == 1 and len(matched) == 1
 
 
-def test_signs_of_opposite_units_are_drawn_apart(spark):
+def test_signs_of_equal_values_are_drawn_apart(spark):
     df = spark.createDataFrame([(u, 1.0) for k in range(1, 9) for u in (k, -k)], "unit bigint, x double")
-    p = sign_flip_p(df, [], "unit", "x", Resampling(resamples=100_000)).first().p_value
-    assert p < 0.0005  # 2 of 65 536 flips; 2 of 256 if k and -k shared their signs
+    for rows in (4096, 3):
+        p = sign_flip_p(df, [], "unit", "x", Resampling(resamples=100_000, shard_rows=rows, block=6400)).first().p_value
+        assert p < 0.0005  # 2 of 65 536 flips; 2 of 256 if two rows shared their signs
+
+
+def test_a_value_with_most_rows_is_one_run_over_many_shards(spark):
+    df = spark.range(20_000).selectExpr("id as unit", "case when id % 3 = 0 then id / 1000 else 5.0 end as x")
+    config = Resampling(resamples=2000, shard_rows=256)
+    x = np.where(np.arange(20_000) % 3 == 0, np.arange(20_000) / 1000, 5.0)
+    half = 1.96 * x.std() / math.sqrt(len(x))
+    r = bootstrap_ci(df, [], "unit", "x", config).first()
+    assert r.ci_low == pytest.approx(x.mean() - half, abs=0.006) and r.ci_high == pytest.approx(x.mean() + half, abs=0.006)
 
 
 def test_a_cluster_needs_a_shared_folder():
