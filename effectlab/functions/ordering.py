@@ -1,10 +1,12 @@
 """Order statistics that never bring a whole group into one task.
 
 A group may hold a third of all rows, so ranks, quantiles and running maxima are taken in
-two levels. Equal values are first counted together (partial counts before the shuffle).
-Each value then falls into a bucket that is monotone in the value; one window runs over
-the buckets of a group (a bounded number) and another inside each bucket, and their sum
-is the exact position of the value in the group.
+two levels. Equal values are first counted together (partial counts before the shuffle),
+so a frequent value is one row. A quantile sketch of each group, merged from those of the
+tasks, gives edges that cut its distinct values into about ``EDGES`` even buckets wherever
+they lie. One window runs over the buckets of a group (a bounded number) and another inside
+each bucket, and their sum is the exact position of the value in the group: the sketch
+decides only how the work is dealt.
 """
 
 from __future__ import annotations
@@ -20,20 +22,30 @@ from pyspark.sql import window as W
 from effectlab.functions.numeric import as_col
 from effectlab.sources.ledger import LEDGER_ORDER
 
-# Buckets per octave and the smallest magnitude told apart. A group has at most some
-# tens of thousands of buckets for values of ordinary size.
-STEPS_PER_OCTAVE = 2048
-SMALLEST = 1e-6
+# Edges between the buckets of a group, and the sketch's accuracy (rank error 1 / ACCURACY).
+EDGES = 1023
+ACCURACY = 10_000
 
 
-def order_bucket(value: Column | str) -> Column:
-    """An integer that never falls as the value rises: infinities lie beyond all finite
-    values and NaN, which Spark sorts last, beyond them."""
-    given = as_col(value).cast("double")
-    x = F.greatest(F.least(given, F.lit(1e300)), F.lit(-1e300))
-    far = F.when(F.isnan(given), F.lit(2)).when(F.abs(given) == float("inf"), F.signum(given).cast("int")).otherwise(F.lit(0))
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(x) / F.lit(SMALLEST)) * F.lit(STEPS_PER_OCTAVE))
-    return (F.signum(x) * size).cast("bigint") + far
+def order_bucket(value: Column, edges: Column) -> Column:
+    """How many of the ascending ``edges`` a value reaches, by bisection: never falls as the
+    value rises. NaN, which Spark sorts last, reaches all."""
+    steps = F.array(*[F.lit((EDGES + 1) >> i) for i in range(EDGES.bit_length() + 1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def bucketed(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``df`` with ``_bucket``, monotone in ``value`` inside each group of ``by`` and even over
+    the rows of ``df``."""
+    number = F.col(value).cast("double")
+    levels = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
+    # A group has one edge for each of its values at most.
+    edges = F.array_distinct(F.percentile_approx(number, levels, ACCURACY)).alias("_edges")
+    if by:
+        joined = null_safe_join(df, df.groupBy(*by).agg(edges), by, "left")
+    else:
+        joined = df.withColumn("_edges", df.agg(edges).scalar())
+    return joined.withColumn("_bucket", order_bucket(number, F.col("_edges"))).drop("_edges")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -57,7 +69,7 @@ def positions(counts: DataFrame, by: Sequence[str], value: str, keep: Column | N
     ``total``; rows of other buckets are left out before they are sorted.
     """
     by = list(by)
-    tagged = counts.withColumn("_bucket", order_bucket(value))
+    tagged = bucketed(counts, by, value)
     # The offsets come from the same counts, so the exchange behind them is reused.
     running = W.Window.partitionBy(*by).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     whole = W.Window.partitionBy(*by)
@@ -132,7 +144,7 @@ def row_positions(df: DataFrame, by: Sequence[str], value: str, name: str) -> Da
 def running_max(df: DataFrame, by: Sequence[str], value: str, peak: str, name: str) -> DataFrame:
     """Largest ``peak`` among the group's rows up to and including this ``value``."""
     by = list(by)
-    tagged = df.withColumn("_bucket", order_bucket(value))
+    tagged = bucketed(df, by, value)
     earlier = W.Window.partitionBy(*by).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*by, "_bucket")
