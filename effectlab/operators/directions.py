@@ -10,8 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,23 +146,110 @@ def center_mask(df: DataFrame, height: int, width: int, **mask) -> DataFrame:
     return cells.select("y", "x", v.mask_weight(F.col("y"), F.col("x"), height, width, **mask).alias("weight"))
 
 
+def _dense(column: pa.Array) -> np.ndarray:
+    """Rows of equally long vectors as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _times_covariance(rows: DataFrame, mean: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The scatter matrix of the rows (column ``x``) times a d x k block, without the matrix:
+    each task adds up x (x . block) over its rows, centred, and Spark adds the columns."""
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast((mean, block))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, wanted = shared.value
+        total = np.zeros_like(wanted)
+        for batch in batches:
+            if batch.num_rows:
+                x = _dense(batch.column(0)) - centre
+                total += x.T @ (x @ wanted)
+        columns = [total[:, j].tobytes() for j in range(total.shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(columns)), pa.int32()), pa.array(columns, pa.binary())], ["j", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum(sorted((np.frombuffer(p) for p in table.column("part").to_pylist()), key=lambda part: part.tobytes()), axis=0)
+        return pa.Table.from_arrays([table.column("j").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())], ["j", "part"])
+
+    kind = "j int, part binary"
+    summed = rows.select("x").mapInArrow(partial, kind).groupBy("j").applyInArrow(add, kind).collect()  # k vectors
+    shared.destroy()
+    return np.stack([np.frombuffer(r["part"]) for r in sorted(summed, key=lambda r: r["j"])], axis=1)
+
+
+def _orthonormal(block: np.ndarray, against: np.ndarray | None = None, least: float = 1e-10) -> np.ndarray:
+    """The directions of a d x k block outside of ``against``, from the k x k Gram matrix."""
+    size = np.linalg.norm(block, axis=0).max(initial=0.0)
+    for _ in range(2):  # the second pass takes away what rounding left
+        if against is not None:
+            block = block - against @ (against.T @ block)
+        value, turn = np.linalg.eigh(block.T @ block)
+        kept = value > (least * max(size, 1e-300)) ** 2
+        block = block @ (turn[:, kept] / np.sqrt(value[kept]))
+        size = 1.0
+    return block
+
+
+def principal_components(rows: DataFrame, k: int, tolerance: float = 1e-9, rounds: int = 40, depth: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(values, d x k vectors, residual) of the covariance of rows of vectors (column ``x``).
+
+    Block power iteration whose last ``depth`` blocks are kept as a basis, in which the
+    small eigenproblem is solved; the best 2 k or so go into the next round. The state is
+    ``depth`` blocks of vectors; every step is one pass over the rows. The residual is
+    the largest |C v - value v| over the largest value.
+    """
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    means = dict(positions_of(rows, [], "x").groupBy("pos").agg(F.avg("value").alias("m")).collect())
+    mean = np.array([means[i] for i in range(width or 0)])
+    k = min(k, width or 0)
+    if not k or n < 2:
+        return np.zeros(k), np.eye(width or 0)[:, :k], 0.0
+    wide = min(width, k + max(k, 8))
+    block = _orthonormal(np.random.default_rng(seed).standard_normal((width, wide)))
+    for _ in range(rounds):
+        basis, images = [block], []
+        while True:
+            images.append(_times_covariance(rows, mean, basis[-1]) / (n - 1))
+            fresh = _orthonormal(images[-1], np.hstack(basis)) if len(basis) < depth else block[:, :0]
+            if not fresh.shape[1]:
+                break
+            basis.append(fresh)
+        whole, image = np.hstack(basis), np.hstack(images)
+        small = whole.T @ image
+        value, turn = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(-value)[:wide]
+        value, block, image = value[best], whole @ turn[:, best], image @ turn[:, best]
+        residual = np.linalg.norm(image[:, :k] - block[:, :k] * value[:k], axis=0).max() / max(value[0], 1e-300)
+        if residual < tolerance:
+            break
+        block = _orthonormal(block)
+    vectors = block[:, :k]
+    # A component's sign is free: its largest entry is positive.
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), range(k)] < 0, -1.0, 1.0)
+    return value[:k], vectors, float(residual)
+
+
 def pca_direction(df: DataFrame, vector: str, label: str, k: int = 10) -> DataFrame:
-    """The principal component that goes most with a binary label, at unit length.
+    """The principal component that goes most with a binary label, at unit length:
+    ``component, correlation, residual, vector``.
 
-    The covariance is summed on the executors; its eigenvectors are as wide as a vector.
+    Rows without a vector or label are left out. Nothing as large as the covariance matrix
+    is made (:func:`principal_components`).
     """
-    rows = df.select(array_to_vector(v.doubles(vector)).alias("_f"), F.col(label).cast("double").alias("_y"))
-    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(rows)
+    rows = df.select(v.doubles(vector).alias("x"), F.col(label).cast("double").alias("y")).where("x is not null and y is not null")
+    _, components, residual = principal_components(rows, k)
     # A correlation does not change when the data are centred, so raw scores will do.
-    scores = model.transform(rows).select(vector_to_array("_p").alias("s"), "_y")
-    sums = positions_of(scores, ["_y"], "s").groupBy("pos").agg(
-        F.covar_samp("value", "_y").alias("cov"), F.stddev_samp("value").alias("sx"), F.stddev_samp("_y").alias("sy"),
-    )
-    ranked = sums.select("pos", F.abs(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))).alias("r")).where("r is not null")
+    table = F.array(*[F.lit(i) for i in range(components.shape[1])])
+    axes = df.sparkSession.createDataFrame([(components.T.tolist(),)], "axes array<array<double>>")
+    dot = lambda j: F.aggregate(F.zip_with("x", F.get("_axes", j), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    scores = rows.withColumn("_axes", axes.scalar()).select("y", F.posexplode(F.transform(table, dot)).alias("pos", "s"))
+    found = scores.groupBy("pos").agg(F.covar_samp("s", "y").alias("cov"), F.stddev_samp("s").alias("sx"), F.stddev_samp("y").alias("sy"))
+    ranked = found.select("pos", F.abs(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))).alias("r")).where("r is not null")
     best = ranked.agg(F.max_by("pos", F.struct("r", -F.col("pos"))).alias("pos"), F.max("r").alias("correlation")).first()
     chosen, correlation = (best.pos, best.correlation) if best.pos is not None else (0, 0.0)
-    component = [float(x) for x in model.pc.toArray()[:, chosen]]
-    one = df.sparkSession.createDataFrame([(int(chosen), float(correlation), component)], "component int, correlation double, vector array<double>")
+    component = components[:, chosen].tolist() if components.shape[1] else []
+    one = df.sparkSession.createDataFrame([(int(chosen), float(correlation), residual, component)], "component int, correlation double, residual double, vector array<double>")
     return one.withColumn("vector", v.unit_length("vector"))
 
 

@@ -243,10 +243,39 @@ def v16_spatial_pattern(spark, sf):
     return rounded(d.spatial_pattern(vectors(spark, sf), "vec_id", "embedding", *GRID), "value")
 
 
-@plan("v17_pca_direction")
+def pca_sql(k: int, squarings: int = 15) -> str:
+    """The leading components of the covariance, one after the other: the matrix is squared
+    until one direction is left, which is then taken out of it."""
+    steps = [f"""{EM}, pos as (select unnest(range(64)) pos), l as (select vec_id, y, pos, e[pos + 1] x from em cross join pos),
+ce as (select vec_id, y, pos, x - avg(x) over (partition by pos) x from l),
+m0 as materialized (select a.pos i, b.pos j, sum(a.x * b.x) / ((select count(*) from em) - 1) v from ce a join ce b using (vec_id) group by all)"""]
+    for c in range(k):
+        last = f"m{c}"
+        for i in range(squarings):
+            name = f"p{c}_{i}"
+            steps.append(f"""{name}_r as materialized (select a.i, b.j, sum(a.v * b.v) v from {last} a join {last} b on a.j = b.i group by a.i, b.j),
+{name} as materialized (select i, j, v / (select sum(v) from {name}_r where i = j) v from {name}_r)""")
+            last = name
+        steps.append(f"""c{c}_r as materialized (select i, v from {last} where j = (select arg_max(i, v) from {last} where i = j)),
+c{c} as materialized (select i, v * (select sign(arg_max(v, abs(v))) from c{c}_r) / (select sqrt(sum(v * v)) from c{c}_r) v from c{c}_r),
+e{c} as materialized (select sum(a.v * m.v * b.v) v from m{c} m join c{c} a on m.i = a.i join c{c} b on m.j = b.i),
+m{c + 1} as materialized (select m.i, m.j, m.v - (select v from e{c}) * a.v * b.v v from m{c} m join c{c} a on m.i = a.i join c{c} b on m.j = b.i)""")
+    union = " union all ".join(f"select {c} component, i pos, v from c{c}" for c in range(k))
+    return ",\n".join(steps) + f""",
+cs as materialized ({union}),
+sc as (select component, abs(corr(s, y)) r from (select component, vec_id, any_value(y) y, sum(ce.x * cs.v) s from ce join cs using (pos) group by component, vec_id) group by component),
+best as (select component, r from sc order by r desc, component limit 1)"""
+
+
+@plan(
+    "v17_pca_direction",
+    f"""with {pca_sql(10)} select component::int component, {q6("r")} correlation, true converged, {q6("1.0")} length, pos::int pos, {q6("v")} value
+    from cs join best using (component)""",
+)
 def v17_pca_direction(spark, sf):
     out = d.pca_direction(fx.vec_labelled(spark, sf), "embedding", "y", 10)
-    return out.select("component", r6("correlation"), F.posexplode("vector").alias("pos", "value"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
+    return out.select("component", r6("correlation"), (F.col("residual") < 1e-8).alias("converged"), r6(length, "length"), F.posexplode("vector").alias("pos", "value")).withColumn("value", r6("value"))
 
 
 @plan("v18_decompose", f"with {EM}, pos as (select unnest(range(64)) pos) {per_position('em', 'e[pos + 1]')}")
