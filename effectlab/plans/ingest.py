@@ -134,18 +134,30 @@ def s10_attest(spark, sf):
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
+EVENT_COLUMNS = ("event_id", "user_id as unit", "event_type as arm", "cast(cast(ts as date) as string) as dose", "value")
+
 
 def event_stream(spark, sf):
     rows = live.stream_ledger(spark, sf, EVENT_SCHEMA, "parquet", "events.parquet")
-    return rows.selectExpr("event_id", "user_id as unit", "event_type as arm", "cast(cast(ts as date) as string) as dose", "value")
+    return rows.selectExpr(*EVENT_COLUMNS)
 
 
-@plan("t1_ingest_ledger", f"""with {fx.EVENTS} select distinct unit, arm, "day" dose from ev""")
+@plan(
+    "t1_ingest_ledger",
+    """with ev as (select *, min(least(event_id % 3, 2)) over (partition by user_id, event_type, cast(ts as date)) first_part, least(event_id % 3, 2) part from events)
+    select user_id unit, event_type arm, cast(cast(ts as date) as varchar) dose, min(event_id) event_id, arg_min(value, event_id) value
+    from ev where part = first_part group by all""",
+)
 def t1_ingest_ledger(spark, sf):
+    """Three deliveries of the events, one after the other, with a restart before each: a key
+    keeps the least event of the delivery that brought it first."""
     out = work_folder(spark, "t1")
-    query = live.ingest(event_stream(spark, sf), f"{out}/table", f"{out}/checkpoint", ["unit", "arm", "dose"])
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/table").select("unit", "arm", "dose")
+    events = fx.table(spark, sf, "events")
+    for part in range(3):
+        events.where(f"least(event_id % 3, 2) = {part}").write.parquet(f"{out}/in/delivery-{part}")
+        rows = live.stream_ledger(spark, f"{out}/in", EVENT_SCHEMA, "parquet", "*.parquet").selectExpr(*EVENT_COLUMNS)
+        live.ingest(rows, f"{out}/table", f"{out}/checkpoint", ["unit", "arm", "dose"], ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("unit", "arm", "dose", "event_id", "value")
 
 
 @plan(
@@ -174,4 +186,4 @@ def t3_live_remaining(spark, sf):
     planned = units.select("unit", "_levels", F.explode("_levels.arms").alias("arm")).select("unit", "arm", F.explode("_levels.days").alias("dose"))
     rows = event_stream(spark, sf)
     live.live_remaining(rows, planned, f"{out}/remaining", f"{out}/checkpoint", ["unit", "arm", "dose"]).awaitTermination()
-    return live.latest_version(spark, f"{out}/remaining")
+    return live.still_open(spark, f"{out}/remaining", ["unit", "arm", "dose"])

@@ -7,29 +7,83 @@ shared by the cluster (``session.work_folder``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from effectlab.operators.audit import remaining
 from effectlab.operators.describe import missingness
 from effectlab.schema import LEDGER_SCHEMA, Names
+from effectlab.sources.ledger import LEDGER_ORDER
 
 
 def stream_ledger(
-    spark: SparkSession, source: str, schema: T.StructType = LEDGER_SCHEMA, file_format: str = "json", pattern: str = "*"
+    spark: SparkSession, source: str, schema: T.StructType = LEDGER_SCHEMA, file_format: str = "json", pattern: str = "*", files_per_batch: int | None = None, placed: bool = False
 ) -> DataFrame:
-    """Ledger files below ``source`` as a stream, also in folders that appear later."""
+    """Ledger files below ``source`` as a stream, also in folders that appear later; if
+    ``placed``, with the columns of the ledger order."""
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.format(file_format).load(source)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.format(file_format).load(source)
+    return _placed(rows) if placed else rows
 
 
-def ingest(rows: DataFrame, destination: str, checkpoint: str, keys: Sequence[str], available_now: bool = True) -> StreamingQuery:
-    """Append rows to a Parquet table, the first arrival of every key only."""
-    writer = rows.dropDuplicates(list(keys)).writeStream.format("parquet").outputMode("append")
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of a file stream with the columns of the ledger order: file, block, and the turn
+    of the row in its task, which reads a block from its begin to its end."""
+    told = rows.select("*", F.col("_metadata.file_path").alias(LEDGER_ORDER[0]), F.col("_metadata.file_block_start").alias(LEDGER_ORDER[1]))
+    names = [*told.columns, LEDGER_ORDER[2]]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())], names)
+            at += batch.num_rows
+
+    return told.mapInArrow(number, T.StructType([*told.schema.fields, T.StructField(LEDGER_ORDER[2], T.LongType())]))
+
+
+class _FirstArrival(StatefulProcessor):
+    """Remembers which keys have come; of a key's first batch the row that is least in
+    ``order`` goes on, nulls first."""
+
+    def __init__(self, order: Sequence[str]):
+        self.order = list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        yield min(rows, key=lambda row: [(row[c] is not None, row[c]) for c in self.order])
+
+    def close(self) -> None:
+        pass
+
+
+def first_arrivals(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first arrival of every key of a stream: the least row in ``order`` of the first
+    batch that has the key. The state holds one flag per key."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(*keys).transformWithState(_FirstArrival(order), rows.schema, "Append", "None")
+
+
+def ingest(rows: DataFrame, destination: str, checkpoint: str, keys: Sequence[str], order: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
+    """Append rows to a Parquet table, the first arrival of every key only. Rows that a batch
+    has of a new key are told apart by ``order``, by default the ledger order."""
+    order = list(order) or [c for c in LEDGER_ORDER if c in rows.columns]
+    if not order:
+        raise ValueError("first arrivals need an order of the rows")
+    writer = first_arrivals(rows, keys, order).writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", destination).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
@@ -38,7 +92,7 @@ def ingest_ledger(
     spark: SparkSession, source: str, destination: str, checkpoint: str, names: Names = Names.ledger(), pattern: str = "results.jsonl"
 ) -> StreamingQuery:
     """Ingest everything that is there now, exactly once per condition; run again to go on."""
-    return ingest(stream_ledger(spark, source, pattern=pattern), destination, checkpoint, names.key)
+    return ingest(stream_ledger(spark, source, pattern=pattern, placed=True), destination, checkpoint, names.key)
 
 
 def live_missingness(
@@ -58,23 +112,54 @@ def live_missingness(
 
 
 def live_remaining(
-    rows: DataFrame, plan: DataFrame, destination: str, checkpoint: str, keys: Sequence[str], available_now: bool = True
+    rows: DataFrame, plan: DataFrame, destination: str, checkpoint: str, keys: Sequence[str], available_now: bool = True, compact_every: int = 20
 ) -> StreamingQuery:
     """Keep the planned conditions that have not arrived yet at ``destination``.
 
-    Each batch takes its keys off the version before it, so a batch costs what is left
-    and not what has arrived; a repeated batch writes the same version again.
+    The plan is written once and never again: a batch appends the keys that it brought to a
+    log, so it costs what has arrived. Every ``compact_every`` batches the log's parts since
+    the last time are made into one table of distinct keys. A repeated batch writes its own
+    part again. Read the result with :func:`still_open`.
     """
+    spark, keys = rows.sparkSession, list(keys)
+    try:
+        spark.read.schema(plan.schema).parquet(f"{destination}/plan").take(1)
+    except AnalysisException:
+        plan.write.mode("overwrite").parquet(f"{destination}/plan")
+    kinds = ", ".join(f"`{c}` {plan.schema[c].dataType.simpleString()}" for c in keys)
 
     def publish(batch_rows: DataFrame, batch: int) -> None:
-        spark = batch_rows.sparkSession
-        before = spark.read.schema(plan.schema).parquet(f"{destination}/version={batch - 1}") if batch else plan
-        remaining(before, batch_rows, keys).write.mode("overwrite").parquet(f"{destination}/version={batch}")
+        session = batch_rows.sparkSession
+        came = batch_rows.select(*[F.col(c).cast(plan.schema[c].dataType) for c in keys]).distinct()
+        came.write.mode("overwrite").parquet(f"{destination}/arrived/batch={batch}")
+        if (batch + 1) % compact_every == 0:
+            parts = [f"{destination}/arrived/batch={i}" for i in range(batch + 1 - compact_every, batch + 1)]
+            session.read.schema(kinds).parquet(*parts).distinct().write.mode("overwrite").parquet(f"{destination}/compact/upto={batch}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def still_open(spark: SparkSession, destination: str, keys: Sequence[str]) -> DataFrame:
+    """Planned conditions less all arrivals: the compacted tables and the log after them."""
+    plan, keys = spark.read.parquet(f"{destination}/plan"), list(keys)
+    kinds = ", ".join(f"`{c}` {plan.schema[c].dataType.simpleString()}" for c in keys)
+
+    def table(part: str, number: str) -> DataFrame | None:
+        try:
+            return spark.read.schema(f"{kinds}, {number} bigint").parquet(f"{destination}/{part}")
+        except AnalysisException:
+            return None
+
+    compact, log = table("compact", "upto"), table("arrived", "batch")
+    if log is None:
+        return plan
+    if compact is not None:
+        done = compact.agg(F.coalesce(F.max("upto"), F.lit(-1)))
+        log = log.where(F.col("batch") > done.scalar()).drop("batch").unionByName(compact.drop("upto"))
+    return remaining(plan, log.select(*keys), keys)
+
+
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
     """The last table published below ``path``."""
     versions = spark.read.parquet(path)

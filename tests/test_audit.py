@@ -220,6 +220,36 @@ def test_stream_ingests_once_and_resumes(spark, tmp_path):
         assert got == [1, 2] if part == "s0" else got == [1, 2, 3]
 
 
+def test_a_key_keeps_its_first_arrival_over_batches_and_restarts(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    kept, rows = {}, [(k, v, o) for o, (k, v) in enumerate([("a", 9), ("b", 5), ("a", 1), (None, 4), ("c", 2**60 + 1), ("b", 3), (None, 7), ("d", None), ("a", 0)])]
+    for start in (0, 4, 6):
+        part = [rows[:4], rows[4:6], rows[6:]][(0, 4, 6).index(start)]
+        spark.createDataFrame(part[::-1], "k string, v bigint, o int").write.mode("append").parquet(source)
+        for k, v, _ in part:
+            kept.setdefault(k, v)
+        stream = spark.readStream.schema("k string, v bigint, o int").parquet(source)
+        live.ingest(stream, table, checkpoint, ["k"], ["o"]).awaitTermination()
+        assert {r.k: r.v for r in spark.read.parquet(table).collect()} == kept
+        assert spark.read.parquet(table).count() == len(kept)
+    with pytest.raises(ValueError):
+        live.ingest(stream.select("k"), table, checkpoint, ["k"])
+
+
+def test_remaining_is_the_plan_less_a_log_that_is_compacted(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    plan = spark.range(40).selectExpr("id as k", "cast(null as string) as note").union(spark.sql("select cast(null as bigint), 'x'"))
+    for turn in range(5):
+        spark.range(turn * 7, turn * 7 + 9).selectExpr("id as k").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k bigint").parquet(source)
+        live.live_remaining(stream, plan, out, checkpoint, ["k"], compact_every=2).awaitTermination()
+        left = {r.k for r in live.still_open(spark, out, ["k"]).collect()}
+        assert left == {None, *range(turn * 7 + 9, 40)}
+    assert spark.read.parquet(f"{out}/plan").count() == 41
+    sizes = [spark.read.parquet(f"{out}/arrived/batch={i}").count() for i in range(5)]
+    assert sizes == [9] * 5 and spark.read.parquet(f"{out}/compact").select("upto").distinct().count() == 2
+
+
 def test_live_views_follow_the_campaign(spark, tmp_path):
     source = str(tmp_path / "in")
     plan = spark.createDataFrame([(s, "m", 0.5) for s in (1, 2, 3)], "seed bigint, method string, alpha double")
@@ -231,7 +261,7 @@ def test_live_views_follow_the_campaign(spark, tmp_path):
         live.live_remaining(rows, plan, str(tmp_path / "left"), str(tmp_path / "c1"), LEDGER.key).awaitTermination()
         rows = live.stream_ledger(spark, source, pattern="results.jsonl")
         live.live_missingness(rows, str(tmp_path / "miss"), str(tmp_path / "c2"), LEDGER).awaitTermination()
-    left = live.latest_version(spark, str(tmp_path / "left"))
+    left = live.still_open(spark, str(tmp_path / "left"), LEDGER.key)
     assert [r.seed for r in left.collect()] == [2]
     row = live.latest_version(spark, str(tmp_path / "miss")).first()
     assert (row.attempted, row.generated, row.evaluation_complete) == (2, 2, 0)
