@@ -12,18 +12,23 @@
    weight of its words must be there in any order, the longest common subsequence must
    hold most of the item, and of its answer (its last sentence) unless nearly all of the
    item is there.
+4. A short item fills little of a window. So each item is also looked up by its ``RARE`` rarest
+   words: the words around each of their occurrences, as many as the item has and an eighth
+   more at either end, are compared in the same way, and a leak that holds nearly all of the
+   item is reported, without a cosine.
 
 The benchmark is a query set that is run in blocks of ``BLOCK_PASSAGES`` passages, each
 broadcast; documents are read by narrow passes and never shuffled.
 
 Defined results: null and empty texts and items match nothing; an item of a few words must
-be there entirely; equal items are each reported; repeated rows are judged alike; empty
+be there word for word; equal items are each reported; repeated rows are judged alike; empty
 tables give no leaks; other columns pass through, except one named like the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +58,9 @@ SHARED, ANSWERED, PLAIN = 0.6, 0.5, 0.85
 WEIGHED = 0.5
 #: Items of fewer words must be there whole.
 SHORT = 8
+#: Rarest words of an item that are looked up one by one: what holds ``PLAIN`` of the item
+#: with one of them is found at any length.
+RARE = 3
 #: Word slots by which candidates are sifted before they are compared.
 _SLOTS = 12
 _CHUNK = 1024
@@ -109,18 +117,23 @@ def _passages(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "terms array<bigint>")
 
 
-def _multiplied(passages: DataFrame, weights: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """A' A x thin for the TF-IDF rows A of the passages: partial products of the tasks, in
-    chunks of ``_CHUNK`` terms, are summed by Spark."""
-    shared = passages.sparkSession.sparkContext.broadcast((weights.astype(np.float32), thin.astype(np.float32)))
-    width = thin.shape[1]
+def _used(passages: DataFrame) -> np.ndarray:
+    """The terms of the passages in order, ``TERMS`` at most."""
+    return np.sort(passages.select(F.explode("terms").alias("term")).distinct().toPandas()["term"].to_numpy(np.int64))
+
+
+def _multiplied(passages: DataFrame, used: np.ndarray, weights: np.ndarray, thin: np.ndarray) -> np.ndarray:
+    """A' A x thin for the TF-IDF rows A of the passages over their ``used`` terms: partial
+    products of the tasks, in chunks of ``_CHUNK`` terms, are summed by Spark."""
+    shared = passages.sparkSession.sparkContext.broadcast((used, weights[used].astype(np.float32), thin.astype(np.float32)))
+    rows, width = thin.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, x = shared.value
-        total = np.zeros((TERMS, width), np.float32)
+        known, weight, x = shared.value
+        total = np.zeros((-(-rows // _CHUNK) * _CHUNK, width), np.float32)
         for batch in batches:
             lists = batch.column(0)
-            term = lists.flatten().to_numpy()
+            term = np.searchsorted(known, lists.flatten().to_numpy())
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(bounds))
             value = weight[term]
@@ -129,8 +142,7 @@ def _multiplied(passages: DataFrame, weights: np.ndarray, thin: np.ndarray) -> n
             y = np.zeros((len(lists), width), np.float32)
             np.add.at(y, row, x[term] * value[:, None])
             np.add.at(total, term, y[row] * value[:, None])
-        used = np.flatnonzero(np.abs(total).sum(axis=1).reshape(-1, _CHUNK).sum(axis=1))
-        for chunk in used:
+        for chunk in np.flatnonzero(np.abs(total).sum(axis=1).reshape(-1, _CHUNK).sum(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([total[chunk * _CHUNK : (chunk + 1) * _CHUNK].tobytes()], pa.binary())], ["chunk", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,25 +155,26 @@ def _multiplied(passages: DataFrame, weights: np.ndarray, thin: np.ndarray) -> n
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["chunk", "part"])
 
     kind = "chunk bigint, part binary"
-    out = np.zeros((TERMS, width))
-    for row in passages.mapInArrow(run, kind).groupBy("chunk").applyInArrow(add, kind).collect():
+    out = np.zeros((-(-rows // _CHUNK) * _CHUNK, width))
+    for row in passages.mapInArrow(run, kind).groupBy("chunk").applyInArrow(add, kind).toLocalIterator():
         out[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["part"], np.float32).reshape(_CHUNK, width)
-    return out
+    shared.destroy()
+    return out[:rows]
 
 
 def space(passages: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Vectors of terms, [term, rank]: the leading right singular vectors of the TF-IDF rows
-    of ``passages`` over their singular values."""
-    thin = np.random.default_rng(20).standard_normal((TERMS, rank + EXTRA))
+    of ``passages`` over their singular values. Terms that no passage has get none."""
+    used = _used(passages)
+    thin = np.random.default_rng(20).standard_normal((len(used), rank + EXTRA))
     for _ in range(PASSES):
-        made = _multiplied(passages, weights, thin)
-        used = np.flatnonzero(made.any(axis=1))
-        thin = np.zeros((TERMS, made.shape[1]))
-        thin[used, : min(len(used), made.shape[1])], _ = np.linalg.qr(made[used])
-    squares, turn = np.linalg.eigh(thin.T @ _multiplied(passages, weights, thin))
+        thin, _ = np.linalg.qr(_multiplied(passages, used, weights, thin))
+    squares, turn = np.linalg.eigh(thin.T @ _multiplied(passages, used, weights, thin))
     lead = np.argsort(-squares)[:rank]
     lead = lead[squares[lead] > 1e-6 * max(squares[lead[0]], 1e-12)]
-    return thin @ turn[:, lead] / np.sqrt(squares[lead])
+    out = np.zeros((TERMS, len(lead)), np.float32)
+    out[used] = thin @ turn[:, lead] / np.sqrt(squares[lead])
+    return out
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -237,23 +250,73 @@ def _slot(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
-def _sifted(slots: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, item_slots: np.ndarray, item_weights: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class _Items:
+    """The items of a block in flat arrays: words, weights and slots of item i lie at
+    ``start[i]`` to ``start[i + 1]``; ``rare`` are hashes of the rarest words of the items, in
+    order, ``rare_of`` the items that they are of, and ``rare_at`` their places in them."""
+
+    ids: list[int]
+    words: np.ndarray
+    weights: np.ndarray
+    slots: np.ndarray
+    start: np.ndarray
+    answers: list[int]
+    rare: np.ndarray
+    rare_of: np.ndarray
+    rare_at: np.ndarray
+
+    @staticmethod
+    def made(items: list[tuple[int, np.ndarray, int]], weights: np.ndarray) -> _Items:
+        words = np.concatenate([w for _, w, _ in items])
+        rare, rare_of, rare_at = [], [], []
+        for number, (_, w, _) in enumerate(items):
+            unique = np.unique(w)
+            some = unique[np.argsort(-weights[_terms(unique)], kind="stable")[:RARE]]
+            at = np.flatnonzero(np.isin(w, some))  # a word that the item repeats has several places
+            rare.append(w[at])
+            rare_of.append(np.full(len(at), number))
+            rare_at.append(at)
+        keys, of, at = (np.concatenate(x) for x in (rare, rare_of, rare_at))
+        order = np.argsort(keys, kind="stable")
+        start = np.append(0, np.cumsum([len(w) for _, w, _ in items]))
+        return _Items([i for i, _, _ in items], words, weights[_terms(words)].astype(np.float32), _slot(words), start, [a for _, _, a in items], keys[order], of[order], at[order])
+
+
+def _sifted(slots: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, items: _Items) -> np.ndarray:
     """Candidates (words ``begin`` to ``end`` against an item) that may hold enough of the item's
     weight. Words are told apart by slot here, so none that does is lost."""
     kept = []
     for low in range(0, len(item), 1_000):
         a, b, number = begin[low : low + 1_000], end[low : low + 1_000], item[low : low + 1_000]
-        place = a[:, None] + np.arange((b - a).max())
-        inside = place < b[:, None]
         there = np.zeros((len(a), 1 << _SLOTS), bool)
-        candidate = np.broadcast_to(np.arange(len(a))[:, None], place.shape)
-        there[candidate[inside], slots[place[inside]]] = True
-        weight = item_weights[number]
-        held = (there[np.arange(len(a))[:, None], item_slots[number]] * weight).sum(axis=1)
-        kept.append(low + np.flatnonzero(held >= (WEIGHED - 1e-3) * weight.sum(axis=1)))
+        candidate, place = _runs(a, b)
+        there[candidate, slots[place]] = True
+        candidate, place = _runs(items.start[number], items.start[number + 1])
+        weight = items.weights[place]
+        held = np.bincount(candidate, there[candidate, items.slots[place]] * weight, len(a))
+        kept.append(low + np.flatnonzero(held >= (WEIGHED - 1e-3) * np.bincount(candidate, weight, len(a))))
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
+def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of a run and a place in it, for all places of the runs [first, last)."""
+    sizes = last - first
+    of = np.repeat(np.arange(len(first)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+
+
+def _by_rare_words(code: np.ndarray, items: _Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block that are among the rarest of an item, the item, and where it would
+    begin: an item that is there nearly whole is found by them however short it is."""
+    marked = np.zeros(TERMS, bool)
+    marked[_terms(items.rare)] = True
+    at = np.flatnonzero(marked[_terms(code)])
+    first, last = np.searchsorted(items.rare, code[at], "left"), np.searchsorted(items.rare, code[at], "right")
+    of, place = _runs(first, last)
+    return at[of], items.rare_of[place], at[of] - items.rare_at[place]
+
+
 def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors: np.ndarray, weights: np.ndarray, text: str, result: str) -> DataFrame:
     """``docs`` with the leaks of these items added to ``result``."""
     passages, of = [], []
@@ -265,21 +328,30 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors:
     queries = np.array(passages, np.float32)
     lengths_of = np.maximum(np.linalg.norm(queries, axis=1), 1e-9).astype(np.float32)
     queries /= lengths_of[:, None]
-    longest = max(len(words) for _, words, _ in items)
-    item_slots, item_weights = np.zeros((len(items), longest), np.int64), np.zeros((len(items), longest), np.float32)
-    for number, (_, words, _) in enumerate(items):
-        item_slots[number, : len(words)], item_weights[number, : len(words)] = _slot(words), weights[_terms(words)]
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, queries.T.copy(), np.array(of), items, item_slots, item_weights, HELD * lengths_of))
+    known = _Items.made(items, weights)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, queries.T.copy(), np.array(of), known, HELD * lengths_of))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, targets, item_of, known, item_slots, item_weights, floor = shared.value
-        lengths = np.array([len(words) for _, words, _ in known])
+        table, targets, item_of, known, floor = shared.value
+        lengths = np.diff(known.start)
+
+        def compared(words, row, begin, end, number, cosine, least, mine) -> None:
+            """Verify candidates and put the leaks of a row into ``mine[row]``."""
+            for k in _sifted(_slot(words.hash), begin, end, number, known).tolist():
+                found, which = mine[int(row[k])], int(number[k])
+                if which in found:
+                    continue
+                at = slice(known.start[which], known.start[which + 1])
+                leak, share, answered = _is_leak(known.words[at], known.weights[at], known.answers[which], words.hash[begin[k] : end[k]])
+                # A few common words stand in order anywhere: a short item must be there nearly whole.
+                if leak and share >= (PLAIN if lengths[which] < 2 * SHORT else least):
+                    found[which] = (known.ids[which], share, answered, None if cosine is None else float(cosine[k]))
+
         for batch in batches:
             found: list[dict[int, tuple]] = [{} for _ in range(batch.num_rows)]
             for block in blocks(batch.column(names.index(text))):
                 words = words_of(block, lower=True)
-                slots = _slot(words.hash)
                 for number_of, (row, first, vectors) in enumerate(_windows(words, table)):
                     reach = CELL * (2, 4)[number_of]
                     norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-6)
@@ -290,16 +362,18 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray, int]], vectors:
                             continue
                         w, p = low + near // along.shape[1], near % along.shape[1]
                         number = item_of[p]
+                        own = lengths[number] >= SHORT  # shorter ones must stand as they are, and are looked up
+                        w, p, number = w[own], p[own], number[own]
                         begin = np.maximum(words.row_start[row[w]], first[w] - lengths[number])
                         end = np.minimum(words.row_start[row[w] + 1], first[w] + reach + lengths[number])
-                        for k in _sifted(slots, begin, end, number, item_slots, item_weights).tolist():
-                            mine, which = found[block.first + int(row[w[k]])], int(number[k])
-                            if which in mine:
-                                continue
-                            item_id, item, answer = known[which]
-                            leak, share, answered = _is_leak(item, item_weights[which, : len(item)], answer, words.hash[begin[k] : end[k]])
-                            if leak:
-                                mine[which] = (item_id, share, answered, float(along[w[k] - low, p[k]] / norm[w[k]]))
+                        compared(words, block.first + row[w], begin, end, number, along[w - low, p] / norm[w], 0.0, found)
+                at, number, start = _by_rare_words(words.hash, known)
+                if len(at):
+                    # Words may be put in or left out, an eighth of them; a short item stands as it is.
+                    row, slack = words.row[at], lengths[number] // SHORT
+                    begin = np.maximum(words.row_start[row], start - slack)
+                    end = np.minimum(words.row_start[row + 1], start + lengths[number] + slack)
+                    compared(words, block.first + row, begin, end, number, None, PLAIN, found)
             before = batch.column(names.index(result)).to_pylist()
             told = [[*old, *(dict(zip(("item_id", "shared", "answered", "cosine"), x)) for x in new.values())] for old, new in zip(before, found)]
             kind = batch.schema.field(result).type
@@ -320,7 +394,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     counts, rows = frequencies(docs, text)
     weights = np.maximum(np.log((rows + 1) / (counts + 1)), 0.01)  # a word of every text still has a direction
     passages = written(_passages(items.select("text")), "passages")
-    vectors = (space(passages, weights) * weights[:, None]).astype(np.float32)
+    vectors = space(passages, weights) * weights[:, None].astype(np.float32)
     parts = -(-int(n_passages) // BLOCK_PASSAGES)
     for part in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()

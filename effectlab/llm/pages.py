@@ -57,8 +57,15 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: A block of this share of link text, and a list of links, isn't article text.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ITEMS = {"li", "td", "th", "dd", "dt"}
+#: A block of this share of link text is a link.
 LINK_SHARE = 0.6
+#: An element of an article with a suspicious part in its name is cut off if it has this share
+#: of link text, or fewer characters and no heading.
+HINT_SHARE, HINT_CHARS = 0.4, 80
+#: A list beside the container is prose from so many characters on.
+PROSE_LIST = 80
 
 
 class _Page:
@@ -67,6 +74,7 @@ class _Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.cut, self.good = ["#root"], [-1], [False], [False]
         self.named: list[int] = []  # cut off by name only
+        self.hinted: list[int] = []  # with such a word as a part of a name only
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._open, self._text, self._links = [0], [], 0
         self._anchors = 0
@@ -122,18 +130,19 @@ class _Page:
         if name in BLOCK:
             self._flush()
         number = len(self.tag)
-        words, cut = set(), name in CUT_TAGS
+        words, whole, cut = set(), set(), name in CUT_TAGS
         if rest and not rest.isspace():
             for key, *values in ATTRIBUTE.findall(rest):
                 key, value = key.lower(), "".join(values)
                 if key in ("class", "id"):
+                    whole |= set(value.lower().split())
                     words |= set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
                 elif key == "role" and value.lower() in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
                     cut = True
         if name == "header" and not any(self.tag[x] in ("article", "main") for x in self._open):
             cut = True
         if not cut and words & CUT_WORDS and name not in KEEPERS and name in BLOCK | {"span", "a"}:
-            self.named.append(number)
+            (self.named if whole & CUT_WORDS else self.hinted).append(number)
         elif not cut and name == "article" and words & {"comment", "comments", "reply"}:
             self.named.append(number)
         self.tag.append(name)
@@ -171,17 +180,30 @@ class _Page:
 
     def text(self) -> str:
         n = len(self.tag)
-        length = [0] * n
-        for number, words, _ in self.blocks:
+        length, linked, headed = [0] * n, [0] * n, [False] * n
+        for number, words, links in self.blocks:
             length[number] += len(words)
+            linked[number] += links
+            headed[number] |= self.tag[number] in HEADINGS
         holds_article = [tag in ("article", "main") for tag in self.tag]
         for number in self.named:  # an article that is a reader's comment holds nothing
             holds_article[number] = False
         for number in range(n - 1, 0, -1):
             length[self.parent[number]] += length[number]
+            linked[self.parent[number]] += linked[number]
+            headed[self.parent[number]] |= headed[number]
             holds_article[self.parent[number]] |= holds_article[number]
         for number in self.named:  # a name may be misleading where it is on the page's body of text
             self.cut[number] |= not (holds_article[number] or self.good[number] and 2 * length[number] > length[0])
+        in_article = [False] * n
+        for number in range(1, n):
+            up = self.parent[number]
+            in_article[number] = in_article[up] or self.tag[up] in ("article", "main") and not self.cut[up]
+        for number in self.hinted:  # a part of a name tells little of what stands inside an article
+            links = linked[number] > HINT_SHARE * length[number]
+            short = length[number] < HINT_CHARS and not headed[number]
+            inside = in_article[number] and not links and not short
+            self.cut[number] |= not (inside or holds_article[number] or self.good[number] and 2 * length[number] > length[0])
         for number in range(1, n):
             self.cut[number] |= self.cut[self.parent[number]]
         blocks = [b for b in self.blocks if not self.cut[b[0]]]
@@ -189,7 +211,13 @@ class _Page:
         kept = [False] * n
         for number in range(n):
             kept[number] = number in chosen or (number > 0 and kept[self.parent[number]])
-        return "\n".join(words for number, words, links in blocks if kept[number] and links <= LINK_SHARE * len(words))
+        shown = [(number, words, links > LINK_SHARE * len(words)) for number, words, links in blocks if kept[number]]
+        # A paragraph that is one link is text; lists of links, and links one after the other, aren't.
+        alone = [
+            self.tag[number] not in ITEMS and not (i and shown[i - 1][2]) and not (i + 1 < len(shown) and shown[i + 1][2])
+            for i, (number, _, _) in enumerate(shown)
+        ]
+        return "\n".join(words for (_, words, link), single in zip(shown, alone) if not link or single)
 
     def _chosen(self, blocks: list[tuple[int, str, int]]) -> set[int]:
         """The best container and the siblings that go with it."""
@@ -229,7 +257,8 @@ class _Page:
         for number in range(1, n):
             if number != best and self.parent[number] == self.parent[best] and chars[number]:
                 near = final.get(number, 0.0) >= least and self.tag[number] not in ("ul", "ol")
-                prose = self.tag[number] in ("p", "blockquote", "pre", "h1") and linked[number] <= 0.25 * chars[number]
+                tag, plain = self.tag[number], linked[number] <= 0.25 * chars[number]
+                prose = plain and (tag in HEADINGS or tag in ("p", "blockquote", "pre") or tag in ("ul", "ol", "dl") and chars[number] >= PROSE_LIST)
                 if near or prose:
                     chosen.add(number)
         return chosen

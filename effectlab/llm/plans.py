@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlab.llm import bagminhash, bpe, fim, kneser_ney, lsa, merkle, mixing, pages, pii, rules, secrets, sharding, urls
+from effectlab.session import work_folder
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,10 +30,18 @@ def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "lang", "n_words", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), "kept")
 
 
+#: Parts in which the documents are delivered to the secret ledger, by their source.
+DELIVERIES = 2
+
+
 def op3_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Secrets in all documents, each distinct text scanned once."""
-    docs = _table(spark, sf, "documents").select("doc_id", secrets.address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    told = secrets.digest(secrets.scan(docs.select("blob", "text")))
+    """Secrets in all documents, which come in deliveries: each scans only what the stored ledger
+    lacks, and the stored findings are joined back to all documents."""
+    docs = _table(spark, sf, "documents").select("doc_id", "source", secrets.address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    store, turn = work_folder(spark, "secret-ledger"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(DELIVERIES))
+    for delivery in range(DELIVERIES):
+        findings = secrets.update(docs.where(turn == delivery).select("blob", "text"), store, delivery)
+    told = secrets.digest(findings)
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE]
     spans = F.coalesce("spans", F.lit(""))
     return docs.select("doc_id", "blob").join(told, "blob", "left").select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
@@ -62,7 +71,7 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     crc = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-    placed = sharding.shard(crc, 16)
+    placed = sharding.shard(crc, 16, keep_text=False)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

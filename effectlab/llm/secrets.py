@@ -103,6 +103,24 @@ def record(contents: DataFrame, rules: Sequence[Rule] = BASE, ledger: DataFrame
     return pairs if ledger is None else ledger.select("blob", "rule").union(pairs).distinct()
 
 
+def update(contents: DataFrame, store: str, delivery: int, rules: Sequence[Rule] = BASE) -> DataFrame:
+    """Scan what a delivery brings and the ledger in ``store`` lacks, and keep the outcome there.
+
+    ``store`` holds the ledger and the findings as tables with one folder a delivery (numbered
+    from 0); earlier deliveries are read, this one's folders are written, so a repeated
+    delivery replaces only itself. Findings are written before the ledger says that a blob was
+    scanned. Returns the findings of all blobs in the store, old and new.
+    """
+    spark = contents.sparkSession
+    past = [f"{store}/ledger/delivery={i}" for i in range(delivery)]
+    ledger = spark.read.schema("blob string, rule string").parquet(*past) if past else None
+    scan(contents, rules, ledger).write.mode("overwrite").parquet(f"{store}/findings/delivery={delivery}")
+    fresh = record(contents, rules)
+    fresh = fresh if ledger is None else fresh.join(ledger, ["blob", "rule"], "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{store}/ledger/delivery={delivery}")
+    return spark.read.schema(FINDINGS).parquet(*(f"{store}/findings/delivery={i}" for i in range(delivery + 1)))
+
+
 def by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
     """One row for each finding in each version that holds the blob (column ``blob``)."""
     added = [c for c in findings.columns if c != "blob"]

@@ -43,3 +43,6 @@ def test_chunks_do_not_change_the_ids(spark, reference, monkeypatch):
 def test_merges_refuse_a_token_below_its_parts():
     with pytest.raises(ValueError):
         bpe.merges({b"a": 0, b"b": 1, b"c": 2, b"ab": 9, b"abc": 4})
+
+
+CHECKS = {"op1_byte_bpe": "test_encodes_like_the_library_and_decodes_back"}

@@ -58,3 +58,28 @@ def test_longest_common_subsequence_by_brute_force():
             for j in range(len(b)):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert lsa.common(a.astype(np.uint64), b.astype(np.uint64)) == table[-1, -1]
+
+
+def test_short_items_are_found_verbatim_and_with_a_word_changed(spark):
+    rng = random.Random(31)
+    words = ["the", "of", "and", "in", "is"] + ["".join(rng.choice(["ba", "ne", "ro", "ti", "lus", "ka"]) for _ in range(3)) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(words[:5]) if rng.random() < 0.4 else rng.choice(words[5:]) for _ in range(n))
+    items = [(i, text(size)) for i, size in enumerate(s for s in (4, 6, 8, 11, 16, 24, 40) for _ in range(12))]
+    docs = [(5000 + i, text(300)) for i in range(120)]
+    docs += [(i, text(70) + " " + item + " " + text(50)) for i, item in items]
+    changed = {}
+    for i, item in items:
+        parts = item.split()
+        if len(parts) >= 16:
+            parts[rng.randrange(len(parts))] = "changed"
+            changed[1000 + i] = i
+            docs.append((1000 + i, text(70) + " " + " ".join(parts) + " " + text(50)))
+    got = {(r["doc_id"], r["item_id"]) for r in lsa.leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    padded = {d: f" {t} " for d, t in docs}
+    brute = {(d, i) for d, t in padded.items() for i, item in items if f" {item} " in t}
+    assert len(got & brute) >= 0.98 * len(brute)
+    assert len(got & set(changed.items())) >= 0.95 * len(changed)
+    assert len(got - brute - set(changed.items())) <= 0.02 * len(got)
+
+
+CHECKS = {"op9_latent_leaks": "test_short_items_are_found_verbatim_and_with_a_word_changed"}

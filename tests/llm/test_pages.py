@@ -44,3 +44,26 @@ def test_defined_results_of_odd_pages(spark):
     assert [g[1] for g in got[:5]] == ["", "", "plain only", "deep", ""]
     assert got[6] == got[7] and got[6][2] == 99999
     assert extract(pages.limit(0)).count() == 0
+
+
+LONG = "A sentence of the article, with commas, and with enough words to be one, as everyone can see. " * 3
+
+
+def test_names_inside_an_article_cut_only_what_is_no_text():
+    kept = f'<article><div class="article-header"><h1>Title</h1><p>{LONG}</p></div><p>{LONG}</p><ul class="tags-explained"><li>{LONG}</li></ul></article>'
+    assert main_text(kept).split("\n") == ["Title", LONG.strip(), LONG.strip(), LONG.strip()]
+    cut = f'<article><p>{LONG}</p><div class="share-buttons"><a href="/a">Share this</a> <a href="/b">Tell others about it</a></div><div class="ad">{LONG}</div><div class="post-comments">So true</div></article>'
+    assert main_text(cut) == LONG.strip()
+
+
+def test_a_paragraph_that_is_a_link_stays_and_runs_of_links_go():
+    page = f'<article><p>{LONG}</p><p><a href="/x">The whole report</a></p><p>{LONG}</p><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul><p><a href="/3">Next</a></p><p><a href="/4">Last</a></p></article>'
+    assert main_text(page).split("\n") == [LONG.strip(), "The whole report", LONG.strip()]
+
+
+def test_headings_and_prose_lists_beside_the_container_stay():
+    page = f'<body><div><h2>Beside</h2><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><ul><li>{LONG}</li><li>{LONG}</li></ul><ul><li><a href="/1">One</a></li></ul></div></body>'
+    assert main_text(page).split("\n") == ["Beside", *[LONG.strip()] * 5]
+
+
+CHECKS = {"op5_tree_scoring": "test_article_between_menus_adverts_and_footer"}

@@ -130,3 +130,6 @@ def test_tables(spark):
     shown = {r["doc_id"]: (r["text"], r["pii"]) for r in pii.redact(df).collect()}
     assert shown[0] == (None, "old") and shown[2] == ("[EMAIL] and [PHONE]", "old") and shown[3][0] == "[EMAIL]" and shown[None][0] == "[IP], [CARD]"
     assert pii.detect(df.where("false")).count() == 0 and pii.redact(df.where("false")).count() == 0
+
+
+CHECKS = {"op13_personal_data": "test_base_spans_equal_the_patterns"}

@@ -62,3 +62,6 @@ def test_ids_are_those_of_the_library(stages):
     for doc_id, row in stages[5].iterrows():
         assert np.frombuffer(row["ids"], "<u4").tolist() == library.encode_ordinary(stages[4].loc[doc_id, "text"])
     assert len(stages[5]) == len(stages[4])
+
+
+CHECKS = {"pipeline": "test_ids_are_those_of_the_library"}

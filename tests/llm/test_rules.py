@@ -60,3 +60,6 @@ def test_the_emitted_expression_is_the_list(spark):
     learned = rules.learn(*rules.labelled(docs, labels))
     got = rules.statistics(docs).withColumn("rule", rules.rejecting_rule(learned)).collect()
     assert all((r["rule"] is not None) == (r["doc_id"] % 2 == 1) for r in got)
+
+
+CHECKS = {"op4_decision_list": "test_statistics_against_python"}

@@ -45,6 +45,24 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert secrets.record(new.select("blob"), changed, ledger).count() == 3 * 3 + 3 + 3
 
 
+def test_deliveries_scan_what_the_stored_ledger_lacks(spark, tmp_path):
+    store = str(tmp_path / "store")
+    first, second = contents(spark, TEXTS[:4] + TEXTS[1:2]), contents(spark, TEXTS[2:])
+    for _ in range(2):  # a repeated delivery replaces itself
+        secrets.update(first.select("blob", "text"), store, 0)
+    found = secrets.update(second.select("blob", "text"), store, 1)
+    told = {r["blob"]: r["spans"] for r in secrets.digest(found).collect()}
+    for r in first.union(second).collect():
+        assert told.get(r["blob"], "") == brute(r["text"])
+    ledger = spark.read.parquet(f"{store}/ledger")
+    pairs = [(r["blob"], r["rule"]) for r in ledger.collect()]
+    assert len(pairs) == len(set(pairs)) == 3 * first.union(second).select("blob").distinct().count()
+    both = {r["blob"] for r in first.select("blob").intersect(second.select("blob")).collect()}
+    again = {r["blob"] for r in spark.read.parquet(f"{store}/findings/delivery=1").collect()}
+    assert both and not both & again
+    assert secrets.update(first.where("false").select("blob", "text"), store, 2).count() == found.count()
+
+
 def test_findings_reach_every_path(spark):
     docs = contents(spark, [TEXTS[0]] * 5 + ["clean"]).withColumn("kind", F.lit("other"))
     rows = secrets.by_path(docs, secrets.scan(docs.select("blob", "text"))).collect()

@@ -47,3 +47,20 @@ def test_order_is_by_content(spark):
     got = placed(spark, rows, 2, ranges=2).sort_values(["shard", "slot"])
     runs = (got["text"] != got["text"].shift()).sum()
     assert runs <= 51
+
+
+def test_rows_equal_in_id_and_text_are_split(spark):
+    rows = [(7, "the same text again and again", "")] * 4000 + [(100 + i, f"s{i}", "") for i in range(400)]
+    got = placed(spark, rows, 16)
+    check(got, rows)
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 16 and sums.max() - sums.min() <= 4 * 30
+
+
+def test_texts_can_be_left_out(spark):
+    df = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(50)], "doc_id int, text string, size int")
+    got = sharding.shard(df, 4, keep_text=False)
+    assert got.columns == ["doc_id", "size", "shard", "slot"] and got.agg({"size": "sum"}).first()[0] == sum(len(f"text {i}") + 1 for i in range(50))
+
+
+CHECKS = {"op7_sharding": "test_near_equal_bytes_and_gapless_slots"}

@@ -41,3 +41,6 @@ def test_one_class_or_no_rows(spark):
     pages = spark.createDataFrame([("http://a.com/",), ("http://a.org/",)], "url string")
     assert {r["verdict"] for r in urls.judge(pages, RULES).collect()} == {"allow"}
     assert urls.judge(pages.limit(0), RULES).count() == 0
+
+
+CHECKS = {"op10_url_models": "test_rules_against_python"}
