@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from effectlab.functions.numeric import flag
 from effectlab.functions.ordering import first_per_key
 from effectlab.schema import Names
+from effectlab.session import written
 
 
 def condition_matrix(units: DataFrame, doses: Mapping[str, Sequence[float]], names: Names = Names()) -> DataFrame:
@@ -124,15 +125,121 @@ def analysis_audit(
     )
 
 
-def _check(df: DataFrame, name: str, offender: Column | None = None) -> DataFrame:
-    """One row for a table of offenders: it passes when the table is empty."""
-    sample = F.min(offender.cast("string")) if offender is not None else F.lit(None).cast("string")
-    return df.agg(F.count(F.lit(1)).alias("n_violations"), sample.alias("sample")).select(
-        F.lit(name).alias("check"), (F.col("n_violations") == 0).alias("passed"), "n_violations", "sample"
+# The checks of a run, in the order of the report.
+RUN_CHECKS = (
+    "exact_condition_keys", "row_count", "result_fingerprint", "result_study_id", "all_generations_complete",
+    "manifest_rows", "manifest_fingerprint", "manifest_study_id", "manifest_study_status", "manifest_execution_mode",
+    "manifest_condition_count", "manifest_seed_set", "all_referenced_images_present", "direction_tensors_present",
+    "archived_config_fingerprint",
+)
+_FACT = "kind string, key string, detail string, here bigint, there bigint"
+
+
+def _fact(kind: str, key: Column, detail: Column | None = None, here: int = 1, there: int = 0) -> Column:
+    """One entry of the table of facts; ``here`` and ``there`` count its two sides."""
+    text = F.lit(None).cast("string") if detail is None else detail.cast("string")
+    return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), text.alias("detail"), F.lit(here).cast("bigint").alias("here"), F.lit(there).cast("bigint").alias("there"))
+
+
+def _facts(df: DataFrame, *entries: Column) -> DataFrame:
+    """The entries of every row that are not null."""
+    return df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+
+
+def _run_facts(
+    ledger: DataFrame, plan: DataFrame, manifest: DataFrame, manifest_units: DataFrame, expected: Mapping[str, str],
+    listing: DataFrame, directions: DataFrame, names: Names, path: str,
+) -> DataFrame:
+    """Every input read once: its keys, paths and units to be matched, and what its rows
+    violate by themselves, counted by (kind, key, detail) before anything is moved."""
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in names.key]
+    key = F.to_json(F.array(*texts))
+    fits = lambda c: F.col(c).eqNullSafe(F.lit(expected[c]))
+    found = _facts(
+        ledger,
+        _fact("key", key),
+        F.when(F.col(path).isNotNull(), _fact("path", F.col(path))),
+        F.when(F.col(path).isNull(), _fact("all_referenced_images_present", key, F.lit("no path"))),
+        F.when(~fits("config_fingerprint"), _fact("result_fingerprint", key, F.col("config_fingerprint"))),
+        F.when(~fits("study_id"), _fact("result_study_id", key, F.col("study_id"))),
+        F.when(~flag(names.generated), _fact("all_generations_complete", key)),
+    )
+    unit = F.coalesce(F.col(names.unit).cast("string"), F.lit("null"))
+    differs = lambda check, c, wanted: F.when(~F.col(c).eqNullSafe(F.lit(wanted)), _fact(check, F.lit("manifest"), F.col(c)))
+    parts = (
+        found,
+        _facts(plan, _fact("key", key, None, 0, 1), _fact("unit", unit)),
+        _facts(manifest_units, _fact("unit", unit, None, 0, 1)),
+        _facts(listing, F.when(F.col(path).isNotNull(), _fact("path", F.col(path), None, 0, 1))),
+        _facts(
+            manifest,
+            _fact("manifest_rows", F.lit("manifest")),
+            _fact("manifest_condition_count", F.lit("manifest"), F.col("condition_count")),
+            differs("manifest_fingerprint", "config_fingerprint", expected["config_fingerprint"]),
+            differs("manifest_study_id", "study_id", expected["study_id"]),
+            differs("manifest_study_status", "study_status", expected["study_status"]),
+            differs("manifest_execution_mode", "execution_mode", "confirmatory"),
+        ),
+        _facts(directions, _fact("direction_tensors_present", F.lit("directions"))),
     )
+    facts = reduce(DataFrame.unionByName, parts)
+    return facts.groupBy("kind", "key", "detail").agg(F.sum("here").alias("here"), F.sum("there").alias("there"))
+
+
+def _judged(facts: DataFrame) -> DataFrame:
+    """Offenders ``check, key, detail, n`` of the counted facts. What is known only of whole
+    tables (their sizes) is in rows of the check ``_size``."""
+    here, there = F.col("here"), F.col("there")
+    by_key = ("key", "all_referenced_images_present", "result_fingerprint", "result_study_id", "all_generations_complete")
+    shown = F.when(F.col("kind").isin(*by_key), F.array_join(F.from_json("key", "array<string>"), "/")).otherwise(F.col("key"))
+
+    def entry(check: str | Column, detail: Column | str, n: Column, key: Column = shown) -> Column:
+        name = F.lit(check) if isinstance(check, str) else check
+        text = F.lit(detail) if isinstance(detail, str) else detail
+        return F.struct(name.alias("check"), key.alias("key"), text.cast("string").alias("detail"), n.cast("bigint").alias("n"))
+
+    one, of = F.lit(1), lambda kind: F.col("kind") == kind
+    entries = (
+        F.when(of("key") & (here == 0), entry("exact_condition_keys", "missing", one)),
+        F.when(of("key") & (there == 0), entry("exact_condition_keys", "extra", one)),
+        F.when(of("key") & (here > 1), entry("exact_condition_keys", "repeated", one)),
+        F.when(of("key"), entry("_size", "rows", here, F.lit("rows"))),
+        F.when(of("key") & (there > 0), entry("_size", "planned", one, F.lit("planned"))),
+        F.when(of("unit") & (here == 0), entry("manifest_seed_set", "not planned", one)),
+        F.when(of("unit") & (there == 0), entry("manifest_seed_set", "not in the manifest", one)),
+        F.when(of("path") & (here > 0) & (there == 0), entry("all_referenced_images_present", "absent", one)),
+        F.when(of("manifest_rows") | of("direction_tensors_present"), entry("_size", F.col("kind"), here, F.col("kind"))),
+        F.when(of("manifest_condition_count"), entry("_count", F.col("detail"), here)),
+        F.when(~F.col("kind").isin("key", "unit", "path", "manifest_rows", "manifest_condition_count", "direction_tensors_present"), entry(F.col("kind"), F.col("detail"), here)),
+    )
+    return facts.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+
+
+def _whole(judged: DataFrame, expected: Mapping[str, str], archived_fingerprint: str, n_directions: int) -> DataFrame:
+    """Offenders that follow from the sizes of whole tables, from one row of sums."""
+    size = lambda name: F.coalesce(F.sum(F.when((F.col("check") == "_size") & (F.col("key") == name), F.col("n"))), F.lit(0))
+    counts = F.collect_set(F.when(F.col("check") == "_count", F.struct(F.col("detail").alias("value"), F.col("n").alias("n"))))
+    sums = judged.where("check IN ('_size', '_count')").agg(*[size(c).alias(c) for c in ("rows", "planned", "manifest_rows", "direction_tensors_present")], counts.alias("counts"))
+    c = F.col
+
+    def entry(check: str, key: Column | str, detail: Column | str | None, n: Column) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(F.lit(check).alias("check"), lit(key).cast("string").alias("key"), lit(detail).cast("string").alias("detail"), n.cast("bigint").alias("n"))
+
+    wrong = F.filter("counts", lambda x: ~x["value"].eqNullSafe(c("planned").cast("string")))
+    entries = F.array(
+        F.when(c("rows") != c("planned"), entry("row_count", "ledger", F.concat(c("rows").cast("string"), F.lit(" of "), c("planned").cast("string")), F.abs(c("rows") - c("planned")))),
+        F.when(c("rows") == 0, entry("result_fingerprint", "ledger", "no rows", F.lit(1))),
+        F.when(c("rows") == 0, entry("result_study_id", "ledger", "no rows", F.lit(1))),
+        F.when(c("manifest_rows") != 1, entry("manifest_rows", "manifest", c("manifest_rows"), F.abs(c("manifest_rows") - 1))),
+        F.when(c("direction_tensors_present") != n_directions, entry("direction_tensors_present", "directions", c("direction_tensors_present"), F.abs(c("direction_tensors_present") - n_directions))),
+        F.when(F.lit(archived_fingerprint != expected["config_fingerprint"]), entry("archived_config_fingerprint", "archived", archived_fingerprint, F.lit(1))),
+    )
+    counted = F.transform(wrong, lambda x: entry("manifest_condition_count", "manifest", x["value"], x["n"]))
+    return sums.select(F.inline(F.filter(F.concat(entries, counted), lambda e: e.isNotNull())))
 
 
-def run_audit(
+def run_offenders(
     ledger: DataFrame,
     plan: DataFrame,
     manifest: DataFrame,
@@ -145,72 +252,47 @@ def run_audit(
     path: str = "image_path",
     n_directions: int = 2,
 ) -> DataFrame:
-    """The integrity checks of one run: ``check, passed, n_violations, sample``.
-
-    ``plan`` is the planned condition matrix, ``manifest`` the run's one-row manifest,
-    ``manifest_units`` the units it lists, one per row (``sources.manifest.run_units``),
-    ``expected`` names ``config_fingerprint, study_id, study_status``, ``listing`` holds
-    the paths of present objects, ``directions`` those of direction tensors.
+    """Every violation of a run's integrity: ``check, key, detail, n``.
+
+    ``plan`` is the planned condition matrix, ``manifest`` the run's manifest rows (one is
+    right, and each is checked), ``manifest_units`` the units it lists, one per row
+    (``sources.manifest.run_units``), ``expected`` names ``config_fingerprint, study_id,
+    study_status``, ``listing`` holds the paths of present objects, ``directions`` those of
+    direction tensors. A key is the condition, path or unit that offends, the detail how or
+    with what value, and ``n`` the rows that do. Each input is scanned once; the counted
+    facts are kept as a table, since lists and sizes are read from them.
     """
-    keys = names.key
-    label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    rows = ledger.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~F.col("config_fingerprint").eqNullSafe(F.lit(expected["config_fingerprint"]))).alias("fp"),
-        F.min(F.when(~F.col("config_fingerprint").eqNullSafe(F.lit(expected["config_fingerprint"])), F.col("config_fingerprint"))).alias("fp_sample"),
-        F.count_if(~F.col("study_id").eqNullSafe(F.lit(expected["study_id"]))).alias("study"),
-        F.min(F.when(~F.col("study_id").eqNullSafe(F.lit(expected["study_id"])), F.col("study_id"))).alias("study_sample"),
-        F.count_if(~flag(names.generated)).alias("gen"),
-        F.min(F.when(~flag(names.generated), label)).alias("gen_sample"),
-    )
-    planned = plan.select(*keys).distinct()
-    sized = rows.withColumn("planned", planned.agg(F.count(F.lit(1)).alias("n")).scalar())
-
-    def line(name: str, violations: Column, sample: Column | None = None) -> Column:
-        shown = sample if sample is not None else F.lit(None).cast("string")
-        return F.struct(
-            F.lit(name).alias("check"), (violations == 0).alias("passed"),
-            violations.cast("bigint").alias("n_violations"), shown.alias("sample"),
-        )
+    facts = written(_run_facts(ledger, plan, manifest, manifest_units, expected, listing, directions, names, path), "run-facts")
+    judged = _judged(facts)
+    return judged.where("check NOT IN ('_size', '_count')").unionByName(_whole(judged, expected, archived_fingerprint, n_directions))
 
-    empty = F.when(F.col("n") == 0, 1).otherwise(0)  # an empty ledger names no fingerprint
-    from_rows = sized.select(F.inline(F.array(
-        line("row_count", F.abs(F.col("n") - F.col("planned"))),
-        line("result_fingerprint", F.col("fp") + empty, F.col("fp_sample")),
-        line("result_study_id", F.col("study") + empty, F.col("study_sample")),
-        line("all_generations_complete", F.col("gen"), F.col("gen_sample")),
-    )))
-
-    def differs(name: str, column: str, value: Column) -> Column:
-        bad = ~F.col(column).eqNullSafe(value)
-        return line(name, F.when(bad, 1).otherwise(0), F.when(bad, F.col(column).cast("string")))
-
-    units = planned.select(names.unit).distinct()
-    named = manifest_units.select(names.unit).distinct()
-    units_differ = units.join(named, names.unit, "left_anti").unionAll(named.join(units, names.unit, "left_anti"))
-    from_manifest = manifest.limit(1).withColumn("planned", planned.agg(F.count(F.lit(1)).alias("n")).scalar()).select(
-        F.inline(F.array(
-            differs("manifest_fingerprint", "config_fingerprint", F.lit(expected["config_fingerprint"])),
-            differs("manifest_study_id", "study_id", F.lit(expected["study_id"])),
-            differs("manifest_study_status", "study_status", F.lit(expected["study_status"])),
-            differs("manifest_execution_mode", "execution_mode", F.lit("confirmatory")),
-            differs("manifest_condition_count", "condition_count", F.col("planned")),
-        ))
-    )
-    found = directions.agg(F.count(F.lit(1)).alias("n")).select(
-        F.inline(F.array(line("direction_tensors_present", F.abs(F.col("n") - F.lit(n_directions)))))
-    )
-    archived = 0 if archived_fingerprint == expected["config_fingerprint"] else 1
-    parts = [
-        _check(key_audit(ledger, plan, keys), "exact_condition_keys", label),
-        from_rows,
-        from_manifest,
-        _check(units_differ, "manifest_seed_set", F.col(names.unit)),
-        _check(missing_refs(ledger, listing, path), "all_referenced_images_present", F.col(path)),
-        found,
-        found.limit(1).select(F.inline(F.array(line("archived_config_fingerprint", F.lit(archived))))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+def run_audit(
+    ledger: DataFrame,
+    plan: DataFrame,
+    manifest: DataFrame,
+    manifest_units: DataFrame,
+    expected: Mapping[str, str],
+    listing: DataFrame,
+    directions: DataFrame,
+    archived_fingerprint: str,
+    names: Names = Names(),
+    path: str = "image_path",
+    n_directions: int = 2,
+) -> DataFrame:
+    """The integrity checks of one run: ``check, passed, n_violations, sample``, one row for
+    each of ``RUN_CHECKS``; arguments as in :func:`run_offenders`, which lists all."""
+    return checks_of(run_offenders(ledger, plan, manifest, manifest_units, expected, listing, directions, archived_fingerprint, names, path, n_directions))
+
+
+def checks_of(offenders: DataFrame) -> DataFrame:
+    """The verdict of every check over a table of offenders. A sample is the least value that
+    offends, or the least key where there is none but the kind of offence."""
+    by_value = F.col("check").isin("result_fingerprint", "result_study_id", "manifest_rows", "manifest_fingerprint", "manifest_study_id", "manifest_study_status", "manifest_execution_mode", "manifest_condition_count", "direction_tensors_present")
+    sums = offenders.groupBy("check").agg(F.sum("n").alias("n_violations"), F.min(F.when(by_value, F.col("detail")).otherwise(F.col("key"))).alias("sample"))
+    listed = offenders.sparkSession.createDataFrame([(c,) for c in RUN_CHECKS], "check string")
+    joined = listed.join(sums, "check", "left").withColumn("n_violations", F.coalesce("n_violations", F.lit(0)))
+    return joined.select("check", (F.col("n_violations") == 0).alias("passed"), "n_violations", "sample")
 
 
 def run_passed(checks: DataFrame) -> DataFrame:

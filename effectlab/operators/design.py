@@ -46,11 +46,6 @@ class DesignTables:
     perturbations: DataFrame
 
 
-def _repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counted = df.groupBy("study", *keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where("n > 1").select("study")
-
-
 def extended_data_units(t: DesignTables) -> DataFrame:
     """The base schedule continued to the number of pairs: cycle c adds c * 10000."""
     sized = t.data_units.groupBy("study").agg(F.count(F.lit(1)).alias("n"))
@@ -62,71 +57,107 @@ def extended_data_units(t: DesignTables) -> DataFrame:
     )
 
 
-def design_report(t: DesignTables, arms: Sequence[str], target_arm: str) -> DataFrame:
-    """``(study, rule, violations)`` for every broken rule of every study."""
+def _entry(kind: str, a: Column, b: Column | None = None, here: int = 1, there: int = 0) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(kind).alias("kind"), a.cast("string").alias("a"), (none if b is None else b.cast("string")).alias("b"),
+        F.lit(here).cast("bigint").alias("here"), F.lit(there).cast("bigint").alias("there"),
+    )
+
+
+def _design_facts(t: DesignTables, target_arm: str) -> DataFrame:
+    """The rows of all tables as counted (study, kind, a, b), each table read once. ``there``
+    counts what must be matched by the same entry of another table."""
     c = F.col
-    every = t.studies.select("study")
-
-    def rows(rule: str, df: DataFrame) -> DataFrame:
-        return df.groupBy("study").agg(F.count(F.lit(1)).alias("violations")).select("study", F.lit(rule).alias("rule"), "violations")
-
-    def lacking(df: DataFrame) -> DataFrame:
-        return every.join(df.select("study").distinct(), "study", "left_anti")
-
-    row_rules: dict[str, Column] = {
-        "status_unknown": ~c("status").isin(*STATUSES) | c("status").isNull(),
-        "sides_not_divisible_by_8": (c("height") % 8 != 0) | (c("width") % 8 != 0),
-        "inference_steps_below_1": c("inference_steps") < 1,
-        "pair_split_too_small": (c("train_pairs") < 2) | (c("held_out_pairs") < 1),
-        "resamples_below_1000": c("resamples") < 1000,
-        "confidence_out_of_range": ~((c("confidence") > 0.5) & (c("confidence") < 1.0)),
-        "tolerance_not_positive": ~(c("tolerance") > 0) | c("tolerance").isNull(),
-    }
-    broken = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in row_rules.items()]))
-    by_row = t.studies.select("study", F.explode(broken).alias("rule"), F.lit(1).cast("bigint").alias("violations"))
-
-    arm_list = F.explode(F.array(*[F.lit(a) for a in arms])).alias("arm")
-    planned_arms = every.select("study", arm_list)
-    grid = t.doses.groupBy("study", "arm").agg(
-        F.bool_or(c("dose") == 0).alias("zero"),
-        F.bool_or(c("dose") < 0).alias("below"),
-        F.bool_or(c("dose") > 0).alias("above"),
-        (F.count(F.lit(1)) - F.count_distinct("dose")).alias("repeats"),
+    level = F.when((c("arm") == target_arm) & (F.abs("dose") >= ZERO_DOSE), _entry("level", c("dose").cast("decimal(9,4)"), None, 0, 1))
+    tables = (
+        (t.units, [_entry("unit", c("unit"))]),
+        (t.data_units, [_entry("data", c("unit"))]),
+        (t.doses, [_entry("dose", c("arm"), c("dose").cast("double")), level]),
+        (t.roles, [_entry("role", c("arm"), c("role"))]),
+        (t.studies, [_entry("reference", c("reference_arm"))]),
+        (t.levels, [_entry("level", c("level_key").try_cast("decimal(9,4)"))]),
+        (t.metrics, [_entry("metric", c("metric"))]),
+        (t.gates, [_entry("gate", c("gate"), c("value").cast("double"))]),
+        (t.perturbations, [_entry("perturbation", c("name"))]),
     )
-    graded = grid.join(t.studies.select("study", "status"), "study")
-    role_arms = t.roles.select("study", "arm").distinct()
-    matched_arms = t.roles.where(c("role") == "matched").select("study", "arm").distinct()
-    reference = t.studies.select("study", c("reference_arm").alias("arm"))
-    keys = t.levels.select("study", c("level_key").try_cast("decimal(9,4)").alias("level")).distinct()
-    wanted = t.doses.where((c("arm") == target_arm) & (F.abs("dose") >= ZERO_DOSE)).select(
-        "study", c("dose").cast("decimal(9,4)").alias("level")
+    parts = [df.select("study", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull()))) for df, entries in tables]
+    return reduce(DataFrame.unionByName, parts).groupBy("study", "kind", "a", "b").agg(F.sum("here").alias("here"), F.sum("there").alias("there"))
+
+
+def design_report(t: DesignTables, arms: Sequence[str], target_arm: str) -> DataFrame:
+    """``(study, rule, violations)`` for every broken rule of every study.
+
+    One union of all tables is folded by (study, kind, entry), then by (study, kind, arm or
+    name), then by study; each rule is a count of that fold. Only the overlap of units with
+    the schedule of direction data, which has to be continued first, is a join of its own.
+    """
+    c = F.col
+    facts = _design_facts(t, target_arm)
+    dose = F.when(c("kind") == "dose", c("b").cast("double"))
+    role = F.when(c("kind") == "role", c("b"))
+    named = facts.groupBy("study", F.when(c("kind") == "reference", F.lit("role")).otherwise(c("kind")).alias("kind"), "a").agg(
+        F.sum("here").alias("n"),
+        F.count_if((c("here") > 0) & (c("kind") != "reference")).alias("entries"),
+        F.count_if((c("here") > 1) & (c("kind") != "reference")).alias("repeated"),
+        F.sum(F.when(c("here") == 0, c("there")).otherwise(0)).alias("unmatched"),
+        F.sum(F.when((c("kind") == "gate") & (c("b").cast("double") < 0), c("here")).otherwise(0)).alias("negative"),
+        F.bool_or(dose == 0).alias("zero"), F.bool_or(dose < 0).alias("below"), F.bool_or(dose > 0).alias("above"),
+        F.count(role).alias("roles"), F.bool_or(role == "matched").alias("matched"), F.bool_or(c("kind") == "reference").alias("reference"),
     )
-    must = every.select("study", F.explode(F.array(*[F.lit(m) for m in REQUIRED_METRICS])).alias("metric"))
-    gate_names = every.select("study", F.explode(F.array(*[F.lit(g) for g in GATES])).alias("gate"))
-    parts = [
-        by_row,
-        rows("units_empty", lacking(t.units)),
-        rows("units_repeated", _repeated(t.units, ["unit"])),
-        rows("data_units_repeated", _repeated(t.data_units, ["unit"])),
-        rows("units_overlap_data", t.units.distinct().join(extended_data_units(t), ["study", "unit"], "left_semi")),
-        rows("arm_unsupported", t.doses.where(~c("arm").isin(*arms)).select("study", "arm").distinct()),
-        rows("arm_without_doses", planned_arms.join(t.doses.select("study", "arm"), ["study", "arm"], "left_anti")),
-        rows("doses_without_zero", graded.where(~c("zero"))),
-        rows("doses_one_sided", graded.where((c("status") != "calibration") & ~(c("below") & c("above")))),
-        rows("doses_repeated", graded.where("repeats > 0")),
-        rows("roles_empty", lacking(matched_arms)),
-        rows("roles_repeated", _repeated(t.roles, ["arm", "role"])),
-        rows("roles_overlap", t.roles.groupBy("study", "arm").agg(F.count_distinct("role").alias("n")).where("n > 1")),
-        rows("roles_unknown_arm", role_arms.where(~c("arm").isin(*arms))),
-        rows("roles_incomplete", planned_arms.join(role_arms, ["study", "arm"], "left_anti")),
-        rows("reference_not_matched", reference.join(matched_arms, ["study", "arm"], "left_anti")),
-        rows("label_missing", wanted.join(keys, ["study", "level"], "left_anti")),
-        rows("metric_not_required", must.join(t.metrics, ["study", "metric"], "left_anti")),
-        rows("gate_missing", gate_names.join(t.gates, ["study", "gate"], "left_anti")),
-        rows("gate_negative", t.gates.where("value < 0")),
-        rows("perturbations_empty", lacking(t.perturbations)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    of = lambda kind: c("kind") == kind
+    yes = lambda flag: F.coalesce(c(flag), F.lit(False))
+    planned = c("a").isin(*arms)
+    has_role = of("role") & (c("entries") > 0)
+    n = {
+        "units": F.count_if(of("unit")),
+        "units_repeated": F.count_if(of("unit") & (c("n") > 1)),
+        "data_units_repeated": F.count_if(of("data") & (c("n") > 1)),
+        "arm_unsupported": F.count_if(of("dose") & ~planned),
+        "arms_with_doses": F.count_if(of("dose") & planned),
+        "doses_without_zero": F.count_if(of("dose") & ~yes("zero")),
+        "one_sided": F.count_if(of("dose") & ~(yes("below") & yes("above"))),
+        "doses_repeated": F.count_if(of("dose") & (c("n") > c("entries"))),
+        "matched_arms": F.count_if(of("role") & yes("matched")),
+        "roles_repeated": F.coalesce(F.sum(F.when(of("role"), c("repeated"))), F.lit(0)),
+        "roles_overlap": F.count_if(of("role") & (c("roles") > 1)),
+        "roles_unknown_arm": F.count_if(has_role & ~planned),
+        "arms_with_roles": F.count_if(has_role & planned),
+        "reference_matched": F.count_if(of("role") & yes("matched") & yes("reference")),
+        "label_missing": F.coalesce(F.sum(F.when(of("level"), c("unmatched"))), F.lit(0)),
+        "metrics": F.count_if(of("metric") & c("a").isin(*REQUIRED_METRICS)),
+        "gates": F.count_if(of("gate") & c("a").isin(*GATES)),
+        "gate_negative": F.coalesce(F.sum("negative"), F.lit(0)),
+        "perturbations": F.count_if(of("perturbation")),
+    }
+    folded = named.groupBy("study").agg(*[count.alias(f"n_{name}") for name, count in n.items()])
+    overlap = t.units.distinct().join(extended_data_units(t), ["study", "unit"], "left_semi").groupBy("study").agg(F.count(F.lit(1)).alias("n_overlap"))
+    joined = t.studies.join(folded, "study", "left").join(overlap, "study", "left")
+    count = lambda name: F.coalesce(c(f"n_{name}"), F.lit(0)).cast("bigint")
+    flagged = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
+    rules: dict[str, Column] = {
+        "status_unknown": flagged(~c("status").isin(*STATUSES) | c("status").isNull()),
+        "sides_not_divisible_by_8": flagged((c("height") % 8 != 0) | (c("width") % 8 != 0)),
+        "inference_steps_below_1": flagged(c("inference_steps") < 1),
+        "pair_split_too_small": flagged((c("train_pairs") < 2) | (c("held_out_pairs") < 1)),
+        "resamples_below_1000": flagged(c("resamples") < 1000),
+        "confidence_out_of_range": flagged(~((c("confidence") > 0.5) & (c("confidence") < 1.0))),
+        "tolerance_not_positive": flagged(~(c("tolerance") > 0) | c("tolerance").isNull()),
+        "units_empty": flagged(count("units") == 0),
+        "units_overlap_data": count("overlap"),
+        "arm_without_doses": len(arms) - count("arms_with_doses"),
+        "doses_one_sided": F.when(c("status") == "calibration", 0).otherwise(count("one_sided")).cast("bigint"),
+        "roles_empty": flagged(count("matched_arms") == 0),
+        "roles_incomplete": len(arms) - count("arms_with_roles"),
+        "reference_not_matched": 1 - count("reference_matched"),
+        "metric_not_required": len(REQUIRED_METRICS) - count("metrics"),
+        "gate_missing": len(GATES) - count("gates"),
+        "perturbations_empty": flagged(count("perturbations") == 0),
+    }
+    direct = ("units_repeated", "data_units_repeated", "arm_unsupported", "doses_without_zero", "doses_repeated", "roles_repeated", "roles_overlap", "roles_unknown_arm", "label_missing", "gate_negative")
+    rules |= {name: count(name) for name in direct}
+    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), broken.alias("violations")) for rule, broken in rules.items()])
+    return joined.select("study", F.inline(F.filter(cells, lambda cell: cell["violations"] > 0)))
 
 
 def _report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,19 +260,30 @@ def decompose(df: DataFrame, key: str, vector: str, shape: tuple[int, int, int],
     """Orthogonal rank-1 parts of each (C, H, W) vector seen as a C x (H W) matrix,
     strongest first: ``(key, part, part_label, singular_value, vector)``.
 
-    Every vector is decomposed by itself, inside the task that holds it.
+    The vectors of a batch are decomposed together, a bounded number of cells at a time. A
+    null vector has no parts.
     """
     channels, height, width = shape
-    rank = min(parts, channels, height * width)
+    cells = height * width
+    rank = min(parts, channels, cells)
+    step = max(1, 4_000_000 // (channels * cells * max(1, rank)))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for name, values in zip(frame[key], frame[vector]):
-                u, s, vt = np.linalg.svd(np.asarray(values, dtype=float).reshape(channels, -1), full_matrices=False)
-                rows = [(name, i, float(s[i]), (s[i] * np.outer(u[:, i], vt[i])).ravel()) for i in range(rank)]
-                yield pd.DataFrame(rows, columns=[key, "part", "singular_value", "vector"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                rows = batch.slice(low, step)
+                stacked = _dense(rows.column(1)).reshape(-1, channels, cells)
+                u, s, vt = np.linalg.svd(stacked, full_matrices=False)
+                made = np.einsum("bcr,br,brh->brch", u[:, :, :rank], s[:, :rank], vt[:, :rank])
+                size = channels * cells
+                offsets = pa.array(np.arange(0, made.size + 1, size, dtype=np.int32))
+                vectors = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+                names = rows.column(0).take(pa.array(np.repeat(np.arange(len(stacked)), rank)))
+                part = pa.array(np.tile(np.arange(rank, dtype=np.int32), len(stacked)))
+                yield pa.RecordBatch.from_arrays([names, part, pa.array(s[:, :rank].ravel()), vectors], [key, "part", "singular_value", "vector"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, vector).mapInPandas(split, f"{key} {kind}, part int, singular_value double, vector array<double>")
+    given = df.select(key, v.doubles(vector).alias("_v")).where("_v is not null")
+    out = given.mapInArrow(split, f"`{key}` {kind}, part int, singular_value double, vector array<double>")
     labels = F.array(*[F.lit(x) for x in PART_LABELS])
     return out.withColumn("part_label", F.get(labels, F.col("part")))

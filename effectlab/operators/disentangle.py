@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -15,6 +16,7 @@ from pyspark.sql import window as W
 from effectlab.functions import vector as v
 from effectlab.operators.directions import as_vector, positions_of
 from effectlab.operators.selection import top2_gap
+from effectlab.session import written
 
 EDGES = 20
 
@@ -138,9 +140,127 @@ def _newton_step(spark, rows: DataFrame, state: np.ndarray) -> np.ndarray:
     return step
 
 
+#: Classes that a label may have: the sums of a position grow with their square.
+MAX_CLASSES = 100
+
+
+def label_classes(df: DataFrame, label: str) -> list:
+    """The values of a label in order; an error for nulls, one value, or too many."""
+    found = [r[0] for r in df.select(label).distinct().limit(MAX_CLASSES + 2).collect()]
+    if None in found or not 2 <= len(found) <= MAX_CLASSES:
+        raise ValueError(f"a label takes 2 to {MAX_CLASSES} values and is never null")
+    return sorted(found)
+
+
+def _softmax(x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Class probabilities [row, position, class] under weights and biases [2, position, class]."""
+    z = x[:, :, None] * state[0] + state[1]
+    z -= z.max(axis=2, keepdims=True)
+    np.exp(z, out=z)
+    return z / z.sum(axis=2, keepdims=True)
+
+
+def _class_sums(rows: DataFrame, state: np.ndarray) -> np.ndarray:
+    """The gradients and the class-block Hessians of all positions: [position, sum], added up
+    by each task over its rows and then by Spark in blocks of positions."""
+    _, width, classes = state.shape
+    upper = np.triu_indices(classes)
+    size = 2 * classes + 3 * len(upper[0])
+    step = max(1, 2_000_000 // (width * classes))
+    chunk = max(1, 100_000 // size)
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, size))
+        for batch in batches:
+            given = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for low in range(0, len(given), step):
+                x, y = given[low : low + step], batch.column(1).to_numpy()[low : low + step]
+                p = _softmax(x, shared.value)
+                curve = [p[:, :, c] * ((c == d) - p[:, :, d]) for c, d in zip(*upper)]
+                p[np.arange(len(y)), :, y] -= 1.0
+                total[:, :classes] += np.einsum("np,npc->pc", x, p)
+                total[:, classes : 2 * classes] += p.sum(axis=0)
+                for i, h in enumerate(curve):
+                    at = 2 * classes + 3 * i
+                    total[:, at] += (h * x * x).sum(axis=0)
+                    total[:, at + 1] += (h * x).sum(axis=0)
+                    total[:, at + 2] += h.sum(axis=0)
+        for at in range(0, width, chunk):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total[at : at + chunk].tobytes()], pa.binary())], ["at", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(part) for part in sorted(table.column("part").to_pylist())], axis=0)
+        return pa.Table.from_arrays([table.column("at").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())], ["at", "part"])
+
+    summed = rows.mapInArrow(partial, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect()
+    shared.destroy()
+    return np.concatenate([np.frombuffer(r["part"]).reshape(-1, size) for r in sorted(summed, key=lambda r: r["at"])])
+
+
+def softmax_by_position(df: DataFrame, vector: str, label: str, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """One multinomial logistic regression per position (weights penalised by their squares
+    over two), all positions at once: ``(pos, weights, biases, accuracy)`` with one weight
+    and bias per class, in the order of the classes; biases add up to nothing.
+
+    Each Newton round is one pass over the vectors. What returns to the driver is the state
+    of the models: the sums of each position, whose number the classes decide.
+    """
+    spark = df.sparkSession
+    classes = label_classes(df, label)
+    many = len(classes)
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    rows = written(df.select(v.doubles(vector).alias("x"), place.cast("bigint").alias("y")).where("x is not null"), "softmax-rows")
+    shares = dict(rows.groupBy("y").agg(F.count(F.lit(1))).collect())
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    state = np.zeros((2, width, many))
+    start = np.log([shares.get(c, 0.5) for c in range(many)])
+    state[1] = start - start.mean()
+    upper = np.triu_indices(many)
+    for _ in range(rounds):
+        sums = _class_sums(rows, state)
+        gradient = sums[:, : 2 * many].copy()
+        gradient[:, :many] += state[0]
+        hessian = np.zeros((width, 2 * many, 2 * many))
+        for i, (c, d) in enumerate(zip(*upper)):
+            xx, xo, oo = (sums[:, 2 * many + 3 * i + j] for j in range(3))
+            for a, b in {(c, d), (d, c)}:
+                hessian[:, a, b], hessian[:, many + a, many + b] = xx, oo
+                hessian[:, a, many + b] = hessian[:, many + a, b] = xo
+        hessian[:, range(many), range(many)] += 1.0
+        # Biases may move together without effect: this holds their sum.
+        hessian[:, many:, many:] += 1.0
+        step = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+        step /= np.maximum(1.0, np.abs(step).max(axis=1, keepdims=True) / 5.0)
+        state -= step.reshape(width, 2, many).transpose(1, 0, 2)
+        if np.abs(step).max() < tolerance:
+            break
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, n = np.zeros(width, np.int64), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            y = batch.column(1).to_numpy()
+            for low in range(0, len(x), 1_000):
+                z = x[low : low + 1_000, :, None] * state[0] + state[1]
+                hits += (z.argmax(axis=2) == y[low : low + 1_000, None]).sum(axis=0)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(hits), pa.array(np.full(width, n))], ["pos", "hits", "n"])
+
+    scored = rows.mapInArrow(right, "pos int, hits bigint, n bigint").groupBy("pos").agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
+    table = [(i, state[0, i].tolist(), state[1, i].tolist()) for i in range(width)]
+    models = spark.createDataFrame(table, "pos int, weights array<double>, biases array<double>")
+    return models.join(scored, "pos")
+
+
 def sap(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Gap of the two positions that predict the label best on their own."""
-    return top2_gap(logistic_by_position(df, vector, label), "accuracy").select(F.col("gap").alias("sap"))
+    """Gap of the two positions that predict the label, of any number of classes, best on
+    their own."""
+    classes = label_classes(df, label)
+    if len(classes) == 2:
+        told = df.select(vector, (F.col(label) == F.lit(classes[1])).cast("int").alias(label))
+        return top2_gap(logistic_by_position(told, vector, label), "accuracy").select(F.col("gap").alias("sap"))
+    return top2_gap(softmax_by_position(df, vector, label), "accuracy").select(F.col("gap").alias("sap"))
 
 
 def dci(df: DataFrame, vector: str, label: str, trees: int = 100, depth: int = 3, seed: int = 42) -> DataFrame:
@@ -155,18 +275,21 @@ def dci(df: DataFrame, vector: str, label: str, trees: int = 100, depth: int = 3
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
     weights = [float(x) for x in model.featureImportances.toArray()]  # one per position
     table = spark.createDataFrame(list(enumerate(weights)), "pos int, importance double")
-    size = len(weights)
-    even = F.lit(1.0 / size)
-    share = F.when(F.sum("importance").over(W.Window.partitionBy()) < 1e-8, even).otherwise(
-        F.col("importance") / F.sum("importance").over(W.Window.partitionBy())
-    )
-    entropy = table.select(share.alias("p")).agg(F.coalesce(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p"))), F.lit(0.0)).alias("h"))
-    needed = components_needed(table)
     accuracy = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a"))
-    return needed.withColumn("_h", entropy.scalar()).withColumn("_a", accuracy.scalar()).select(
-        (F.lit(1.0) - F.col("_h") / F.ln(F.lit(size + 1e-8))).alias("disentanglement"),
+    return dci_scores(table).withColumn("informativeness", accuracy.scalar())
+
+
+def dci_scores(importances: DataFrame) -> DataFrame:
+    """``disentanglement`` (one less the entropy of the shares over that of even ones) and
+    ``completeness`` (the share of components that aren't needed for nearly all importance)
+    of a table ``pos, importance`` with one row per position of a vector."""
+    everything = W.Window.partitionBy()
+    total, size = F.sum("importance").over(everything), F.count(F.lit(1)).over(everything)
+    shares = importances.select(F.when(total < 1e-8, 1.0 / size).otherwise(F.col("importance") / total).alias("p"))
+    entropy = shares.agg(F.coalesce(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p"))), F.lit(0.0)).alias("h"))
+    return components_needed(importances).withColumn("_h", entropy.scalar()).select(
+        (F.lit(1.0) - F.col("_h") / F.ln(F.col("n_components") + 1e-8)).alias("disentanglement"),
         (F.lit(1.0) - F.col("n_needed") / F.col("n_components")).alias("completeness"),
-        F.col("_a").alias("informativeness"),
     )
 
 

@@ -254,6 +254,25 @@ def j12_evidence_presence(spark, sf):
     return evidence.evidence_presence(fx.table(spark, sf, "benchmark"), fx.table(spark, sf, "documents"), "item_id", "doc_id")
 
 
+@plan(
+    "j12_common_anchors",
+    r"""with b as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) t from benchmark),
+    s as (select item_id * 2 sid, regexp_extract(t, '^[^ ]+') s from b union all select item_id * 2 + 1, regexp_extract(t, '^[^ ]+ [^ ]+ [^ ]+') from b),
+    d as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) t from documents),
+    f as (select sid, count(*) n from s join d on contains(t, s) group by sid)
+    select sid, (select count(*) from d) n_required, coalesce(n, 0) n_present, (select count(*) from d) - coalesce(n, 0) n_missing,
+      coalesce(n, 0) = (select count(*) from d) present_in_all from s left join f using (sid)""",
+)
+def j12_common_anchors(spark, sf):
+    """The first word and the first three words of every item: words that most documents hold."""
+    text = k.normalize_ws("text")
+    first = F.regexp_extract(text, "^[^ ]+", 0)
+    three = F.regexp_extract(text, "^[^ ]+ [^ ]+ [^ ]+", 0)
+    parts = F.array(F.struct((F.col("item_id") * 2).alias("sid"), first.alias("text")), F.struct((F.col("item_id") * 2 + 1).alias("sid"), three.alias("text")))
+    snippets = fx.table(spark, sf, "benchmark").select(F.inline(parts))
+    return evidence.evidence_presence(snippets, fx.table(spark, sf, "documents"), "sid", "doc_id")
+
+
 @plan(
     "j13_with_baseline",
     f"""with {fx.TRIAL} select t.unit, t.arm, t.dose, {q6("t.cost - b.cost")} cost_change, {q6("b.quality")} baseline_quality
@@ -264,39 +283,56 @@ def j13_with_baseline(spark, sf):
     return out.select("unit", "arm", "dose", r6(F.col("cost") - F.col("baseline_cost"), "cost_change"), r6("baseline_quality"))
 
 
-@plan(
-    "a14_run_audit",
-    f"""with {fx.TRIAL}, {fx.DESIGN}, led as (select *, case when n % 17 = 0 then 'other' else 'fp' end fp from trial),
-    bad as (select unit || '/' || arm || '/' || dose k from led where not generated)
-    select 'exact_condition_keys' as "check", (select count(*) from (from design select unit, arm, dose except from led select unit, arm, dose)) n_violations,
-      (select min(unit || '/' || arm || '/' || dose) from (from design select unit, arm, dose except from led select unit, arm, dose)) sample
-    union all select 'row_count', abs((select count(*) from led) - (select count(*) from design)), null
-    union all select 'result_fingerprint', (select count(*) from led where fp <> 'fp'), (select min(fp) from led where fp <> 'fp')
-    union all select 'result_study_id', 0, null
-    union all select 'all_generations_complete', (select count(*) from bad), (select min(k) from bad)
-    union all select 'manifest_fingerprint', 0, null union all select 'manifest_study_id', 0, null
-    union all select 'manifest_study_status', 1, 'planned' union all select 'manifest_execution_mode', 0, null
-    union all select 'manifest_condition_count', 0, null
-    union all select 'manifest_seed_set', (select count(distinct unit) from design where unit % 10 = 0), (select min(unit::varchar) from design where unit % 10 = 0)
-    union all select 'all_referenced_images_present', (select count(*) from bad),
-      (select min('images/seed_' || unit || '/' || arm || '/alpha_' || {SLUG.format(d="dose::DOUBLE")} || '.png') from led where not generated)
-    union all select 'direction_tensors_present', 0, null union all select 'archived_config_fingerprint', 1, null""",
-)
-def a14_run_audit(spark, sf):
+A14_FACTS = f"""{fx.TRIAL}, {fx.DESIGN}, led as (select *, case when n % 17 = 0 then 'other' else 'fp' end fp, unit || '/' || arm || '/' || dose k,
+    'images/seed_' || unit || '/' || arm || '/alpha_' || {SLUG.format(d="dose::DOUBLE")} || '.png' path from trial),
+    lost as (from design select unit, arm, dose except from led select unit, arm, dose), n as (select (select count(*) from led) l, (select count(*) from design) d),
+    off as (select 'exact_condition_keys' "check", unit || '/' || arm || '/' || dose "key", 'missing' detail, 1 n from lost
+    union all select 'row_count', 'ledger', l || ' of ' || d, abs(l - d) from n where l <> d
+    union all select 'result_fingerprint', k, fp, 1 from led where fp <> 'fp'
+    union all select 'all_generations_complete', k, null, 1 from led where not generated
+    union all select 'manifest_rows', 'manifest', '3', 2
+    union all select 'manifest_fingerprint', 'manifest', 'fp2', 1
+    union all select 'manifest_study_status', 'manifest', 'planned', 2
+    union all select 'manifest_condition_count', 'manifest', (d + 2)::varchar, 1 from n
+    union all select 'manifest_seed_set', unit::varchar, 'not in the manifest', 1 from (select distinct unit from design where unit % 10 = 0)
+    union all select distinct 'all_referenced_images_present', path, 'absent', 1 from led where not generated
+    union all select 'direction_tensors_present', 'directions', (select count(*) from region)::varchar, abs((select count(*) from region) - 2)
+    union all select 'archived_config_fingerprint', 'archived', 'older', 1)"""
+
+
+def a14_offenders(spark, sf):
+    """A run with faults of every kind: three manifest rows, two of which are wrong."""
     ledger = fx.trial_ledger(spark, sf).select(
         "*", F.when(F.col("n") % 17 == 0, "other").otherwise("fp").alias("config_fingerprint"),
         F.lit("study").alias("study_id"), k.condition_path("unit", "arm", "dose").alias("image_path"),
     )
     planned = fx.design(spark, sf)
-    manifest = planned.agg(F.count(F.lit(1)).alias("condition_count")).select(
-        "*", F.lit("fp").alias("config_fingerprint"), F.lit("study").alias("study_id"),
-        F.lit("planned").alias("study_status"), F.lit("confirmatory").alias("execution_mode"),
+    wrong = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")
+    manifest = planned.agg(F.count(F.lit(1)).alias("conditions")).select("conditions", wrong).select(
+        F.expr("conditions + if(i = 2, 2, 0)").alias("condition_count"), F.expr("if(i = 1, 'fp2', 'fp')").alias("config_fingerprint"),
+        F.lit("study").alias("study_id"), F.expr("if(i = 0, 'preregistered', 'planned')").alias("study_status"), F.lit("confirmatory").alias("execution_mode"),
     )
     expected = {"config_fingerprint": "fp", "study_id": "study", "study_status": "preregistered"}
-    directions = fx.table(spark, sf, "region").where("r_regionkey < 2").select(F.col("r_name").alias("path"))
+    directions = fx.table(spark, sf, "region").select(F.col("r_name").alias("path"))
     units = planned.where("unit % 10 <> 0").select("unit")
-    out = audit.run_audit(ledger, planned, manifest, units, expected, ledger.where("generated").select("image_path"), directions, "older")
-    return out.select("check", "n_violations", "sample")
+    listing = ledger.where("generated").select("image_path")
+    return audit.run_offenders(ledger, planned, manifest, units, expected, listing, directions, "older")
+
+
+@plan("a14_run_offenders", f"""with {A14_FACTS} select "check", "key", detail, n::BIGINT n from off""")
+def a14_run_offenders(spark, sf):
+    return a14_offenders(spark, sf)
+
+
+@plan(
+    "a14_run_audit",
+    f"""with {A14_FACTS}, c as (select unnest([{", ".join(f"'{c}'" for c in audit.RUN_CHECKS)}]) "check")
+    select "check", coalesce(sum(n), 0)::BIGINT n_violations, min(case when "check" in ('result_fingerprint', 'manifest_rows', 'manifest_fingerprint',
+      'manifest_study_status', 'manifest_condition_count', 'direction_tensors_present') then detail else "key" end) sample
+    from c left join off using ("check") group by "check\"""",
+)
+def a14_run_audit(spark, sf):
+    return audit.checks_of(a14_offenders(spark, sf)).select("check", "n_violations", "sample")
 
 
 @plan(

@@ -298,6 +298,34 @@ def v18_decompose_energy(spark, sf):
     return rows.select("vec_id", "n_parts", r6("energy"), falling.alias("ordered"))
 
 
+def parts_sql(parts: int = 4, squarings: int = 14) -> str:
+    """The rank-one parts of each vector as a 4 x 16 matrix M: u u' M for the leading
+    directions u of M M', which is squared until one direction is left."""
+    steps = [f"""{EM}, c as (select vec_id, pos // 16 i, pos % 16 h, e[pos + 1] x from em cross join (select unnest(range(64)) pos)),
+m0 as materialized (select a.vec_id, a.i, b.i j, sum(a.x * b.x) v from c a join c b using (vec_id, h) group by all)"""]
+    for p in range(parts):
+        last = f"m{p}"
+        for k in range(squarings):
+            name = f"q{p}_{k}"
+            steps.append(f"""{name}_r as materialized (select a.vec_id, a.i, b.j, sum(a.v * b.v) v from {last} a join {last} b on a.vec_id = b.vec_id and a.j = b.i group by all),
+{name} as materialized (select vec_id, i, j, v / t v from {name}_r join (select vec_id, sum(v) t from {name}_r where i = j group by vec_id) using (vec_id))""")
+            last = name
+        steps.append(f"""e{p} as materialized (select vec_id, sum(m.v * w.v) v from m{p} m join {last} w using (vec_id, i, j) group by vec_id),
+w{p} as materialized (select * from {last}),
+m{p + 1} as materialized (select vec_id, i, j, m.v - e.v * w.v v from m{p} m join w{p} w using (vec_id, i, j) join e{p} e using (vec_id))""")
+    each = " union all ".join(
+        f"select w.vec_id, {p} part, sqrt(e.v) s, w.i * 16 + c.h pos, sum(w.v * c.x) v from w{p} w join c on w.vec_id = c.vec_id and w.j = c.i join e{p} e on e.vec_id = w.vec_id group by all" for p in range(parts)
+    )
+    return ",\n".join(steps) + f", ps as ({each})"
+
+
+@plan("v18_parts", f"with {parts_sql(3)} select vec_id, part::int part, {q6('s')} singular_value, pos::int pos, {q6('v')} value from ps")
+def v18_parts(spark, sf):
+    """Every part with its strength: orthogonal to the others and of rank one, or the SQL differs."""
+    parts = d.decompose(vectors(spark, sf), "vec_id", "embedding", SHAPE, 3)
+    return parts.select("vec_id", "part", r6("singular_value"), F.posexplode("vector").alias("pos", "value")).withColumn("value", r6("value"))
+
+
 def sap_sql(rounds: int = 10) -> str:
     """Newton rounds for one logistic regression per position, written out."""
     steps = [f"""{EM}, pos as (select unnest(range(64)) pos), l as (select pos, y, e[pos + 1] x from em cross join pos),
@@ -317,6 +345,13 @@ def v19_sap(spark, sf):
     return rounded(disentangle.sap(fx.vec_labelled(spark, sf), "embedding", "y"), "sap")
 
 
+@plan("v19_sap_classes")
+def v19_sap_classes(spark, sf):
+    """The label with all its values, against every position by itself."""
+    out = disentangle.softmax_by_position(fx.table(spark, sf, "embeddings"), "embedding", "label")
+    return out.select("pos", r6("accuracy"), F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
+
+
 @plan(
     "v19_logistic",
     f"with {sap_sql()} select pos::int pos, {q6('w')} weight, {q6('b')} bias, {q6('acc')} accuracy from s10 join ac using (pos)",
@@ -356,6 +391,18 @@ def v21_dci(spark, sf):
     return rounded(disentangle.dci(fx.vec_labelled(spark, sf), "embedding", "y"), "disentanglement", "completeness", "informativeness")
 
 
+@plan(
+    "v21_dci_scores",
+    f"""with {EM}, pos as (select unnest(range(64)) pos), i as (select pos, sum(pow(e[pos + 1], 8)) imp from em cross join pos group by pos),
+    c as (select imp / sum(imp) over () p, sum(imp) over (order by imp desc, pos rows unbounded preceding) u, sum(imp) over () t from i)
+    select {q6("1 + sum(p * ln(p)) / ln(64 + 1e-8)")} disentanglement, {q6("1 - (count(*) filter (where u < 0.99 * t) + 1) / 64")} completeness from c""",
+)
+def v21_dci_scores(spark, sf):
+    value = F.col("value").cast("double")
+    table = d.positions_of(vectors(spark, sf), [], "embedding").groupBy("pos").agg(F.sum(F.pow(value, F.lit(8.0))).alias("importance"))
+    return rounded(disentangle.dci_scores(table), "disentanglement", "completeness")
+
+
 @plan("v22_disentanglement")
 def v22_disentanglement(spark, sf):
     return rounded(disentangle.disentanglement(fx.vec_labelled(spark, sf), "embedding", "y"), "value")

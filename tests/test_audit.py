@@ -132,7 +132,7 @@ def test_complete_run_passes_every_check(spark):
     plan, rows, run = complete_run(spark)
     assert plan.count() == 570
     checks = run_checks(spark, plan, rows, run, rows)
-    assert tuple(audit.run_passed(checks).first()) == (14, 0, True)
+    assert tuple(audit.run_passed(checks).first()) == (15, 0, True)
 
 
 def test_one_missing_condition_fails_the_run(spark):
@@ -142,6 +142,29 @@ def test_one_missing_condition_fails_the_run(spark):
     assert failed == {"exact_condition_keys", "row_count"}
 
 
+def test_every_offender_is_listed(spark):
+    plan, rows, run = complete_run(spark)
+    bad = rows.where("not (seed = 3 and method = 'a' and alpha = 0)").unionAll(rows.where("seed = 4 and method = 'a' and alpha = 1"))
+    bad = bad.withColumn("config_fingerprint", F.when(F.col("seed") == 5, F.lit(None)).when(F.col("seed") == 6, "x").otherwise(F.col("config_fingerprint")))
+    bad = bad.unionByName(rows.limit(1).withColumn("method", F.lit("[new]")).withColumn("image_path", F.lit(None).cast("string")))
+    runs = run.unionAll(run.withColumn("study_status", F.lit("draft")).withColumn("execution_seeds", F.array(F.lit(1).cast("bigint"), F.lit(99).cast("bigint"))))
+    tensors = spark.createDataFrame([("raw",)], "path string")
+    expected = {"config_fingerprint": "fp", "study_id": "s", "study_status": "preregistered"}
+    listing = rows.where("seed <> 7 or method = 'b'").select("image_path")
+    found = audit.run_offenders(bad, plan, runs, manifest.run_units(runs), expected, listing, tensors, "fp", LEDGER)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["check"], []).append((r.key, r.detail, r.n))
+    assert sorted(r for r in got["exact_condition_keys"] if "[" not in r[0]) == [("3/a/0.0", "missing", 1), ("4/a/1.0", "repeated", 1)]
+    assert len(got["exact_condition_keys"]) == 3 and [r[1] for r in got["exact_condition_keys"] if "[new]" in r[0]] == ["extra"]
+    assert len(got["result_fingerprint"]) == 38 and {r[1] for r in got["result_fingerprint"]} == {None, "x"}
+    assert got["manifest_rows"] == [("manifest", "2", 1)] and got["manifest_study_status"] == [("manifest", "draft", 1)]
+    assert got["manifest_seed_set"] == [("99", "not planned", 1)]
+    assert sorted(r[1] for r in got["all_referenced_images_present"]) == ["absent"] * 3 + ["no path"]
+    assert got["direction_tensors_present"] == [("directions", "1", 1)] and got["row_count"] == [("ledger", "571 of 570", 1)]
+    assert set(got) == {"exact_condition_keys", "row_count", "result_fingerprint", "manifest_rows", "manifest_study_status", "manifest_seed_set", "all_referenced_images_present", "direction_tensors_present"}
+
+
 def test_resume_skips_what_is_there(spark):
     plan, rows, _ = complete_run(spark)
     assert audit.remaining(plan, rows.where("seed < 29"), LEDGER.key).count() == 19

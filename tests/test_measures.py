@@ -274,3 +274,72 @@ def test_largest_confident_box(spark):
     df = spark.createDataFrame(rows, "image int, x0 double, y0 double, x1 double, y1 double, confidence double, seq int")
     got = geo.largest_box(df, "image").collect()
     assert [tuple(r)[:5] for r in got] == [(1, 2, 2, 4, 4)]
+
+
+def _softmax_newton(x, y, many, rounds=60):
+    """One position by itself, with dense matrices."""
+    t = np.zeros((2, many))
+    one_hot = np.eye(many)[y]
+    f = np.stack([x, np.ones_like(x)])
+    for _ in range(rounds):
+        z = np.exp(f.T @ t - (f.T @ t).max(axis=1, keepdims=True))
+        p = z / z.sum(axis=1, keepdims=True)
+        g = f @ (p - one_hot) + np.stack([t[0], np.zeros(many)])
+        h = np.einsum("an,bn,ncd->acbd", f, f, p[:, :, None] * np.eye(many) - p[:, :, None] * p[:, None, :]).reshape(2 * many, -1)
+        h[:many, :many] += np.eye(many)
+        t = t - (np.linalg.pinv(h) @ g.ravel()).reshape(2, many)
+    return t, ((f.T @ t).argmax(axis=1) == y).mean()
+
+
+def test_softmax_of_all_positions_equals_one_by_one(spark):
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 5, 240)
+    x = rng.normal(size=(240, 4)) + np.stack([y * 0.8, np.zeros(240), -y * 0.3, (y == 2) * 2.0], axis=1)
+    names = ["k", "b", "a", "z", "q"]
+    df = spark.createDataFrame([(r.tolist(), names[c]) for r, c in zip(x, y)], "e array<double>, c string")
+    order = sorted(names)
+    codes = np.array([order.index(names[c]) for c in y])
+    accuracies = []
+    for r in disentangle.softmax_by_position(df.repartition(5), "e", "c").orderBy("pos").collect():
+        t, accuracy = _softmax_newton(x[:, r.pos], codes, 5)
+        assert r.weights == pytest.approx(t[0], abs=1e-6)
+        assert np.array(r.biases) - np.mean(r.biases) == pytest.approx(t[1] - t[1].mean(), abs=1e-6)
+        assert r.accuracy == pytest.approx(accuracy)
+        accuracies.append(accuracy)
+    best = sorted(accuracies)
+    assert disentangle.sap(df, "e", "c").first().sap == pytest.approx(best[-1] - best[-2])
+    with pytest.raises(ValueError):
+        disentangle.sap(df.where("c = 'a'"), "e", "c")
+
+
+def _dci_by_hand(df, classes):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(array_to_vector("e").alias("features"), F.col("y").cast("double").alias("label"))
+    kind = GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.1, seed=42, cacheNodeIds=True) if classes == 2 else RandomForestClassifier(numTrees=4, maxDepth=3, seed=42)
+    model = kind.fit(rows)
+    weight = model.featureImportances.toArray()
+    p = weight / weight.sum()
+    needed = int((np.cumsum(np.sort(weight)[::-1]) < 0.99 * weight.sum()).sum()) + 1
+    right = model.transform(rows).where("prediction = label").count() / rows.count()
+    return [1 + (p[p > 0] * np.log(p[p > 0])).sum() / np.log(len(p) + 1e-8), 1 - needed / len(p), right]
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_all_scores_follow_from_importances_and_accuracies(spark, labelled, classes):
+    df = labelled[0] if classes == 2 else labelled[0].withColumn("y", F.when(F.get("e", 1) > 0.6, 2).otherwise(F.col("y")))
+    df = df.coalesce(1).persist()
+    one = disentangle.dci(df, "e", "y", trees=4).first()
+    assert list(one) == pytest.approx(_dci_by_hand(df, classes))
+    got = {r.score: r.value for r in disentangle.disentanglement(df, "e", "y", trees=4).collect()}
+    assert [got[c] for c in ("disentanglement", "completeness", "informativeness")] == pytest.approx(list(one))
+    assert got["sap"] == pytest.approx(disentangle.sap(df, "e", "y").first().sap) and got["mig"] == pytest.approx(disentangle.mig(df, "e", "y").first().mig)
+    df.unpersist()
+
+
+CHECKS = {
+    "v19_sap_classes": "test_softmax_of_all_positions_equals_one_by_one",
+    "v21_dci": "test_all_scores_follow_from_importances_and_accuracies",
+    "v22_disentanglement": "test_all_scores_follow_from_importances_and_accuracies",
+}
