@@ -77,10 +77,17 @@ def best_alpha(
     )
 
 
+#: Vectors that a basis may have: it goes to every task.
+MAX_BASIS = 1_024
+
+
 def orthonormal(basis: DataFrame, order: str = "name") -> DataFrame:
-    """Gram-Schmidt over the few rows ``(name, vector)`` of a basis, in name order; one
-    row ``basis: array<array<double>>``."""
-    rows = [np.asarray(r.vector, dtype=float) for r in basis.orderBy(order).collect()]
+    """Gram-Schmidt over the rows ``(name, vector)`` of a basis, in name order; one row
+    ``basis: array<array<double>>``. More than ``MAX_BASIS`` rows are an error."""
+    found = basis.orderBy(order).limit(MAX_BASIS + 1).collect()
+    if len(found) > MAX_BASIS:
+        raise ValueError(f"a basis has at most {MAX_BASIS} vectors")
+    rows = [np.asarray(r.vector, dtype=float) for r in found]
     done: list[np.ndarray] = []
     for row in rows:
         for b in done:

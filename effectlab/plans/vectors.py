@@ -125,13 +125,13 @@ def v7_resize_grid(spark, sf):
 
 @plan(
     "v8_apply_vectors",
-    f"""with {EM}, pos as (select unnest(range(64)) pos), gm as (select label, pos, avg(embedding[pos + 1]::DOUBLE) v from embeddings cross join pos where label < 3 group by all),
+    f"""with {EM}, pos as (select unnest(range(64)) pos), gm as (select label, pos, avg(embedding[pos + 1]::DOUBLE) v from embeddings cross join pos group by all),
     c as (select pos, sum(v * case label when 0 then 0.5 when 1 then -2 else 1 end) v from gm group by pos)
     select vec_id, pos::int pos, {q6("e[pos + 1] + v")} value from em cross join c""",
 )
 def v8_apply_vectors(spark, sf):
     table = fx.table(spark, sf, "embeddings")
-    means = d.positions_of(table.where("label < 3"), ["label"], "embedding").groupBy("label", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    means = d.positions_of(table, ["label"], "embedding").groupBy("label", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
     named = d.as_vector(means, ["label"]).select(F.concat(F.lit("g"), "label").alias("name"), "vector")
     out = steering.apply_vectors(vectors(spark, sf), "embedding", named, {"g0": 0.5, "g1": -2.0})
     return long(out, "vec_id", column="embedding")
@@ -164,21 +164,26 @@ def v10_best_alpha(spark, sf):
     return out.select("vec_id", r6("best_alpha"), r6("best_score"))
 
 
-@plan(
-    "v11_project",
-    f"""with {EM}, pos as (select unnest(range(64)) pos), gm as (select label, pos, avg(embedding[pos + 1]::DOUBLE) v from embeddings cross join pos where label < 3 group by all),
-    w as (select pos, max(v) filter (where label = 0) a, max(v) filter (where label = 1) b, max(v) filter (where label = 2) c from gm group by pos),
-    w1 as (select pos, a / ((select sqrt(sum(a * a)) from w) + 1e-8) a, b, c from w),
-    w2 as (select pos, a, b - (select sum(a * b) from w1) * a b, c - (select sum(a * c) from w1) * a c from w1),
-    w3 as (select pos, a, b / ((select sqrt(sum(b * b)) from w2) + 1e-8) b, c from w2),
-    w4 as (select pos, a, b, c - (select sum(b * c) from w3) * b c from w3),
-    w5 as (select pos, a, b, c / ((select sqrt(sum(c * c)) from w4) + 1e-8) c from w4),
-    k as (select vec_id, sum(e[pos + 1] * a) ka, sum(e[pos + 1] * b) kb, sum(e[pos + 1] * c) kc from em cross join w5 group by vec_id)
-    select vec_id, pos::int pos, {q6("ka * a + kb * b + kc * c")} value from k cross join w5""",
-)
+def project_sql(labels: int = 10) -> str:
+    """Gram-Schmidt over the labels' mean vectors, one step a label, and the projection."""
+    names = [f"a{i}" for i in range(labels)]
+    steps = [f"""{EM}, pos as (select unnest(range(64)) pos), gm as (select label, pos, avg(embedding[pos + 1]::DOUBLE) v from embeddings cross join pos group by all),
+    w0 as materialized (select pos, {", ".join(f"max(v) filter (where label = {i}) a{i}" for i in range(labels))} from gm group by pos)"""]
+    for i, name in enumerate(names):
+        unit = [f"{n} / ((select sqrt(sum({n} * {n})) from w{i}) + 1e-8) {n}" if n == name else n for n in names]
+        steps.append(f"u{i} as materialized (select pos, {', '.join(unit)} from w{i})")
+        rest = [f"{n} - (select sum({n} * {name}) from u{i}) * {name} {n}" if j > i else n for j, n in enumerate(names)]
+        steps.append(f"w{i + 1} as materialized (select pos, {', '.join(rest)} from u{i})")
+    sums = ", ".join(f"sum(e[pos + 1] * {n}) k{n}" for n in names)
+    whole = " + ".join(f"k{n} * {n}" for n in names)
+    return "with " + ",\n".join(steps) + f""", k as (select vec_id, {sums} from em cross join w{labels} group by vec_id)
+    select vec_id, pos::int pos, {q6(whole)} value from k cross join w{labels}"""
+
+
+@plan("v11_project", project_sql())
 def v11_project(spark, sf):
     table = fx.table(spark, sf, "embeddings")
-    means = d.positions_of(table.where("label < 3"), ["label"], "embedding").groupBy("label", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    means = d.positions_of(table, ["label"], "embedding").groupBy("label", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
     basis = steering.orthonormal(d.as_vector(means, ["label"]).withColumnRenamed("label", "name"))
     return long(steering.project(vectors(spark, sf), "embedding", basis), "vec_id", column="embedding")
 
