@@ -223,13 +223,13 @@ def _hits(n, shards, replicates, block=0):
 
 @pytest.mark.parametrize("n, shards", [(13, 1), (13, 4), (16, 4), (21, 8)])
 def test_draws_dealt_over_shards_have_the_law_of_uniform_draws(n, shards):
-    hits = _hits(n, shards, 3000)
+    hits = _hits(n, shards, 1200)
     assert (hits.sum(axis=1) == n).all()  # every draw falls on one position
     expected = len(hits)
     assert ((hits.sum(axis=0) - expected) ** 2 / expected).sum() < 3 * n
-    assert hits.var(axis=0).mean() == pytest.approx(1 - 1 / n, abs=0.05)
+    assert hits.var(axis=0).mean() == pytest.approx(1 - 1 / n, abs=0.08)
     apart = np.cov(hits.T)[np.triu_indices(n, 1)]
-    assert apart.mean() == pytest.approx(-1 / n, abs=0.01) and abs(apart + 1 / n).max() < 0.1
+    assert apart.mean() == pytest.approx(-1 / n, abs=0.015) and abs(apart + 1 / n).max() < 0.16
 
 
 def test_bootstrap_does_not_depend_on_partitioning(spark):
@@ -315,11 +315,11 @@ def test_signs_of_equal_values_are_drawn_apart(spark):
 
 def test_a_value_with_most_rows_is_one_run_over_many_shards(spark):
     df = spark.range(20_000).selectExpr("id as unit", "case when id % 3 = 0 then id / 1000 else 5.0 end as x")
-    config = Resampling(resamples=2000, shard_rows=256)
+    config = Resampling(resamples=1000, shard_rows=2048)
     x = np.where(np.arange(20_000) % 3 == 0, np.arange(20_000) / 1000, 5.0)
     half = 1.96 * x.std() / math.sqrt(len(x))
     r = bootstrap_ci(df, [], "unit", "x", config).first()
-    assert r.ci_low == pytest.approx(x.mean() - half, abs=0.006) and r.ci_high == pytest.approx(x.mean() + half, abs=0.006)
+    assert r.ci_low == pytest.approx(x.mean() - half, abs=0.012) and r.ci_high == pytest.approx(x.mean() + half, abs=0.012)
 
 
 def test_a_cluster_needs_a_shared_folder():
