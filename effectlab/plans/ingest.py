@@ -93,12 +93,7 @@ def s7_read_table(spark, sf):
     from pixels_a group by image_id""",
 )
 def s8_pixels(spark, sf):
-    cell = F.struct("y", "x", F.concat(*[F.lpad(F.hex(c), 2, "0") for c in "bgr"]).alias("h"))
-    # The bytes of one image: 32 x 32 pixels.
-    files = fx.pixels_a(spark, sf).groupBy("image_id").agg(F.array_sort(F.array_agg(cell)).alias("c")).select(
-        "image_id", F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"), F.lit(3).alias("nChannels"),
-        F.unhex(F.array_join(F.transform("c", lambda s: s["h"]), "")).alias("data"),
-    )
+    files = images.images_of(fx.pixels_a(spark, sf), fx.SIDE, fx.SIDE)
     return images.pixels_of(files).groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * (F.col("x") + 1)).alias("r"),
         F.sum(F.col("g") * (F.col("y") + 1)).alias("g"), F.sum(F.col("b") * (F.col("x") + F.col("y"))).alias("b"),

@@ -343,3 +343,50 @@ CHECKS = {
     "v21_dci": "test_all_scores_follow_from_importances_and_accuracies",
     "v22_disentanglement": "test_all_scores_follow_from_importances_and_accuracies",
 }
+
+
+def joins_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["d1_white_normalize", "d2_measure_colour", "d4_background_ssim", "x13_colour_change", "x17_ellipse_mask", "a9_pair_measures"])
+def test_no_side_of_a_pixel_join_goes_through_the_driver(spark, name):
+    from effectlab.plans.catalog import PLANS
+
+    plan = joins_of(PLANS[name].build(spark, "/root/testdata/sf0.001"))
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+def test_few_rows_of_a_file_are_dealt_before_they_become_pixels(spark):
+    from effectlab.plans import fixtures
+
+    px = fixtures.pixels_a(spark, "/root/testdata/sf0.001")
+    assert px.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    # Pictures stay whole in a task, so that grouping them moves no pixel.
+    assert joins_of(px.groupBy("image_id").count()).count("Exchange") == 1
+
+
+def test_pictures_of_one_image_share_its_box(spark):
+    px, face = solid(spark, 7, 118, (180, 150, 130)), box(spark, 7, 9, 9, 100, 100)
+    both = images.apply_gain(px, {"one": (1.0, 1.0, 1.0), "half": (0.5, 0.5, 0.5)})
+    got = {r.perturbation: r for r in images.measure_colour(both, face, 118, 118, 80, by=("image_id", "perturbation")).collect()}
+    for name, gain in (("one", 1.0), ("half", 0.5)):
+        alone = images.measure_colour(images.apply_gain(px, {"g": (gain,) * 3}), face, 118, 118, 80).first()
+        assert (got[name].pixel_count, got[name].lab_l) == (alone.pixel_count, alone.lab_l)
+
+
+def test_a_window_sums_the_square_also_over_gaps_and_strips(spark):
+    cells = [(x, y) for x in range(9) for y in range(11) if (x, y) not in {(3, 4), (4, 4), (8, 10)}]
+    px = spark.createDataFrame([(1, x, y, x + 10 * y, 0.5 * x) for x, y in cells], "image_id int, x int, y int, r int, q double")
+    for rows in (256, 2):
+        got = {(r.x, r.y): (r.window_n, r.r, r.q) for r in images.uniform_window(px, ["r", "q"], 5, strip_rows=rows).collect()}
+        near = {(x, y): [(u, v) for u, v in cells if abs(u - x) <= 2 and abs(v - y) <= 2] for x, y in cells}
+        assert got == {k: (len(n), sum(u + 10 * v for u, v in n), sum(0.5 * u for u, _ in n)) for k, n in near.items()}
+
+
+def test_images_of_is_the_inverse_of_pixels_of(spark):
+    from effectlab.sources.images import images_of, pixels_of
+
+    rows = [(i, x, y, 40 * i + x, 7 * y, x + y) for i in (1, 2) for x in range(5) for y in range(3)]
+    px = spark.createDataFrame(rows, "image_id bigint, x int, y int, r int, g int, b int")
+    assert sorted(tuple(r) for r in pixels_of(images_of(px, 5, 3)).collect()) == sorted(rows)
