@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from effectlab.functions.rng import draw_column
+from effectlab.functions.rng import draws
 from effectlab.operators.directions import paired_direction
 
 
@@ -19,6 +20,40 @@ def _weights(height: int, width: int, center: float, edge: float, radius: float)
     return edge + (center - edge) * np.exp(-3.0 * (x * x + y * y) / radius**2)
 
 
+# Draws that a task makes at a time.
+_CELLS = 1 << 18
+
+
+def _least(keys: DataFrame, key: str, counts: Sequence[int], resamples: int, seed: int) -> DataFrame:
+    """``key, pair_count, resample, _draw``: of the keys of each task the ``2 * count`` with the
+    least draws of each resample. A task holds no more than those and one slice of draws."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: [np.empty(0, np.int64) for _ in range(3)] for c in counts}
+        # The draw that a key has to be below or at to be among the least of a resample.
+        limit = {c: np.full(resamples, np.iinfo(np.int64).max) for c in counts}
+        step = max(1, _CELLS // resamples)
+        for batch in batches:
+            items = batch.column(0).to_numpy()
+            for at in range(0, len(items), step):
+                part = items[at : at + step]
+                for c in counts:
+                    drawn = (draws(seed, np.arange(resamples)[:, None], part[None, :], c) >> np.uint64(2)).astype(np.int64)
+                    resample, place = np.nonzero(drawn <= limit[c][:, None])
+                    new = (resample, drawn[resample, place], part[place])
+                    rep, draw, item = (np.concatenate(pair) for pair in zip(held[c], new))
+                    order = np.lexsort((item, draw, rep))
+                    rep, draw, item = rep[order], draw[order], item[order]
+                    rank = np.arange(len(rep)) - np.searchsorted(rep, rep)
+                    limit[c][rep[rank == 2 * c - 1]] = draw[rank == 2 * c - 1]
+                    held[c] = [v[rank < 2 * c] for v in (rep, draw, item)]
+        for c, (rep, draw, item) in held.items():
+            cells = [pa.array(item, pa.int64()), pa.array(np.full(len(rep), c, np.int32)), pa.array(rep.astype(np.int32)), pa.array(draw, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, [key, "pair_count", "resample", "_draw"])
+
+    return keys.mapInArrow(choose, f"`{key}` bigint, pair_count int, resample int, _draw bigint")
+
+
 def split_half(
     pairs: DataFrame,
     counts: Sequence[int],
@@ -33,9 +68,8 @@ def split_half(
 ) -> DataFrame:
     """Agreement of directions from disjoint random halves of ``count`` pairs each.
 
-    Each resample orders the pairs by a draw and takes the first ``2 * count``. The row
-    limit is a constant, so every task keeps only that many pairs per resample before the
-    shuffle; a group then holds ``2 * count`` vectors, a parameter and not the data size.
+    Each resample orders the pairs by a draw and takes the first ``2 * count``. Every task
+    keeps only that many keys per resample while it reads; a group then holds ``2 * count`` vectors, a parameter and not the data size.
     """
     counts = sorted(set(int(c) for c in counts))
     if resamples < 20:
@@ -46,14 +80,10 @@ def split_half(
     weights = np.tile(_weights(*grid, center, edge, radius).ravel(), len(full) // (grid[0] * grid[1]))
 
     # Only keys are drawn and ranked; the vectors join the chosen few afterwards.
-    drawn = pairs.select(
-        key, F.explode(F.array(*[F.lit(c) for c in counts])).alias("pair_count")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     order = W.Window.partitionBy("pair_count", "resample").orderBy("_draw", key)
     ranked = (
-        drawn.withColumn("_draw", draw_column(seed, F.col("resample"), F.col(key), F.col("pair_count")))
+        _least(pairs.select(F.col(key).cast("bigint").alias(key)), key, counts, resamples, seed)
         .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= 2 * counts[-1])
         .where(F.col("_rank") <= 2 * F.col("pair_count"))
         .drop("_draw")
     )

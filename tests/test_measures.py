@@ -390,3 +390,17 @@ def test_images_of_is_the_inverse_of_pixels_of(spark):
     rows = [(i, x, y, 40 * i + x, 7 * y, x + y) for i in (1, 2) for x in range(5) for y in range(3)]
     px = spark.createDataFrame(rows, "image_id bigint, x int, y int, r int, g int, b int")
     assert sorted(tuple(r) for r in pixels_of(images_of(px, 5, 3)).collect()) == sorted(rows)
+
+
+def test_a_task_keeps_only_the_least_draws_of_a_resample(spark):
+    from effectlab.functions.rng import draws
+    from effectlab.operators.stability import _least
+
+    n, seed = 30_000, 5
+    kept = _least(spark.range(0, n, 1, 3).withColumnRenamed("id", "i"), "i", [2, 4], 20, seed)
+    rows = kept.collect()
+    assert len(rows) == 3 * 20 * (4 + 8)
+    for count, resample in ((2, 0), (4, 19)):
+        got = sorted((r._draw, r.i) for r in rows if (r.pair_count, r.resample) == (count, resample))[: 2 * count]
+        drawn = draws(seed, np.array([resample]), np.arange(n), count) >> np.uint64(2)
+        assert got == sorted(zip(drawn.tolist(), range(n)))[: 2 * count]
