@@ -21,8 +21,9 @@ from effectlab.functions.keys import normalize_ws
 from effectlab.session import written
 
 RUN = 4  # words in a long anchor
-#: Anchors that documents meet inside their rows; more of them go through a join.
-IN_ROW = 50_000
+#: Anchors that documents meet inside their rows, which hash them for every document; more of
+#: them go through a join, which hashes them once a task.
+IN_ROW = 1_000
 #: Short snippets that a document answers at a time.
 BLOCK = 256
 SALTS = 16
@@ -116,7 +117,7 @@ def evidence_presence(
     empty snippet the documents with a text are counted, not listed."""
     s, d = _prepared(snippets, documents, snippet_id, document_id, text)
     found = _pairs(s, d, snippet_id, document_id).groupBy(snippet_id).agg(F.count(F.lit(1)).alias("n_present"))
-    sizes = d.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count("_text").alias("texts")))
+    sizes = documents.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(text).alias("texts")))
     joined = s.select(snippet_id, "_snippet").join(found, snippet_id, "left").withColumn("_sizes", sizes.scalar())
     present = F.when(F.col("_snippet") == "", F.col("_sizes.texts")).otherwise(F.coalesce("n_present", F.lit(0).cast("bigint")))
     required = F.col("_sizes.n")

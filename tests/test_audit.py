@@ -288,3 +288,16 @@ def test_live_views_follow_the_campaign(spark, tmp_path):
     assert [r.seed for r in left.collect()] == [2]
     row = live.latest_version(spark, str(tmp_path / "miss")).first()
     assert (row.attempted, row.generated, row.evaluation_complete) == (2, 2, 0)
+
+
+def test_thousands_of_anchors_are_not_hashed_for_every_document(spark, monkeypatch):
+    from effectlab.operators import evidence
+
+    words = [f"w{i}" for i in range(4_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 40])) for i in range(190)], "doc int, text string")
+    items = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 12])) for i in range(300)], "item int, text string")
+    used = []
+    monkeypatch.setattr(evidence.F, "array_intersect", lambda *args: used.append(args))
+    got = {r.item: r.n_present for r in evidence.evidence_presence(items, docs, "item", "doc").collect()}
+    assert not used
+    assert got == {i: sum(20 * j <= 10 * i and 10 * i + 12 <= 20 * j + 40 for j in range(190)) for i in range(300)}
