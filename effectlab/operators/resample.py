@@ -5,8 +5,9 @@ so a frequent value is one row however often it occurs. Positions in that order
 into shards of about ``shard_rows``, and replicates into blocks. A task turns one shard and
 block into a vector of partial sums, one number a replicate; the vectors of a stratum are
 added up in two levels and read once at the end. Draws come from a counter (see
-``functions.rng``), so a replicate is the same however the rows are partitioned or a task
-retried, and no stratum is gathered.
+``functions.rng``) or, in a bootstrap of several shards, from a generator keyed by shard and
+block, so a replicate is the same however the rows are partitioned or a task retried, and no
+stratum is gathered.
 
 * *Bootstrap.* The n draws of a replicate fall on n positions. A stratum has 2**d shards of
   equal width n / 2**d; where a shard's edge cuts a position, both sides hold their part of
@@ -81,23 +82,33 @@ def _vectors(runs: DataFrame, by: Sequence[str], config: Resampling, kernel: Cal
     """
     replicates, block = config.resamples, config.block
     blocks = -(-replicates // block)
-    dealt = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     names = [*by, "_block", "_part", "total", "sums"]
     own = [T.StructField("_block", T.IntegerType()), T.StructField("_part", T.LongType()), T.StructField("total", T.LongType()), T.StructField("sums", T.BinaryType())]
     schema = T.StructType([*_fields(runs, by), *own])
+    told = [T.StructField(c, T.LongType()) for c in ("_shard", "_shards", "total", "_first")]
+    shards = T.StructType([*_fields(runs, by), *told, T.StructField("_values", T.BinaryType()), T.StructField("_counts", T.BinaryType())])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        """A shard as one row: its first position, values and how often each stands there."""
+        table = table.sort_by("before")
+        n, x = (table.column(c).to_numpy() for c in ("n", "_x"))
+        made = [pa.array([table.column(c)[0].as_py()], pa.int64()) for c in ("_shard", "_shards", "total", "before")]
+        packs = [pa.array([x.astype(np.float64).tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes() if (n != 1).any() else b""], pa.binary())]
+        return pa.Table.from_arrays([*_keys(table, by), *made, *packs], shards.names)
 
     def packed(table: pa.Table, number: int, part: int, total: int, sums: np.ndarray) -> pa.Table:
         made = [pa.array([number], pa.int32()), pa.array([part], pa.int64()), pa.array([total], pa.int64()), pa.array([sums.tobytes()], pa.binary())]
         return pa.Table.from_arrays([*_keys(table, by), *made], names)
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("before")
-        first = {c: table.column(c)[0].as_py() for c in ("_block", "_shard", "_shards", "total")}
+        first = {c: table.column(c)[0].as_py() for c in ("_block", "_shard", "_shards", "total", "_first")}
         reps = np.arange(first["_block"] * block, min(replicates, (first["_block"] + 1) * block))
-        before, n, x = (table.column(c).to_numpy() for c in ("before", "n", "_x"))
-        sums = kernel(before, n, x, int(first["total"]), int(first["_shard"]), int(first["_shards"]), int(first["_block"]), reps)
+        x, n = np.frombuffer(table.column("_values")[0].as_buffer()), np.frombuffer(table.column("_counts")[0].as_buffer(), np.int64)
+        n = n if len(n) else np.ones(len(x), np.int64)
+        before = first["_first"] + np.cumsum(n) - n
+        sums = kernel(before, n, x, first["total"], first["_shard"], first["_shards"], first["_block"], reps)
         # About the square root of the shards meet in each of as many first sums.
-        return packed(table, first["_block"], int(first["_shard"]) // max(1, int(np.sqrt(first["_shards"]))), first["total"], sums)
+        return packed(table, first["_block"], first["_shard"] // max(1, int(np.sqrt(first["_shards"]))), first["total"], sums)
 
     def add(table: pa.Table) -> pa.Table:
         parts = sorted(zip(table.column("_part").to_pylist(), (v.as_buffer() for chunk in table.column("sums").chunks for v in chunk)), key=lambda p: (p[0], bytes(p[1])))
@@ -106,6 +117,12 @@ def _vectors(runs: DataFrame, by: Sequence[str], config: Resampling, kernel: Cal
             sums += np.frombuffer(part)
         return packed(table, table.column("_block")[0].as_py(), 0, table.column("total")[0].as_py(), sums)
 
+    # Runs are moved once, whatever the number of blocks; a block gets its shards packed. Few
+    # bytes are much work here, so tasks aren't made fewer by size.
+    spark = runs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    whole = runs.groupBy(*by, "_shard").applyInArrow(gathered, shards)
+    dealt = whole.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(tasks, *by, "_shard", "_block")
     partial = dealt.groupBy(*by, "_shard", "_block").applyInArrow(one, schema)
     first = partial.groupBy(*by, "_block", "_part").applyInArrow(add, schema)
     return first.groupBy(*by, "_block").applyInArrow(add, schema)
@@ -134,9 +151,20 @@ def _bootstrap_kernel(seed: int) -> Callable:
                 drawn = draws(seed, reps[at : at + step, None], item)
                 sums[at : at + step] = values[uniform_below(drawn, total)].sum(axis=1)
             return sums
-        for i, (rep, dealt) in enumerate(zip(reps, _deal(seed, levels, shard, block, total, len(reps)))):
-            drawn = uniform_below(draws(seed, rep, np.arange(dealt), shard), total)
-            sums[i] = values[((drawn + shard * total) >> levels) - low].sum()
+        # Draws of a shard come from one generator, keyed by (seed, block, leaf of the tree), and
+        # fill the same arrays in each replicate.
+        dealt = _deal(seed, levels, shard, block, total, len(reps))
+        generator = np.random.Generator(np.random.SFC64([seed, block, shards + shard]))
+        width, begin = total / shards, (shard * total - (low << levels)) / shards
+        places, drawn, items = (np.empty(int(dealt.max(initial=0)), kind) for kind in (float, float, np.intp))
+        for i, k in enumerate(dealt):
+            place, own, item = places[:k], drawn[:k], items[:k]
+            generator.random(out=place)
+            place *= width
+            place += begin
+            np.copyto(item, place, casting="unsafe")  # the whole part: no place is below 0
+            values.take(item, out=own, mode="clip")
+            sums[i] = own.sum()
         return sums
 
     return kernel

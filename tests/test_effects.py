@@ -232,6 +232,28 @@ def test_draws_dealt_over_shards_have_the_law_of_uniform_draws(n, shards):
     assert apart.mean() == pytest.approx(-1 / n, abs=0.015) and abs(apart + 1 / n).max() < 0.16
 
 
+def test_a_shard_of_several_draws_by_one_generator_into_the_same_arrays(monkeypatch):
+    import time
+
+    monkeypatch.setattr("effectlab.operators.resample.draws", None)  # would cost seven rounds a draw
+    x, reps = np.arange(20_000.0), np.arange(100)
+    args = (np.arange(20_000, 40_000), np.ones(20_000, int), x, 80_000, 1, 4, 0)
+    begin = time.process_time()
+    sums = _bootstrap_kernel(3)(*args, reps)
+    assert time.process_time() - begin < 2.0
+    assert (sums == _bootstrap_kernel(3)(*args, reps)).all() and len(np.unique(sums)) == 100
+    assert sums.mean() / 20_000 == pytest.approx(x.mean(), rel=0.01)
+
+
+def test_runs_are_moved_once_for_all_blocks_of_replicates(spark):
+    df = spark.range(3000).selectExpr("id as unit", "cast(id % 7 as double) + id div 2000 as x")
+    table = bootstrap_ci(df, [], "unit", "x", Resampling(resamples=500, shard_rows=400, block=100))
+    plan = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "Generate explode" in line and "_block" in line)
+    # What lies below the blocks is a packed shard, not a run.
+    assert any("_values" in line for line in plan[dealt + 1 :])
+
+
 def test_bootstrap_does_not_depend_on_partitioning(spark):
     df = spark.range(300).selectExpr("id as unit", "cast(id % 3 as int) as g", "sin(id) * 3 as x")
     for config in (FEW, Resampling(resamples=500, shard_rows=16)):
