@@ -11,10 +11,10 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from effectlab.operators.audit import remaining
 from effectlab.operators.describe import missingness
@@ -49,42 +49,32 @@ def _placed(rows: DataFrame) -> DataFrame:
     return told.mapInArrow(number, T.StructType([*told.schema.fields, T.StructField(LEDGER_ORDER[2], T.LongType())]))
 
 
-class _FirstArrival(StatefulProcessor):
-    """Remembers which keys have come; of a key's first batch the row that is least in
-    ``order`` goes on, nulls first."""
-
-    def __init__(self, order: Sequence[str]):
-        self.order = list(order)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        self.seen.update((True,))
-        yield min(rows, key=lambda row: [(row[c] is not None, row[c]) for c in self.order])
-
-    def close(self) -> None:
-        pass
-
-
 def first_arrivals(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first arrival of every key of a stream: the least row in ``order`` of the first
-    batch that has the key. The state holds one flag per key."""
+    """The first arrival of every key of a stream, in update mode: the least row in ``order``,
+    nulls first, of the first batch that has the key. The state holds a row per key and the
+    first and last time of the batches that had it: a key is new if both are this batch's, also
+    after the clock was set back. Batches are told apart by their start in milliseconds."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(*keys).transformWithState(_FirstArrival(order), rows.schema, "Append", "None")
+    now = F.current_timestamp()  # one value in all of a batch, also when it is run again
+    least = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*[F.col(c) for c in order]))
+    told = rows.withColumn("_came", now).groupBy(*keys).agg(least.alias("_row"), F.min("_came").alias("_since"), F.max("_came").alias("_until"))
+    return told.where((F.col("_since") == now) & (F.col("_until") == now)).select("_row.*")
 
 
 def ingest(rows: DataFrame, destination: str, checkpoint: str, keys: Sequence[str], order: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
     """Append rows to a Parquet table, the first arrival of every key only. Rows that a batch
-    has of a new key are told apart by ``order``, by default the ledger order."""
+    has of a new key are told apart by ``order``, by default the ledger order. Each batch writes
+    a folder of its own, so a repeated batch replaces only itself; read back, the table has the
+    number of the ``batch`` as one more column."""
     order = list(order) or [c for c in LEDGER_ORDER if c in rows.columns]
     if not order:
         raise ValueError("first arrivals need an order of the rows")
-    writer = first_arrivals(rows, keys, order).writeStream.format("parquet").outputMode("append")
-    writer = writer.option("path", destination).option("checkpointLocation", checkpoint)
+
+    def publish(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{destination}/batch={batch}")
+
+    writer = first_arrivals(rows, keys, order).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

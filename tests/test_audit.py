@@ -259,6 +259,21 @@ def test_a_key_keeps_its_first_arrival_over_batches_and_restarts(spark, tmp_path
         live.ingest(stream.select("k"), table, checkpoint, ["k"])
 
 
+def test_first_arrivals_ask_python_for_no_key(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    for turn in range(3):
+        spark.range(turn * 1000, turn * 1000 + 2000).selectExpr("id % 2500 as k", f"id + {turn} as v", "-id as o").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k bigint, v bigint, o bigint").parquet(source)
+        plan = live.first_arrivals(stream, ["k"], ["o"])._jdf.queryExecution().analyzed().toString()
+        assert "Aggregate" in plan and "TransformWithState" not in plan and "Python" not in plan
+        live.ingest(stream, table, checkpoint, ["k"], ["o"]).awaitTermination()
+    rows = spark.read.parquet(table)
+    # Keys from 0 to 1999 came first, then those to 2499 with ids of their own or wrapped ones.
+    assert rows.count() == rows.select("k").distinct().count() == 2500
+    assert {r.batch: r.n for r in rows.groupBy("batch").agg(F.count("*").alias("n")).collect()} == {0: 2000, 1: 500}
+    assert rows.where("v <> k + batch").count() == 0
+
+
 def test_remaining_is_the_plan_less_a_log_that_is_compacted(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     plan = spark.range(40).selectExpr("id as k", "cast(null as string) as note").union(spark.sql("select cast(null as bigint), 'x'"))
