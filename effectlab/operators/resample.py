@@ -13,8 +13,9 @@ stratum is gathered.
   equal width n / 2**d; where a shard's edge cuts a position, both sides hold their part of
   it. The n draws are dealt down the binary tree over the shards, each node passing a
   Binomial(draws, 1/2) to its left: these are keyed by (seed, node, block), so all shards
-  below a node work out the same number. Inside its shard a draw is uniform. A stratum of
-  one shard deals nothing. The law is that of n uniform draws with replacement at any size.
+  below a node work out the same number. A shard deals its draws on to pieces of 256
+  positions, and inside a piece a draw is uniform. A stratum of one shard deals nothing. The
+  law is that of n uniform draws with replacement at any size.
 * *Sign flips.* Each position has one random sign per replicate; partial sums add up.
 """
 
@@ -34,6 +35,8 @@ from effectlab.functions.ordering import null_safe_join, positions, value_counts
 from effectlab.functions.rng import SIGN_BITS, draws, uniform_below
 
 _CELLS = 1 << 16  # replicate x row cells a kernel holds at a time
+_PIECE = 1 << 8  # positions of which two are told by 16 bits
+_PAIRS = 1 << 16  # pairs a kernel draws at a time
 
 
 @dataclass(frozen=True)
@@ -151,25 +154,59 @@ def _bootstrap_kernel(seed: int) -> Callable:
                 drawn = draws(seed, reps[at : at + step, None], item)
                 sums[at : at + step] = values[uniform_below(drawn, total)].sum(axis=1)
             return sums
-        # Draws of a shard come from one generator, keyed by (seed, block, leaf of the tree), and
-        # fill the same arrays in each replicate.
+        # Draws of a shard come from one generator, keyed by (seed, block, leaf of the tree).
         dealt = _deal(seed, levels, shard, block, total, len(reps))
-        generator = np.random.Generator(np.random.SFC64([seed, block, shards + shard]))
+        bits = np.random.SFC64([seed, block, shards + shard])
         width, begin = total / shards, (shard * total - (low << levels)) / shards
-        places, drawn, items = (np.empty(int(dealt.max(initial=0)), kind) for kind in (float, float, np.intp))
-        for i, k in enumerate(dealt):
-            place, own, item = places[:k], drawn[:k], items[:k]
-            generator.random(out=place)
-            place *= width
-            place += begin
-            np.copyto(item, place, casting="unsafe")  # the whole part: no place is below 0
-            values.take(item, out=own, mode="clip")
-            sums[i] = own.sum()
-        return sums
+        return _drawn(bits, values, begin, begin + width, dealt)
 
     return kernel
 
 
+def _drawn(bits: np.random.BitGenerator, values: np.ndarray, begin: float, end: float, dealt: np.ndarray) -> np.ndarray:
+    """Sums of ``dealt`` draws from the positions that [begin, end) covers, an outer one by the
+    part of it that is covered. The draws of each replicate are dealt to pieces of ``_PIECE`` positions;
+    there two draws are the 16 bits that tell a pair of values, whose sum is looked up."""
+    generator = np.random.Generator(bits)
+    edges = np.unique(np.concatenate([[0], np.arange(1, len(values), _PIECE), [max(1, len(values) - 1), len(values)]]))
+    sizes = np.maximum(np.minimum(edges[1:], end) - np.maximum(edges[:-1], begin), 0.0)
+    counts = generator.multinomial(dealt, sizes / sizes.sum())
+    sums = np.zeros(len(dealt))
+    # All chunks fill the same arrays.
+    most = int(counts.max(initial=0))
+    room = max(most // 2, _PAIRS) + 1
+    items, drawn, pairs = np.empty(room, np.intp), np.empty(room), np.empty((_PIECE, _PIECE))
+    for piece, (first, last) in enumerate(zip(edges[:-1], edges[1:])):
+        own, of = values[first:last], counts[:, piece]
+        if last - first == 1:
+            sums += own[0] * of
+        elif last - first < _PIECE:
+            sums += _added(np.append(own.take(generator.integers(0, last - first, of.sum())), 0.0), of)
+        else:
+            np.add(own[:, None], own[None, :], out=pairs)
+            sums += np.where(of % 2 == 1, own.take(_words(bits, len(of)) & (_PIECE - 1)), 0.0)
+            halves = of // 2
+            step = max(1, 2 * _PAIRS // max(1, most))
+            for at in range(0, len(of), step):
+                half = halves[at : at + step]
+                count = int(half.sum())
+                np.copyto(items[:count], _words(bits, count))
+                pairs.ravel().take(items[:count], out=drawn[:count], mode="wrap")
+                drawn[count] = 0.0
+                sums[at : at + step] += _added(drawn[: count + 1], half)
+    return sums
+
+
+def _words(bits: np.random.BitGenerator, count: int) -> np.ndarray:
+    """``count`` numbers of 16 random bits."""
+    return bits.random_raw(-(-count // 4)).view(np.uint16)[:count]
+
+
+def _added(drawn: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of ``of`` draws each, one replicate's after the other's; a zero is their end."""
+    return np.where(of > 0, np.add.reduceat(drawn, np.cumsum(of) - of), 0.0)
+
+
 def _sign_kernel(seed: int) -> Callable:
     def kernel(before, n, x, total, shard, shards, block, reps):
         values = np.repeat(x, n)

@@ -11,7 +11,7 @@ from effectlab.functions.ordering import average_ranks, first_per_key, quantiles
 from effectlab.functions.rng import draw_column, draw_sql, draws, uniform_below
 from effectlab.operators import contrast, dedup, describe, match, selection
 from effectlab.operators.multiplicity import holm
-from effectlab.operators.resample import Resampling, _bootstrap_kernel, bootstrap_ci, sign_flip_p
+from effectlab.operators.resample import Resampling, _bootstrap_kernel, _drawn, bootstrap_ci, sign_flip_p
 from effectlab.schema import Names, Outcome
 
 LEDGER = Names.ledger()
@@ -245,6 +245,35 @@ def test_a_shard_of_several_draws_by_one_generator_into_the_same_arrays(monkeypa
     assert sums.mean() / 20_000 == pytest.approx(x.mean(), rel=0.01)
 
 
+def test_a_shard_looks_two_draws_up_at_once():
+    import time
+
+    n, reps = 20_000, np.arange(300)
+    x, generator = np.random.default_rng(5).normal(size=n), np.random.default_rng(6)
+    args = (np.arange(n, 2 * n), np.ones(n, int), x, 4 * n, 1, 4, 0)
+    _bootstrap_kernel(3)(*args, reps)
+    spent = []
+    for work in (lambda: _bootstrap_kernel(3)(*args, reps), lambda: [x.take((generator.random(n) * n).astype(np.intp)).sum() for _ in reps]):
+        begin = time.process_time()
+        work()
+        spent.append(time.process_time() - begin)
+    assert spent[0] < 0.7 * spent[1]  # drawn one by one it was as much
+
+
+@pytest.mark.parametrize("n, begin, end", [(600, 0.3, 599.6), (514, 0.0, 514.0), (257, 0.9, 256.1), (2, 0.5, 1.25), (1, 0.25, 0.5)])
+def test_draws_of_pieces_have_the_law_of_uniform_draws(n, begin, end):
+    weights = np.minimum(np.arange(1, n + 1), end) - np.maximum(np.arange(n), begin)
+    weights /= weights.sum()
+    dealt = np.resize([0, 1, 2, 501, 3000], 20_000)
+    for x in (np.ones(n), np.arange(n) ** 2 / n, (np.arange(n) % 7 == 0) * 1.0):
+        sums = _drawn(np.random.SFC64(8), x, begin, end, dealt)
+        mean, spread = weights @ x, math.sqrt(max(0.0, weights @ x**2 - (weights @ x) ** 2))
+        for k in (0, 1, 2, 501, 3000):
+            own = sums[dealt == k]
+            assert own.mean() == pytest.approx(k * mean, abs=5 * spread * math.sqrt(k / len(own)) + 1e-6)
+            assert own.std() == pytest.approx(spread * math.sqrt(k), rel=0.07, abs=1e-6)
+
+
 def test_runs_are_moved_once_for_all_blocks_of_replicates(spark):
     df = spark.range(3000).selectExpr("id as unit", "cast(id % 7 as double) + id div 2000 as x")
     table = bootstrap_ci(df, [], "unit", "x", Resampling(resamples=500, shard_rows=400, block=100))
