@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text whose distinct words share one numbering.
-CHUNK = 20_000_000
+CHUNK = 8_000_000
+#: Rows that a pass works on at a time; Arrow's batches are larger.
+ROWS = 500
 #: Multipliers of the hash of byte runs.
 _STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -117,7 +119,7 @@ def _prefixes(ranks: dict[bytes, int], table: list[tuple[int, int, int]]) -> tup
             found[token] = rank
     code = np.array([_code(p) for p in found], np.uint64)
     order = np.argsort(code)
-    return code[order], np.array(list(found.values()))[order]
+    return code[order], np.array(list(found.values()), np.int32)[order]
 
 
 def _code(piece: bytes) -> int:
@@ -155,16 +157,17 @@ def _allowed(raw: list[bytes], codes: np.ndarray, ranks: np.ndarray) -> pa.ListA
 def _number_words(pattern: str, text: str, names: list[str], ranks: dict[bytes, int], table: list[tuple[int, int, int]]):
     """First pass over a task's rows: for each chunk a row with the byte tokens and allowed
     merges of each new word, then the rows (columns ``names``), their texts as word numbers. A word that is a
-    token is numbered by its rank; the others come after the ranks."""
+    token is numbered by its rank; the others come after the ranks. What a task needs of the
+    tokens is made here, once, as a few arrays and strings."""
     first_new = max(ranks.values()) + 1
+    whole = {token.decode(): rank for token, rank in ranks.items() if _is_text(token)}
+    single = {i: character(ranks[bytes([i])]) for i in range(256)}
+    codes_of, ranks_of = _prefixes(ranks, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        whole = {token.decode(): rank for token, rank in ranks.items() if _is_text(token)}
-        single = str.maketrans({chr(i): character(ranks[bytes([i])]) for i in range(256)})
-        codes_of, ranks_of = _prefixes(ranks, table)
         ints = pa.list_(pa.int32())
 
         def flush(numbers: _Numbers, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +179,14 @@ def _number_words(pattern: str, text: str, names: list[str], ranks: dict[bytes,
             yield from held
 
         numbers, held, size = _Numbers(whole, first_new), [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(batch.schema.get_field_index(text))
             codes = pa.array([np.fromiter(map(numbers.__getitem__, find(value.as_py() or "")), np.int32).tobytes() for value in texts], pa.binary())
-            kept = [batch.column(batch.schema.get_field_index(name)) for name in names]
+            # Copies: a column of the batch would keep the texts beside it in memory.
+            kept = [_copied(batch.column(batch.schema.get_field_index(name))) for name in names]
             n, size = batch.num_rows, size + texts.nbytes
             held.append(pa.RecordBatch.from_arrays([*kept, codes, pa.nulls(n, pa.string()), pa.nulls(n, ints)], [*names, "_codes", "_word", "_merges"]))
-            del batch, texts, kept
+            del batch, texts, kept, codes
             if size >= CHUNK:
                 yield from flush(numbers, held)
                 numbers, held, size = _Numbers(whole, first_new), [], 0
@@ -192,6 +196,18 @@ def _number_words(pattern: str, text: str, names: list[str], ranks: dict[bytes,
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, ``ROWS`` at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
+def _copied(column: pa.Array) -> pa.Array:
+    """The values of a column in memory of their own."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def _is_text(token: bytes) -> bool:
     try:
         token.decode()
@@ -203,14 +219,14 @@ def _is_text(token: bytes) -> bool:
 def _put_tokens(names: list[str], result: str, decoded: str | None, ranks: dict[bytes, int]):
     """Second pass, over the same rows in the same order: word numbers become token ids.
     Rows of words that follow rows of texts begin the next chunk."""
-    known, pieces_of = max(ranks.values()) + 1, _pieces(ranks)
+    known, pieces_of = max(ranks.values()) + 1, _pieces(ranks) if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         values, lengths = np.arange(known, dtype=np.int32), np.ones(known, np.int64)
         starts = np.arange(known)
-        for batch in batches:
+        for batch in _slices(batches):
             is_word = batch.column("_codes").is_null().to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(is_word)) + 1), len(is_word)]
             for first, last in zip(edges, edges[1:]):

@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from effectlab.llm import bpe
@@ -40,6 +41,19 @@ def test_chunks_do_not_change_the_ids(spark, reference, monkeypatch):
     assert {r["text"]: r["ids"] for r in rows} == {t: reference.encode_ordinary(t) for t in texts}
 
 
+def test_a_chunk_holds_no_texts():
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": ["word " * 200] * 2000})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    number = bpe._number_words(public_tokenizers.PATTERN, "text", ["doc_id"], RANKS, bpe.merges(RANKS))
+    made = list(number(pa.ipc.open_stream(sink.getvalue())))
+    texts = [b for b in made if b.column("_codes").null_count == 0]
+    assert sum(b.num_rows for b in texts) == 2000 and max(b.num_rows for b in texts) <= bpe.ROWS
+    # A buffer with a parent is a part of the message that has the texts too.
+    assert all(b.column("doc_id").buffers()[1].parent is None for b in texts)
+
+
 def test_merges_refuse_a_token_below_its_parts():
     with pytest.raises(ValueError):
         bpe.merges({b"a": 0, b"b": 1, b"c": 2, b"ab": 9, b"abc": 4})
